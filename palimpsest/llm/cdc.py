@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that a cut depends on; least distance of cuts; mean chunk is about 2**CUT_BITS bytes; a longer chunk is cut by length.
 GEAR_WINDOW, LEAST, CUT_BITS, MOST = 16, 8, 5, 16_384
+#: After this many bytes without a cut, a byte whose hash is the least of the last LULL // 2 ends a chunk too.
+LULL = 64
 _GEAR = np.random.Generator(np.random.PCG64(2024)).integers(0, 2**32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -34,10 +36,32 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         h, step = nxt, step * 2
     at = np.flatnonzero((h >> np.uint32(GEAR_WINDOW - CUT_BITS)) & np.uint32(2**CUT_BITS - 1) == 0)
     at = at[np.concatenate([[True], np.diff(at) >= LEAST])] if len(at) else at
+    at = np.union1d(at, _lulls(h & np.uint32(2**GEAR_WINDOW - 1), np.concatenate([at, starts])))
     since = at - starts[np.searchsorted(starts, at, "right") - 1]
     return at[since >= GEAR_WINDOW + LEAST] + 1
 
 
+def _lulls(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Cuts where the rolling hash gives none, as in a word that is repeated over and over: what recurs is cut where it recurs."""
+    edge = np.union1d(cut, [0, len(h)])
+    long = np.diff(edge) > LULL
+    if not long.any():
+        return np.empty(0, np.int64)
+    least, step = h.copy(), 1
+    while step < LULL // 2:
+        least[step:] = np.minimum(least[step:], least[:-step])
+        step *= 2
+    quiet = np.zeros(len(h) + 1, np.int8)
+    quiet[edge[:-1][long] + LULL] = 1
+    quiet[edge[1:][long]] -= 1
+    found, last = [], -LEAST
+    for i in np.flatnonzero((least == h) & (np.cumsum(quiet[:-1]) > 0)).tolist():
+        if i - last >= LEAST:
+            found.append(i)
+            last = i
+    return np.array(found, np.int64)
+
+
 def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """(row, start, length, words, digest) of every chunk: code points within the text, words that begin in it, signed XXH64."""
     texts = texts.cast(pa.large_binary())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -12,24 +13,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ranked, written
-from .tokens import CACHE, LONGEST, tokenizer
+from .tokens import CACHE, LONGEST, encoded
 
 END_ID = 1
-_SPLIT = str.maketrans("\n\t\r", "   ")
+#: Two marks that meet are one pre-token; these two capitals' small letters are not theirs alone.
+_ODD = re.compile(r"[^\w\s]{2}|[_\u03a3\u0130\x1c-\x1f]")
 _PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
+def words(text: str) -> list[str]:
+    """Parts of a text between white space; where no two marks meet, in small letters and with full stops and commas as parts."""
+    text = text.replace("\n", " ")
+    if not _ODD.search(text):
+        text = text.lower().replace(". ", " . ").replace(", ", " , ")
+    return text.split(" ")
+
+
 class Ids:
-    """Token ids, as little-endian unsigned 32-bit bytes, of texts whose tokenizer never looks across white space; cached by word."""
+    """Token ids, as little-endian unsigned 32-bit bytes, of texts whose tokenizer drops white space and case and never looks
+    across white space; cached by word."""
 
     def __init__(self, path: str):
         self.path, self.seen = path, {"": b""}
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        parts = [x.translate(_SPLIT).split(" ") if x else [] for x in texts]
-        new = [x for x in set().union(*parts) if x not in self.seen]
+        parts = [words(x) if x else [] for x in texts]
+        new = list(set().union(*parts).difference(self.seen))
         if new:
-            self.seen.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tokenizer(self.path).encode_batch(new, add_special_tokens=False)), strict=True))
+            self.seen.update(zip(new, encoded(self.path, new, fold=True), strict=True))
         get = self.seen.__getitem__
         out = [b"".join(map(get, x)) for x in parts]
         for x in new:
