@@ -16,16 +16,19 @@ from .shared import ranked, written
 from .tokens import CACHE, LONGEST, encoded
 
 END_ID = 1
-#: Two marks that meet are one pre-token; these two capitals' small letters are not theirs alone.
-_ODD = re.compile(r"[^\w\s]{2}|[_\u03a3\u0130\x1c-\x1f]")
+#: A full stop or comma that is no pre-token by itself, as another mark may come before it.
+_ODD = re.compile(r"[.,](?<![^\W_].) ")
 _PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
 def words(text: str) -> list[str]:
-    """Parts of a text between white space; where no two marks meet, in small letters and with full stops and commas as parts."""
+    """Parts of a text between white space; but for texts with one of two capitals whose small letters are not theirs alone, in small
+    letters, and with full stops and commas as parts unless other marks come before some."""
     text = text.replace("\n", " ")
-    if not _ODD.search(text):
-        text = text.lower().replace(". ", " . ").replace(", ", " , ")
+    if "\u03a3" not in text and "\u0130" not in text:
+        text = text.lower()
+        if not _ODD.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ")
     return text.split(" ")
 
 

@@ -28,6 +28,18 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def plain_tokenizer(path: str):
+    """The tokenizer without its normalizer and pattern, for texts of small Latin letters and single spaces, on which they do nothing."""
+    if (path, "plain") not in _TOKENIZERS:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        tok = Tokenizer.from_str(tokenizer(path).to_str())
+        tok.normalizer = None
+        tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        _TOKENIZERS[path, "plain"] = tok
+    return _TOKENIZERS[path, "plain"]
+
+
 def vocabulary_file(name: str) -> str:
     import public_tokenizers
 
@@ -87,7 +99,7 @@ def encoded(path: str, wanted: list[str], fold: bool = False) -> list[bytes]:
     tok, some = tokenizer(path), list(done)
     for i in range(0, len(some), 2048):
         part = some[i : i + 2048]
-        got = tok.encode((" " if fold else "").join(part), add_special_tokens=False)
+        got = (plain_tokenizer(path) if fold else tok).encode((" " if fold else "").join(part), add_special_tokens=False)
         ids, number = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids)
         cut = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]]) * 4
         if len(cut) != len(part) + 1:
