@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Bytes that a cut depends on; least distance of cuts; mean chunk is about 2**CUT_BITS bytes; a longer chunk is cut by length.
 GEAR_WINDOW, LEAST, CUT_BITS, MOST = 16, 8, 5, 16_384
 #: After this many bytes without a cut, a byte whose hash is the least of the last LULL // 2 ends a chunk too.
@@ -108,10 +110,11 @@ def repeated_passages(docs: DataFrame, least_words: int = 25) -> DataFrame:
 
     Null and empty texts have no chunks; rows with a null doc_id take no part; texts are chunked whole; rows that repeat a doc_id
     count as one document; an empty table gives an empty result; other columns of docs are not used. Digests are counted
-    after a map-side combine, and the join back is one that the planner splits at a hot digest; no passage's holders are gathered.
+    after a map-side combine; the repeated ones are a written table, so that the join back is of two plain exchanges, which the
+    planner splits at a hot digest. No passage's holders are gathered.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunk_rows, "doc_id long, pos long, digest long")
-    found = rows.groupBy("digest").agg(F.min("doc_id").alias("keeper_doc"), F.max("doc_id").alias("most")).where("keeper_doc < most").select("digest", "keeper_doc")
+    found = written(rows.groupBy("digest").agg(F.min("doc_id").alias("keeper_doc"), F.max("doc_id").alias("most")).where("keeper_doc < most").select("digest", "keeper_doc"))
     hits = rows.join(found, "digest").select(
         "doc_id", "keeper_doc", F.shiftright("pos", 29).alias("start"), F.shiftright("pos", 14).bitwiseAND(F.lit(2**15 - 1)).alias("len"), F.col("pos").bitwiseAND(F.lit(2**14 - 1)).alias("words")
     )

@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 
 from .shared import bounded, ranked, same, written
 
-#: Earliest-deadline-first over one round: c[i] blocks of source i in m = sum(c) slots. Block j of source i may go from slot
-#: floor(j m / c) on and must go before slot ceil((j + 1) m / c); ties go to the source listed first.
+#: Windows of a round: source i gets blocks at its quota's rate until its c[i] blocks are used up, when the others share its time.
+#: Of that fluid schedule, the time at which source i has had j blocks is the sum over sources s of min(c[s], quota[s] j / quota[i]).
+#: Block j may go from that slot on (rounded down), and must go before the time of j + 1 (rounded up).
+_WINDOWS = """
+transform(x, (a, i) -> if(c[i] = 0, cast(array() as array<struct<free:bigint,due:bigint>>), transform(sequence(0L, c[i] - 1L),
+  j -> named_struct(
+    'free', aggregate(x, 0L, (t, o) -> t + least(greatest(0L, least(o.quota, o.n - r0 * o.quota)) * a.quota, o.quota * j)) div a.quota,
+    'due', (aggregate(x, 0L, (t, o) -> t + least(greatest(0L, least(o.quota, o.n - r0 * o.quota)) * a.quota, o.quota * (j + 1))) + a.quota - 1) div a.quota))))
+"""
+#: Earliest-deadline-first over those windows, one block a slot; ties go to the source listed first. The fluid schedule meets every
+#: window, so this does too, and no slot is left empty.
 _EDF = """
 aggregate(sequence(0, m - 1),
   named_struct('nxt', transform(c, x -> 0), 'out', cast(array() as array<struct<s:int,j:int>>)),
   (acc, t) -> transform(
-    array(array_min(transform(c, (x, i) -> if(acc.nxt[i] < x and cast(acc.nxt[i] as bigint) * m div x <= t,
-      named_struct('due', ((acc.nxt[i] + 1L) * m + x - 1) div x, 's', i), null)))),
+    array(array_min(transform(c, (k, i) -> if(acc.nxt[i] < k and windows[i][acc.nxt[i]].free <= t, named_struct('due', windows[i][acc.nxt[i]].due, 's', i), null)))),
     p -> named_struct('nxt', transform(acc.nxt, (x, i) -> if(i = p.s, x + 1, x)),
                       'out', concat(acc.out, array(named_struct('s', p.s, 'j', acc.nxt[p.s])))))[0],
   acc -> acc.out)
@@ -34,7 +42,7 @@ def plan(sources: DataFrame) -> DataFrame:
     ends = F.expr("array_sort(array_distinct(flatten(array(array(0L), transform(x, a -> a.n div a.quota), transform(x, a -> (a.n + a.quota - 1) div a.quota)))))")
     kinds = one.withColumn("ends", ends).select("x", "ends", F.posexplode("ends").alias("i", "r0")).withColumn("upto", F.expr("try_element_at(ends, i + 2)")).where("upto is not null")
     kinds = kinds.withColumn("c", F.expr("transform(x, a -> cast(greatest(0L, least(a.quota, a.n - r0 * a.quota)) as int))")).withColumn("m", F.expr("aggregate(c, 0, (a, b) -> a + b)")).where("m > 0")
-    kinds = kinds.withColumn("base", F.expr("aggregate(x, 0L, (acc, a) -> acc + least(a.n, r0 * a.quota))"))
+    kinds = kinds.withColumn("windows", F.expr(_WINDOWS)).withColumn("base", F.expr("aggregate(x, 0L, (acc, a) -> acc + least(a.n, r0 * a.quota))"))
     return kinds.select("r0", "upto", "base", "m", F.posexplode(F.expr(_EDF)).alias("slot", "e")).select("e.s", "r0", "upto", "e.j", "slot", "base", "m")
 
 
@@ -59,20 +67,20 @@ def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, roun
     Every row comes once. Target weights: `weights` (a source that it lacks gets one block a round), or the sources' sizes to the
     power `alpha`; they are rounded to whole blocks of a round of about `round_blocks`, at least one a source. While all sources
     last, each has within one block of its weight's share in every prefix of the mix; a source that has run out leaves its
-    share to the others in proportion. The sources, not the rows, are brought together to plan: meant for up to some hundreds.
+    share to the others in proportion to theirs. The sources, not the rows, are brought together to plan: meant for up to some hundreds.
     """
     sources = targets(docs, weights, alpha, round_blocks, block_docs)
     rounds = bounded(written(plan(sources)))
     ends = rounds.select("s", "r0", "upto").groupBy("s").agg(F.array_sort(F.collect_set(F.struct("r0", "upto"))).alias("__kinds"))
-    info = bounded(written(sources.join(ends, "s").select("s", F.col("source").alias("__source"), "quota", "__kinds")))
-    key = F.xxhash64(*[F.col(c) for c in docs.columns if c in ("doc_id", "text")]) if "text" in docs.columns else F.xxhash64("doc_id")
+    info = bounded(written(sources.join(ends, "s").select(F.col("s").alias("__s"), F.col("source").alias("__source"), F.col("quota").alias("__quota"), "__kinds")))
+    key = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     rows = ranked(docs.withColumn("__key", key), ["source"], [F.col("doc_id"), F.col("__key")], "__rank").drop("__key")
     rows = rows.withColumn("__block", F.expr(f"__rank div {block_docs}")).withColumn("__seq", (F.col("__rank") % block_docs).cast("int"))
-    rows = rows.join(info, same(rows["source"], info["__source"])).withColumn("__r", F.expr("__block div quota")).withColumn("__j", F.expr("cast(__block % quota as int)"))
-    rows = rows.withColumn("__r0", F.expr("element_at(filter(__kinds, k -> k.r0 <= __r and __r < k.upto), 1).r0")).withColumnRenamed("s", "__s")
-    at = rounds.select(F.col("s").alias("__ps"), F.col("r0").alias("__pr"), F.col("j").alias("__pj"), "slot", "base", "m")
+    rows = rows.join(info, same(rows["source"], info["__source"])).withColumn("__r", F.expr("__block div __quota")).withColumn("__j", F.expr("cast(__block % __quota as int)"))
+    rows = rows.withColumn("__r0", F.expr("element_at(filter(__kinds, k -> k.r0 <= __r and __r < k.upto), 1).r0"))
+    at = rounds.select(F.col("s").alias("__ps"), F.col("r0").alias("__pr"), F.col("j").alias("__pj"), F.col("slot").alias("__at"), F.col("base").alias("__base"), F.col("m").alias("__m"))
     rows = rows.join(at, (rows["__s"] == at["__ps"]) & (rows["__r0"] == at["__pr"]) & (rows["__j"] == at["__pj"]))
-    rows = rows.withColumn("__slot", F.expr("base + (__r - __r0) * m + slot"))
+    rows = rows.withColumn("__slot", F.expr("__base + (__r - __r0) * __m + __at"))
     return rows.select(*docs.columns, "__block", "__slot", "__seq")
 
 

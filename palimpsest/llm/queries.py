@@ -69,7 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"""
 WITH w AS (
-  SELECT doc_id, lang, source, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text,
          list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents),
 g AS (
@@ -78,10 +78,10 @@ g AS (
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM w),
 twice AS (
-  SELECT doc_id, list(pos) AS pos FROM (
-    SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS n
-    FROM (SELECT doc_id, unnest(grams) AS gram, generate_subscripts(grams, 1) AS pos FROM g))
-  WHERE n > 1 GROUP BY doc_id),
+  SELECT id, list(pos) AS pos FROM (
+    SELECT id, pos, count(*) OVER (PARTITION BY id, gram) AS n
+    FROM (SELECT id, unnest(grams) AS gram, generate_subscripts(grams, 1) AS pos FROM g))
+  WHERE n > 1 GROUP BY id),
 f AS (
   SELECT g.doc_id, lang, source, n_words,
          CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
@@ -89,7 +89,7 @@ f AS (
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(len(list_distinct(flatten(list_transform(twice.pos, lambda p: range(p, p + 5))))), 0) AS BIGINT) AS n_repeat_words,
          len(lines) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!?]', '', 'g')) AS n_mark
-  FROM g LEFT JOIN twice USING (doc_id)),
+  FROM g LEFT JOIN twice USING (id)),
 m AS (
   SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbol, 1000 * n_upper // greatest(word_chars, 1) AS upper_,
          1000 * n_mark // greatest(n_words, 1) AS mark, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line,
