@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import bounded, written
+
 #: Bytes of a window, filter widths, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 
@@ -125,10 +127,16 @@ def windows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train(labelled: DataFrame, per_label: int = 500, epochs: int = 12) -> Network | None:
     """A network fit on a bounded sample of (doc_id, text, lang) rows: of each language, two windows from `per_label` documents at
-    most, those of the least hashes of doc_id, found by a top-k within map tasks. None if no row has a language and a text."""
-    h = F.xxhash64("doc_id", F.lit("sample"))
+    most, those of the least hashes of doc_id. None if no row has a language and a text.
+
+    A first count by language gives the hash below which four times as many are expected, so that what is ranked is bounded too,
+    however many rows a language has.
+    """
+    h = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**40))
     at = lambda salt: F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id, '{salt}'), greatest(length(text) - {WINDOW}, 1)) as int), {WINDOW})")
-    rows = labelled.where("lang is not null and length(trim(text)) > 0").select("lang", h.alias("h"), at("a").alias("a"), at("b").alias("b"))
+    rows = labelled.where("lang is not null and text rlike '\\\\S'")
+    most = written(rows.groupBy(F.col("lang").alias("__lang")).agg((F.lit(4.0 * per_label * 2**40) / F.count(F.lit(1))).alias("most")))
+    rows = rows.join(bounded(most), (F.col("lang") == F.col("__lang")) & (h <= F.col("most"))).select("lang", h.alias("h"), at("a").alias("a"), at("b").alias("b"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "a"))).where(F.col("n") <= per_label)
     got = sorted((r.lang, r.h, x) for r in rows.collect() for x in (r.a, r.b))
     if not got:
