@@ -242,7 +242,7 @@ def test_redaction(awkward):
     got = secrets.redacted(awkward)
     assert got.columns == awkward.columns and got.count() == awkward.count()
     text = {r.doc_id: r.text for r in got.collect()}
-    assert text[12] == "[SECRET] token:short [SECRET] [SECRET] secret=apikey:abcdefghij".replace("[SECRET] token", '[SECRET]" token') or "abcdefgh1" not in text[12]
+    assert text[12] == '[SECRET]" token:short [SECRET] [SECRET] secret=apikey:abcdefghij'
     assert "ABCDEFGHIJ" not in text[13] and "PRIVATE" not in text[13] and text[3] == {r.doc_id: r.text for r in awkward.collect()}[3]
 
 
@@ -269,7 +269,7 @@ def test_language_id_on_held_out_rows(spark, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     held = got[got.held_out]
-    assert list(held.doc_id % 1 == 0) and set(held.doc_id) == {d for d in got.doc_id if zlib.crc32(str(d).encode()) % 5 == 0}
+    assert set(held.doc_id) == {d for d in got.doc_id if zlib.crc32(str(d).encode()) % 5 == 0}
     assert (held.lang_pred == held.lang).mean() >= 0.95 and got.score.between(0, 1).all()
     rows = langid.identify(awkward, epochs=1).collect()
     assert len(rows) == awkward.count()
