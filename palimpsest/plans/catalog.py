@@ -283,7 +283,7 @@ def tile_grid_half(spark, sf):
     return videos(spark, sf).select("video_id", F.explode(G.tiles(F.col("width"), F.col("height"), 640, 320)).alias("t")).select("video_id", "t.*")
 
 
-@query(f"WITH {V_VIDEOS} SELECT video_id, CASE WHEN height > width THEN 1216 ELSE height * 1216 // width END AS h, CASE WHEN height > width THEN width * 1216 // height ELSE 1216 END AS w FROM v")
+@query(f"WITH {V_VIDEOS} SELECT video_id, CAST(CASE WHEN height > width THEN 1216 ELSE height * 1216 // width END AS BIGINT) AS h, CAST(CASE WHEN height > width THEN width * 1216 // height ELSE 1216 END AS BIGINT) AS w FROM v")
 def tiled_detection_scale(spark, sf):
     return videos(spark, sf).select("video_id", G.two_tile_size(F.col("width"), F.col("height")).alias("s")).select("video_id", "s.h", "s.w")
 
