@@ -161,6 +161,24 @@ def tiles(width, height, size: int = 640, overlap: int = 64) -> Column:
     return F.when((w <= size) & (h <= size), one).otherwise(grid)
 
 
+def _span(begin: Column, end: Column) -> Column:
+    return F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end"))
+
+
+def half_windows(width) -> Column:
+    """Columns of a line's left half, right half and middle half."""
+    half = F.floor(_c(width) / 2)
+    quarter = F.floor(half / 2)
+    return F.array(_span(F.lit(0), half), _span(half, half * 2), _span(quarter, quarter + half))
+
+
+def square_windows(width, height, base: int = 32) -> Column:
+    """Columns of windows of four squares that advance by two, over a line resized to `base` rows and an even number of squares, six
+    at least; the resized width is base times that number."""
+    squares = F.greatest(F.lit(6), F.floor(F.floor(_c(width) / _c(height)) / 2) * 2).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.floor(squares / 2).cast("int") - 2), lambda i: _span(i * 2 * base, (i * 2 + 4) * base))
+
+
 def two_tile_size(width, height, size: int = 640, overlap: int = 64) -> Column:
     """Sizes for tiled detection: the long side spans two tiles, the other follows with integer division."""
     w, h, span = _c(width).cast("long"), _c(height).cast("long"), 2 * size - overlap

@@ -1,7 +1,8 @@
 """Every operator as a query over the bundled tables, with the SQL for DuckDB that says the same where SQL can.
 
 The tables hold no frames, so pictures' rows are derived from them by integer arithmetic: texts and boxes from events, prediction
-pairs from part, class scores from embeddings (8 steps of 8 classes), truths and detections from lineitem.
+pairs from part, class scores from embeddings (8 steps of 8 classes), small pictures from embeddings (4 rows of 5 pixels), truths and
+detections from lineitem.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import polygon, sequence as S
 from ..functions import text as T
-from ..operators import filters, folds, matching, metrics
+from ..operators import filters, folds, matching, metrics, pictures
 from ..sources import files, sampling, sinks
 
 W, H = 1280, 720
@@ -819,6 +820,112 @@ def comma_list(spark, sf):
     return files.listed(spark, "img0.png, img1.png ,img2.png,img3.png, img4.png")
 
 
+# Pixels
+
+V_PIXELS = """px AS (SELECT vec_id, i // 15 AS y, i % 15 // 3 AS x, i % 3 AS c, CAST(least(255, greatest(0, floor(128 + 127 * CAST(embedding[i + 1] AS DOUBLE)))) AS BIGINT) AS v FROM embeddings, range(60) AS r(i)),
+ gr AS (SELECT vec_id, y, x, CAST((sum(v * CASE c WHEN 0 THEN 3735 WHEN 1 THEN 19235 ELSE 9798 END) + 16384) // 32768 AS BIGINT) AS g FROM px GROUP BY ALL)"""
+_MIRROR = lambda i, n: f"(CASE WHEN ({i} + 96) % {2 * n - 2} < {n} THEN ({i} + 96) % {2 * n - 2} ELSE {2 * n - 2} - ({i} + 96) % {2 * n - 2} END)"  # noqa: E731  (96 is a multiple of both periods)
+
+
+def small_pictures(spark, sf) -> DataFrame:
+    v = F.transform(F.slice("embedding", 1, 60), lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 127 * x.cast("double")))).cast("int"))
+    data = F.unhex(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    picture = F.struct(F.col("vec_id").cast("string").alias("origin"), F.lit(4).alias("height"), F.lit(5).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data.alias("data"))
+    return read(spark, sf, "embeddings").select("vec_id", "embedding", picture.alias("image"))
+
+
+@query(
+    f"""WITH {V_PIXELS}, wy AS (SELECT y, {_MIRROR("y + d", 4)} AS y2, sum(k) AS k FROM range(4) AS r(y), (SELECT d, exp(-d * d / (2 * 2.6 * 2.6)) AS k FROM range(-7, 8) AS q(d)) GROUP BY ALL),
+ wx AS (SELECT x, {_MIRROR("x + d", 5)} AS x2, sum(k) AS k FROM range(5) AS r(x), (SELECT d, exp(-d * d / (2 * 2.6 * 2.6)) AS k FROM range(-7, 8) AS q(d)) GROUP BY ALL),
+ one AS (SELECT sum(exp(-d * d / (2 * 2.6 * 2.6))) AS n FROM range(-7, 8) AS q(d)),
+ bl AS (SELECT vec_id, wy.y, wx.x, c, round_even(sum(v * wy.k * wx.k) / max(n * n), 0) AS v FROM wy, wx, one, px WHERE px.y = y2 AND px.x = x2 GROUP BY vec_id, wy.y, wx.x, c)
+SELECT vec_id, string_agg(printf('%02X', CAST(round_even(0.3 * v, 0) AS BIGINT)), '' ORDER BY y, x, c) AS pixels FROM bl GROUP BY vec_id"""
+)
+def picture_soften(spark, sf):
+    return small_pictures(spark, sf).select("vec_id", pictures.softened(F.col("image")).alias("p")).select("vec_id", F.hex("p.data").alias("pixels"))
+
+
+@query(
+    f"""WITH {V_PIXELS}, s AS (SELECT a.vec_id, a.y, a.x, 10 * a.g - sum(b.g) AS s FROM gr AS a, range(-1, 2) AS r(dy), range(-1, 2) AS q(dx), gr AS b
+  WHERE b.vec_id = a.vec_id AND b.y = {_MIRROR("(a.y + dy)", 4)} AND b.x = {_MIRROR("(a.x + dx)", 5)} GROUP BY a.vec_id, a.y, a.x, a.g),
+ e AS (SELECT vec_id, y, x, CAST(least(255, round_even(CAST(least(255, greatest(0, s)) AS DOUBLE) * 1.5 + 10, 0)) AS BIGINT) AS e FROM s)
+SELECT vec_id, string_agg(printf('%02X%02X%02X', e, e, e), '' ORDER BY y, x) AS pixels FROM e GROUP BY vec_id"""
+)
+def picture_enhance(spark, sf):
+    return small_pictures(spark, sf).select("vec_id", pictures.enhanced(F.col("image")).alias("p")).select("vec_id", F.hex("p.data").alias("pixels"))
+
+
+@query(
+    f"""WITH {V_PIXELS}, t AS (SELECT a.vec_id, a.g AS t, count(*) AS n, CAST(count(*) FILTER (b.g <= a.g) AS DOUBLE) AS below, CAST(count(*) FILTER (b.g > a.g) AS DOUBLE) AS above,
+   CAST(sum(b.g) FILTER (b.g <= a.g) AS DOUBLE) AS low, CAST(sum(b.g) AS DOUBLE) AS whole FROM (SELECT DISTINCT vec_id, g FROM gr) AS a JOIN gr AS b USING (vec_id) GROUP BY a.vec_id, a.g),
+ v AS (SELECT vec_id, t, CASE WHEN above = 0 THEN 0 ELSE below * above * ((low / below - (whole - low) / above) * (low / below - (whole - low) / above)) END AS v FROM t),
+ o AS (SELECT vec_id, t FROM v QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, t) = 1)
+SELECT vec_id, string_agg(CASE WHEN g > t THEN 'FFFFFF' ELSE '000000' END, '' ORDER BY y, x) AS pixels FROM gr JOIN o USING (vec_id) GROUP BY vec_id"""
+)
+def picture_binarise(spark, sf):
+    return small_pictures(spark, sf).select("vec_id", pictures.binarised(F.col("image")).alias("p")).select("vec_id", F.hex("p.data").alias("pixels"))
+
+
+@query(f"WITH {V_PIXELS} SELECT vec_id, list(round((v / 255.0 - [0.485, 0.456, 0.406][c + 1]) / [0.229, 0.224, 0.225][c + 1], 3) ORDER BY c, y, x) AS input FROM px GROUP BY vec_id")
+def picture_normalise(spark, sf):
+    return small_pictures(spark, sf).select("vec_id", pictures.normalised(F.col("image")).alias("v")).select("vec_id", F.transform("v", lambda x: F.round(x.cast("double"), 3)).alias("input"))
+
+
+@query(
+    f"""WITH {V_PIXELS} , w AS (SELECT vec_id, y, x, c FROM (SELECT DISTINCT vec_id FROM px), range(6) AS r(y), range(4) AS q(x), range(3) AS s(c))
+SELECT vec_id, string_agg(printf('%02X', coalesce(v, 0)), '' ORDER BY w.y, w.x, w.c) AS pixels FROM w LEFT JOIN (SELECT vec_id, y - 1 AS y, x - 2 AS x, c, v FROM px) AS p USING (vec_id, y, x, c) GROUP BY vec_id"""
+)
+def picture_crop_pad(spark, sf):
+    """Columns 2 to 5 of rows from 1 on, padded to 6 rows of 4."""
+    cut = pictures.cropped(F.col("image"), F.lit(2), F.lit(1), F.lit(5), F.lit(4))
+    return small_pictures(spark, sf).select("vec_id", pictures.padded(cut, F.lit(6), F.lit(4)).alias("p")).select("vec_id", F.hex("p.data").alias("pixels"))
+
+
+@query()
+def picture_resize(spark, sf):
+    return small_pictures(spark, sf).select("vec_id", pictures.resized(F.col("image"), F.lit(9), F.lit(7)).alias("p")).select("vec_id", F.hex("p.data").alias("pixels"))
+
+
+@query()
+def picture_rectify(spark, sf):
+    at = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    quad = F.array(at(0, 1), at(4, 0), at(4, 3), at(0, 4))
+    return small_pictures(spark, sf).select("vec_id", pictures.rectified(F.col("image"), quad).alias("p")).select("vec_id", "p.height", "p.width", F.hex("p.data").alias("pixels"))
+
+
+@query(
+    f"""WITH {V_VIDEOS}, h AS (SELECT video_id, width // 2 AS w FROM v), s AS (SELECT video_id, greatest(6, width * 12 // height // 2 * 2) AS n FROM v)
+SELECT video_id, 'half' AS kind, i AS chunk_idx, CAST([0, w, w // 2][i + 1] AS INTEGER) AS "begin", CAST([w, 2 * w, w // 2 + w][i + 1] AS INTEGER) AS "end" FROM h, (SELECT CAST(i AS INTEGER) AS i FROM range(3) AS r(i))
+UNION ALL SELECT video_id, 'square', CAST(i AS INTEGER), CAST(i * 64 AS INTEGER), CAST(i * 64 + 128 AS INTEGER) FROM (SELECT video_id, unnest(range(0, n // 2 - 1)) AS i FROM s)"""
+)
+def line_windows(spark, sf):
+    v = videos(spark, sf)
+    part = lambda kind, spans: v.select("video_id", F.lit(kind).alias("kind"), F.posexplode(spans).alias("chunk_idx", "s")).select("video_id", "kind", "chunk_idx", "s.*")
+    return part("half", G.half_windows(F.col("width"))).unionByName(part("square", G.square_windows(F.col("width") * 12, F.col("height"))))
+
+
+@query(
+    """WITH t AS (SELECT vec_id // 4 AS image_id, CAST(vec_id % 2 * 5 AS BIGINT) AS l, CAST(vec_id // 2 % 2 * 5 AS BIGINT) AS t, embedding FROM embeddings),
+ p AS (SELECT image_id, t + i // 8 AS y, l + i % 8 AS x, embedding[i + 1] > 0.1 AS hit FROM t, range(64) AS r(i)),
+ z AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM p GROUP BY image_id)
+SELECT image_id, CAST(h AS INTEGER) AS height, CAST(w AS INTEGER) AS width, CAST(count(*) FILTER (hit) AS DOUBLE) AS hits, CAST(coalesce(sum((y * 31 + x) * CAST(hit AS INTEGER)), 0) AS DOUBLE) AS places FROM p JOIN z USING (image_id) GROUP BY ALL"""
+)
+def tile_stitch(spark, sf):
+    i = F.col("vec_id")
+    left, top = i % 2 * 5, F.floor(i / 2) % 2 * 5
+    tiles = read(spark, sf, "embeddings").select(F.floor(i / 4).alias("image_id"), left.alias("left"), top.alias("top"), (left + 8).alias("right"), (top + 8).alias("bottom"), F.lit(8).alias("tile_width"), F.col("embedding").alias("probs"))
+    got = pictures.stitched_tiles(tiles, ["image_id"], 0.1)
+    place = F.transform("probs", lambda v, k: v.cast("double") * (F.floor(k / F.col("width")) * 31 + k % F.col("width")))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return got.select("image_id", "height", "width", total(F.transform("probs", lambda v: v.cast("double"))).alias("hits"), total(place).alias("places"))
+
+
+@query()
+def map_boxes(spark, sf):
+    maps = read(spark, sf, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.transform("embedding", lambda x: F.abs(x) * 4).alias("probs"))
+    return pictures.map_boxes(maps, F.lit(80), F.lit(160), least_score=0.4, least_side=1)
+
+
 # Evaluation of detections
 
 

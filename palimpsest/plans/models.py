@@ -8,11 +8,15 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
+from ..functions import geometry as G
+from ..operators import pictures
+
 _POINT = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
 
 
@@ -79,3 +83,42 @@ def recognize(boxes: DataFrame, factory: Callable[[], Recognizer] = StubModel) -
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([each] * len(got))], ["text", "score", "elapse"])
 
     return boxes.withColumn("__r", run(F.col("image"), F.col("quad"))).withColumns({k: F.col(f"__r.{k}") for k in ("text", "score", "elapse")}).drop("__r")
+
+
+class MapModel(Protocol):
+    def maps(self, images: list[np.ndarray]) -> list[np.ndarray]:
+        """The text probability of each pixel of each picture, in a map of the picture's height and width."""
+
+
+class BrightnessModel:
+    """Brightness as probability, for tests and dry runs."""
+
+    def maps(self, images):
+        return [(x.max(axis=2) / 255).astype(np.float32) for x in images]
+
+
+def probability_maps(rows: DataFrame, factory: Callable[[], MapModel] = BrightnessModel, image: str = "image") -> DataFrame:
+    """(…, image struct) -> (…, height, width, probs): pictures give way to their maps; null where a picture is unreadable."""
+
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [pictures.pixels(v.as_py()) for v in batch]
+            maps = iter(_model(factory).maps([x for x in found if x is not None]))
+            yield pa.array([None if x is None else next(maps).astype(np.float32).ravel() for x in found], pa.list_(pa.float32()))
+
+    size = {"height": F.col(image)["height"], "width": F.col(image)["width"]}
+    return rows.select(*[c for c in rows.columns if c not in (image, *size)], *[v.alias(k) for k, v in size.items()], run(F.col(image)).alias("probs"))
+
+
+def detect_tiled(frames: DataFrame, keys: list[str], factory: Callable[[], MapModel] = BrightnessModel, size: int = 640, overlap: int = 64, **limits) -> DataFrame:
+    """(…keys, image struct) -> (…keys, box_idx, quad, det_score) in the picture's coordinates, by way of overlapping tiles.
+
+    The picture is scaled so that its long side spans two tiles; tiles go through the model one by one, in any order and task, and
+    only their maps are shuffled, to the picture's task. `limits` are those of pictures.map_boxes.
+    """
+    to = G.two_tile_size(F.col("image.width"), F.col("image.height"), size, overlap)
+    scaled = frames.where("image.height > 0").select(*keys, F.col("image.height").alias("__h"), F.col("image.width").alias("__w"), pictures.resized(F.col("image"), to["h"], to["w"]).alias("image"))
+    maps = probability_maps(pictures.tiled(scaled, "image", size, overlap), factory).withColumnRenamed("width", "tile_width")
+    found = pictures.map_boxes(pictures.stitched_tiles(maps, [*keys, "__h", "__w"]), F.col("__h"), F.col("__w"), **limits)
+    return found.drop("__h", "__w")

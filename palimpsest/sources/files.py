@@ -16,6 +16,13 @@ def images(spark: SparkSession, folder: str, recursive: bool = True, pattern: st
     return rows.select("path", T.file_name(F.col("path")).alias("filename"), "length", "content")
 
 
+def pictures(spark: SparkSession, folder: str, pattern: str = r"(?i)\.(png|jpg|jpeg|bmp|gif|tif|tiff)$") -> DataFrame:
+    """(path, filename, image): Spark's image struct of each file, a GIF's first frame; null where the file can't be decoded."""
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).where(F.col("image.origin").rlike(pattern))
+    path = F.col("image.origin")
+    return rows.select(path.alias("path"), T.file_name(path).alias("filename"), F.when(F.col("image.height") > 0, F.col("image")).alias("image"))
+
+
 def listed(spark: SparkSession, text: str) -> DataFrame:
     """(image_idx, path) of a comma-separated list."""
     return spark.sql("SELECT :t AS t", args={"t": text}).select(F.posexplode(F.transform(F.split("t", ","), lambda x: F.trim(x))).alias("image_idx", "path")).where("path <> ''")
