@@ -16,6 +16,8 @@ from .components import components
 from .shared import Written, written
 
 SEED, BITS = 42, 64
+#: Shingles of a text that are hashed and counted at a time.
+BLOCK = 255 * 256
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -23,19 +25,19 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and only \x20 and \x09-\x0D separate
     if not words:
         return 0
-    if len(words) <= shingle:
-        digests = xxhash.xxh64_digest(b" ".join(words), SEED)
-    else:
-        joined = b" ".join(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(size + 1) - 1
-        h = xxhash.xxh64_digest
-        digests = b"".join([h(joined[a:b], SEED) for a, b in zip((ends - size).tolist(), ends[shingle - 1 :].tolist(), strict=False)])
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
-    n = len(bits)
-    if n > 255:  # sums of 255 bits fit in a byte
-        bits = np.vstack([bits, np.zeros((-n % 255, BITS), np.uint8)]).reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8)
-    counts = bits.sum(axis=0, dtype=np.int64)
+    joined = b" ".join(words)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size + 1) - 1
+    last = ends[min(shingle, len(words)) - 1 :]
+    n, counts = len(last), np.zeros(BITS, np.int64)
+    begin = (ends - size)[:n]
+    h = xxhash.xxh64_digest
+    for i in range(0, n, BLOCK):  # a text of any length takes the same memory here
+        digests = b"".join([h(joined[a:b], SEED) for a, b in zip(begin[i : i + BLOCK].tolist(), last[i : i + BLOCK].tolist(), strict=True)])
+        bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+        if len(bits) > 255:  # sums of 255 bits fit in a byte
+            bits = np.vstack([bits, np.zeros((-len(bits) % 255, BITS), np.uint8)]).reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8)
+        counts += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n).view(">i8")[0])
 
 

@@ -69,6 +69,15 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_fingerprint_of_long_texts_in_blocks(monkeypatch):
+    text = " ".join(f"W{i * i % 977}\u00c9" for i in range(2000)) + "\n" + "same words again " * 300
+    want = slow_fingerprint(text)
+    for block in (simhash.BLOCK, 1000, 7, 1):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert simhash.fingerprint(text) % 2**64 == want
+        assert [simhash.fingerprint(t) % 2**64 for t in ("", None, "a", "a b c d", "A b c d e")] == [slow_fingerprint(t) for t in ("", None, "a", "a b c d", "A b c d e")]
+
+
 def slow_groups(rows, far=4):
     prints = [slow_fingerprint(t) for _, t in rows]
     of = list(range(len(rows)))
