@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Queries of a broadcast block; rows of a shard's posting block; dimensions probed between two checks.
 QUERIES, ROWS, PROBES = 8_192, 4_096, 8
 _LONG = np.iinfo(np.int64)
@@ -83,31 +85,35 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     count as padded with zeros; rows that repeat a vec_id are candidates each, and queries each; scores beyond a long are the
     nearest long; an empty table gives an empty result; other columns are not used.
 
-    The queries are dealt by hash into blocks of about QUERIES (a block is counted before it is broadcast); for each block every
-    partition of the table is a shard that runs MaxScore and gives k rows a query, which are merged by query.
+    Queries that are alike in id and vector are searched once, with the number of their rows, so that no id fills a block; they
+    are counted, and dealt by hash of both into blocks of about QUERIES. For each block every partition of the table is a shard
+    that runs MaxScore and gives k rows a query, which are merged by query.
     """
     rows = integers(vectors)
     spark = vectors.sparkSession
-    n, dims = rows.agg(F.count_if(is_query), F.max(F.size("v"))).first()
+    queries = written(rows.where(is_query).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times")))
+    n, most = queries.agg(F.count(F.lit(1)), F.max("times")).first()
+    dims = rows.agg(F.max(F.size("v"))).first()[0]
     blocks, out = -(-n // QUERIES), None
     for b in range(blocks):
-        block = rows.where(is_query).where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
+        block = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b).toArrow()
         if not block.num_rows:
             continue
-        ids = block["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        sent = spark.sparkContext.broadcast((ids[order], _dense(block["v"].to_pylist(), dims)[order]))
-        got = rows.mapInArrow(_search(sent, k, dims), "q int, query_id long, vec_id long, score long").withColumn("b", F.lit(b))
+        sent = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _dense(block["v"].to_pylist(), dims), block["times"].to_numpy()))
+        got = rows.mapInArrow(_search(sent, k, dims), "q int, times long, query_id long, vec_id long, score long").withColumn("b", F.lit(b))
         out = got if out is None else out.union(got)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("b", "q").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = out.withColumn("rank", rank).where(F.col("rank") <= k)
+    if most > 1:
+        out = out.withColumn("row", F.explode(F.expr("sequence(1L, times)")))
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 def _search(sent, k: int, dims: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
+        ids, q, times = sent.value
         shard = Shard(ids, q, k)
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
@@ -121,7 +127,7 @@ def _search(sent, k: int, dims: int):
         if sum(n):
             who = np.repeat(np.arange(len(n)), n).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(who), pa.array(ids[who]), pa.array(np.concatenate([v for _, v in shard.best])), pa.array(np.concatenate([s for s, _ in shard.best]))], ["q", "query_id", "vec_id", "score"]
+                [pa.array(who), pa.array(times[who]), pa.array(ids[who]), pa.array(np.concatenate([v for _, v in shard.best])), pa.array(np.concatenate([s for s, _ in shard.best]))], ["q", "times", "query_id", "vec_id", "score"]
             )
 
     return search

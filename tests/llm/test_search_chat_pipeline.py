@@ -34,6 +34,7 @@ def test_top_k(spark):
 def test_top_k_with_awkward_rows(spark, monkeypatch):
     rows = [(0, [1.0, -2.0]), (1, [1.0, -2.0]), (2, [1.0, -2.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (100, [0.5]), (7, []), (8, [1e12, 3.0]), (200, [2e5, -1e5])]
     rows += [(1000 + i, [(i * 37 % 101) / 50 - 1, (i * 53 % 97) / 50 - 1]) for i in range(300)]
+    rows += [(300, [0.5, 1.5])] * 3 + [(300, [0.5, -1.5])]  # a query given three times, and its id with another vector
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, v int").repartition(3)
     got = sorted(tuple(r) for r in maxscore.top_k(df, F.col("vec_id") % 100 == 0, 5).collect())
     assert got == slow_top(rows, 5, 100)
