@@ -263,6 +263,20 @@ def ring(upper: Column, lower: Column) -> Column:
     return F.concat(upper, F.reverse(lower))
 
 
+def along_direction(points: Column) -> Column:
+    """array<struct<x, y, dx, dy>> in the order of projections on the mean direction; of 16 points or more, each half is then put in
+    the order of its own mean direction. Equal projections stay as they are."""
+
+    def ordered(p: Column) -> Column:
+        total = lambda k: F.aggregate(p, F.lit(0.0), lambda s, q: s + q[k]) / F.size(p)
+        keyed = F.transform(p, lambda q, i: F.struct((q["x"] * total("dx") + q["y"] * total("dy")).alias("at"), i.alias("i"), q.alias("q")))
+        return F.transform(F.array_sort(keyed), lambda k: k["q"])
+
+    once, half = ordered(points), F.floor(F.size(points) / 2).cast("int")
+    parts = F.concat(ordered(F.slice(once, F.lit(1), half)), ordered(F.slice(once, half + 1, F.size(points) - half)))
+    return F.when(F.size(points) >= 16, parts).otherwise(once)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

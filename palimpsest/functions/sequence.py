@@ -48,6 +48,7 @@ LAYOUTS = {
     "srn": Layout(after=("<BOS>", "<EOS>"), skip=("<BOS>", "<EOS>")),
     "igtr": Layout(before=("</s>",), after=("<s>", "<pad>"), stop="</s>", skip=("<s>", "<pad>")),
     "mgp": Layout(before=("[GO]", "[s]"), stop="[s]", stop_counts=True, lead="[GO]", confidence="product"),
+    "pg": Layout(after=("blank",), collapse=True, skip=("blank",)),
     "dptr": Layout(before=("[E]",), after=("[B]", "[P]"), stop="[E]", stop_counts=True),
 }
 
@@ -115,6 +116,13 @@ def runs(path: Column) -> Column:
     return F.when(F.size(path) > 0, mids).otherwise(F.expr("cast(array() as array<struct<id:int,mid:int>>)"))
 
 
+def spread_points(points: Column, n: int) -> Column:
+    """n points of a path of n or more: the first, those at equal steps, the last."""
+    step = F.floor(F.size(points) / (n - 1)).cast("int")
+    inner = F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda i: F.get(points, i * step))
+    return F.when(F.size(points) >= n, F.concat(inner, F.slice(points, -1, 1)))
+
+
 def best_head(heads: dict[str, Column]) -> Column:
     """Of struct<text, conf> heads the one with the greatest confidence; the earlier of equals."""
     top = F.greatest(*[h["conf"] for h in heads.values()]) if len(heads) > 1 else next(iter(heads.values()))["conf"]

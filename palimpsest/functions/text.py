@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space of Python's str.strip, beyond \s: stated as a class for the JVM's regular expressions.
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -100,3 +105,15 @@ def file_name(path: Column) -> Column:
 
 def stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")
+
+
+@F.arrow_udf(StringType())
+def _ascii(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in texts:
+        plain = (None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in batch.to_pylist())
+        yield pa.array([None if t is None else "".join(t.split()) for t in plain], pa.string())
+
+
+def ascii_folded(text: Column) -> Column:
+    """ASCII characters of the compatibility decomposition, without white space. Texts that are ASCII already stay in the JVM."""
+    return F.when(text.rlike(r"\A\p{ASCII}*\z"), F.regexp_replace(text, r"[\s\x{1c}-\x{1f}]", "")).otherwise(_ascii(text))

@@ -820,6 +820,25 @@ def comma_list(spark, sf):
     return files.listed(spark, "img0.png, img1.png ,img2.png,img3.png, img4.png")
 
 
+# Points along a line
+
+
+@query(
+    """WITH p AS (SELECT vec_id, i, CAST(embedding[4 * i + 1] AS DOUBLE) AS x, CAST(embedding[4 * i + 2] AS DOUBLE) AS y, CAST(embedding[4 * i + 3] AS DOUBLE) AS dx, CAST(embedding[4 * i + 4] AS DOUBLE) AS dy FROM embeddings, range(9) AS r(i)),
+ m AS (SELECT vec_id, avg(dx) AS dx, avg(dy) AS dy FROM p GROUP BY vec_id)
+SELECT vec_id, list(round(x, 6) ORDER BY p.x * m.dx + p.y * m.dy, i) AS xs FROM p JOIN m USING (vec_id) GROUP BY vec_id"""
+)
+def direction_sort(spark, sf):
+    e = lambda i, k: F.get("embedding", i * 4 + k).cast("double")
+    points = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct(e(i, 0).alias("x"), e(i, 1).alias("y"), e(i, 2).alias("dx"), e(i, 3).alias("dy")))
+    return read(spark, sf, "embeddings").select("vec_id", F.transform(G.along_direction(points), lambda p: F.round(p["x"], 6)).alias("xs"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '\\s', '', 'g') AS folded FROM part")
+def ascii_fold(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", T.ascii_folded(F.col("p_name")).alias("folded"))
+
+
 # Pixels
 
 V_PIXELS = """px AS (SELECT vec_id, i // 15 AS y, i % 15 // 3 AS x, i % 3 AS c, CAST(least(255, greatest(0, floor(128 + 127 * CAST(embedding[i + 1] AS DOUBLE)))) AS BIGINT) AS v FROM embeddings, range(60) AS r(i)),

@@ -110,3 +110,33 @@ def test_pipelines_with_a_stub_model(spark):
     pages = images.select(F.col("filename").alias("file"), F.lit(None).cast("int").alias("page"), "image")
     assert pipeline.end_to_end(pages).count() == 20
     assert models.detect(frames.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [("Caf\u00e9 \u2460\u3000x", "Cafe1x"), ("a\tb \n", "ab"), ("\u0448", ""), ("", ""), (None, None)])
+def test_ascii_folding(spark, text, want):
+    assert one(spark, T.ascii_folded(F.lit(text).cast("string"))) == want
+
+
+@pytest.mark.parametrize("n, want", [(4, [0, 3, 6, 9]), (10, list(range(9)) + [9]), (11, None), (2, [0, 9])])
+def test_points_spread_along_a_path(spark, n, want):
+    assert one(spark, S.spread_points(F.sequence(F.lit(0), F.lit(9)), n)) == want
+
+
+def test_points_along_their_direction(spark):
+    points = [(float(i * 7 % 20), float(i * 3 % 20), 1.0, 0.5 if i % 2 else -0.25) for i in range(20)]
+
+    def slow(p):
+        dx, dy = (sum(q[k] for q in p) / len(p) for k in (2, 3))
+        return sorted(p, key=lambda q: q[0] * dx + q[1] * dy)
+
+    for n in (0, 1, 15, 16, 17, 20):
+        df = spark.createDataFrame([(points[:n],)], "p array<struct<x:double,y:double,dx:double,dy:double>>")
+        want = slow(points[:n]) if n else []
+        if n >= 16:
+            want = slow(want[: n // 2]) + slow(want[n // 2 :])
+        assert [tuple(q) for q in df.select(G.along_direction(F.col("p")).alias("p")).first().p] == want
+
+
+def test_decoding_along_a_path_with_the_blank_last(spark):
+    path = F.expr("cast(array(struct(0, 0.5D), struct(0, 0.5D), struct(2, 0.9D), struct(0, 0.9D), struct(1, 0.7D)) as array<struct<id:int,p:double>>)")
+    assert one(spark, S.decoded(path, ["a", "b"], S.LAYOUTS["pg"]))["text"] == "aab"
