@@ -68,3 +68,21 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], out: str, bucke
     for c in group:
         on = on & same(df[c], per[f"__r_{c}"])
     return df.join(per, on).withColumn(out, F.col(before) + F.col(n) - 1).drop(b, n, before, f"__r_{b}", *[f"__r_{c}" for c in group])
+
+
+def survivors(docs: DataFrame, groups: DataFrame, text_hash: Column) -> DataFrame:
+    """One row of docs per label of groups (doc_id, h, label): that of the smallest doc_id, then of the smallest h = text_hash.
+
+    A label follows from the text alone, so (doc_id, h) names a row, or several that are alike, of one label only. Null doc_ids
+    come last. Only rows that repeat are brought together to drop the others.
+    """
+    per = groups.groupBy("label", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    least = per.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n")).alias("k"))
+    keep = written(least.select(F.col("k.doc_id").alias("__keep"), F.col("k.h").alias("__h"), F.col("k.n").alias("__n")))
+    rows = docs.withColumn("__text", text_hash)
+    kept = rows.join(keep, same(rows["doc_id"], keep["__keep"]) & (rows["__text"] == keep["__h"])).drop("__text", "__keep")
+    out = kept.where("__n = 1")
+    if not keep.where("__n > 1").isEmpty():
+        more = kept.where("__n > 1").withColumn("__id", F.col("doc_id"))
+        out = out.unionByName(more.dropDuplicates(["__id", "__h"]).drop("__id"))
+    return out.drop("__h", "__n")

@@ -17,7 +17,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import cdc, langid, mixing, packing, quality, queries, secrets, simhash, tokens
+import corpus_pipeline
+from palimpsest.llm import cdc, langid, minhash, mixing, packing, quality, queries, secrets, simhash, tokens
 from palimpsest.llm.components import components
 from tests.conftest import DATA, table_of
 
@@ -150,6 +151,53 @@ def test_one_of_each_keeps_columns_and_one_row(awkward, empty):
     assert simhash.one_of_each(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def slow_copies(rows, shingle=5, percent=80):
+    """Survivors' doc_ids by components of exact Jaccard similarity; rows (doc_id, text)."""
+    sets = []
+    for _, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append(frozenset(tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))) if w else frozenset())
+    of = {s: s for s in sets}
+
+    def root(s):
+        while of[s] != s:
+            s = of[s]
+        return s
+
+    pairs = Counter()
+    holders = defaultdict(list)
+    for s in of:
+        for g in s:
+            holders[g].append(s)
+    for v in holders.values():
+        pairs.update(combinations(v, 2))
+    for (a, b), n in pairs.items():
+        if 100 * n >= percent * (len(a) + len(b) - n):
+            of[root(a)] = root(b)
+    ids = defaultdict(list)
+    for (d, _), s in zip(rows, sets, strict=True):
+        ids[root(s)].append(d)
+    return sorted((min((d for d in v if d is not None), default=None) for v in ids.values()), key=repr)
+
+
+@pytest.mark.parametrize("most", [minhash.MOST, 3])
+def test_one_of_each_by_jaccard_matches_brute_force(spark, awkward, docs, empty, most):
+    larger = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for df in (awkward, docs, larger):
+        got = minhash.one_of_each(df, most=most)
+        assert got.columns == df.columns
+        assert sorted((r.doc_id for r in got.collect()), key=repr) == slow_copies(rows_of(df.select("doc_id", "text")))
+    assert minhash.one_of_each(empty).count() == 0
+
+
+def test_pipeline_drops_copies_of_similarity_over_080_and_keeps_those_under(spark):
+    words = [f"w{i}" for i in range(204)]
+    edited = lambda n: " ".join("new" if i in range(10, 10 + 10 * n, 10) else w for i, w in enumerate(words))
+    rows = [(1, " ".join(words)), (2, edited(4)), (3, " ".join(words[::-1])), (4, " ".join(["x", *words[:150:-1], *words[:150]]))]  # 1 and 2: 180 of 220 shingles
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4] == slow_copies(rows)
+
+
 def test_repeated_passages(docs, awkward, empty):
     rows = [(d, t or "") for d, t in rows_of(docs.select("doc_id", "text"))]
     text = dict(rows)
