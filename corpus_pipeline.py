@@ -31,8 +31,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are tokenised and packed into training sequences."""
-    return packing.pack(docs, tokens.vocabulary_file("word_bpe_49k.json"))
+    """Documents are tokenised and packed into training sequences, numbered in the order of the mix."""
+    return packing.pack_in_order(docs, tokens.vocabulary_file("word_bpe_49k.json"))
 
 
 STAGES = [

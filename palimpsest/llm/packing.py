@@ -9,10 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ranked, written
+from .shared import Written, bounded, ranked, written
 from .tokens import CACHE, LONGEST, encoded
 
 END_ID = 1
@@ -57,8 +57,8 @@ class Ids:
 _WORKER: dict = {}
 
 
-def pieces(docs: DataFrame, path: str, size: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): documents' ids and END_ID, cut every `size` ids."""
+def pieces(docs: DataFrame, path: str, size: int, *more: str) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, *more): documents' ids and END_ID, cut every `size` ids."""
     end = np.array([END_ID], "<u4").tobytes()
 
     @F.arrow_udf(_PIECES)
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, path: str, size: int) -> DataFrame:
                     out.append([{"piece": i // size, "start": i, "length": min(size, len(ids) // 4 - i), "ids_crc32": zlib.crc32(ids[4 * i : 4 * (i + size)])} for i in range(0, len(ids) // 4, size)])
             yield pa.array(out, pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))
 
-    return docs.select("doc_id", F.explode(cut(F.col("text"))).alias("p")).select("doc_id", "p.*")
+    return docs.select("doc_id", *more, F.explode(cut(F.col("text"))).alias("p")).select("doc_id", "p.*", *more)
 
 
 class Plan:
@@ -209,3 +209,52 @@ def pack(docs: DataFrame, path: str, size: int = 4096) -> DataFrame:
 
     got = ranked(cut, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "__rank")
     return got.select("doc_id", "piece", "start", "length", "ids_crc32", place(F.col("length"), F.col("__rank")).alias("p")).select("doc_id", "piece", "start", "length", "ids_crc32", "p.sequence_id", "p.offset")
+
+
+def _pack_window(rows: pa.Table, size: int) -> pa.Table:
+    """(window, place, piece, length, ...) of one window -> the same with `seq`, from 0, and `offset`.
+
+    Pieces of a length are dealt in the order of the window, and sequences are numbered by their earliest piece.
+    """
+    rows = rows.sort_by([("place", "ascending"), ("piece", "ascending")])
+    length = rows["length"].to_numpy()
+    lengths, counts = np.unique(length, return_counts=True)
+    counts = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+    full = counts.pop(size, 0)
+    done = Plan(counts, size)
+    table = np.vstack([done.table(), [[size, 0, done.bins, 1, 0]]]) if full else done.table()
+    order = np.argsort(length, kind="stable")
+    rank = np.empty(len(length), np.int64)
+    rank[order] = np.arange(len(length)) - np.searchsorted(length[order], length[order])
+    row = table[np.searchsorted((table[:, 0] << 48) + table[:, 1], (length << 48) + rank, "right") - 1]
+    nth = rank - row[:, 1]
+    seq = row[:, 2] + nth // row[:, 3]
+    _, first, back = np.unique(seq, return_index=True, return_inverse=True)
+    number = np.empty(len(first), np.int64)
+    number[np.argsort(first)] = np.arange(len(first))
+    return rows.append_column("seq", pa.array(number[back])).append_column("offset", pa.array(row[:, 4] + nth % row[:, 3] * length))
+
+
+def pack_in_order(docs: DataFrame, path: str, size: int = 4096, window_docs: int = 4096) -> DataFrame:
+    """pack() for docs read from files: the order of rows in the files (by name, then row) is kept window by window.
+
+    Each `window_docs` consecutive documents are packed by themselves; sequences are numbered window after window and, within
+    one, by their earliest piece. So a sequence holds documents of one window only, and for every window the first sequences hold
+    just the documents up to its end: what the order decides over the whole it decides over the sequences, to within a window.
+
+    A window is planned in one task, from the lengths of its pieces; the driver sees none. The price of windows is at
+    most about one part-filled sequence each.
+    """
+    docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    cut = Written(pieces(docs, path, size, "file", "at"))
+    files = cut.df.where("piece = 0").groupBy(F.col("file").alias("__file")).agg(F.count(F.lit(1)).alias("n"))
+    files = bounded(written(files.select("__file", F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))))
+    rows = cut.df.join(files, cut.df["file"] == files["__file"]).withColumn("place", F.col("__before") + F.col("at"))
+    rows = rows.select(F.expr(f"place div {window_docs}").alias("window"), "place", "doc_id", "piece", "start", "length", "ids_crc32")
+    schema = f"window bigint, place bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, seq bigint, offset bigint"
+    packed = Written(rows.groupBy("window").applyInArrow(lambda one: _pack_window(one, size), schema))
+    cut.drop()
+    windows = packed.df.groupBy(F.col("window").alias("__window")).agg((F.max("seq") + 1).alias("n"))
+    windows = bounded(written(windows.select("__window", F.coalesce(F.sum("n").over(Window.orderBy("__window").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))))
+    got = packed.df.join(windows, packed.df["window"] == windows["__window"])
+    return got.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("__before") + F.col("seq")).alias("sequence_id"), "offset")

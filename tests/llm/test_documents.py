@@ -405,6 +405,44 @@ def test_packing(docs, awkward, empty, size):
     assert packing.pack(empty, path, size).count() == 0
 
 
+def test_packing_in_order_keeps_windows_and_follows_the_mix(spark, docs, awkward, empty, tmp_path):
+    path = tokens.vocabulary_file("word_bpe_49k.json")
+
+    def packed(df, name, **kw):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return packing.pack_in_order(spark.read.parquet(f"{tmp_path}/{name}"), path, **kw).toPandas()
+
+    for name, df in (("docs", docs), ("awkward", awkward)):
+        for size in (4096, 300):
+            got = packed(df, f"{name}{size}", size=size, window_docs=7)
+            check_packing(df, got, size)
+            assert sorted(set(got.sequence_id)) == list(range(got.sequence_id.nunique()))
+    assert len(packed(empty, "empty")) == 0
+    weights = [None, {"src0": 9.0, "src1": 1.0}, {"src0": 1.0, "src1": 9.0}]
+    places = []
+    for i, w in enumerate(weights):
+        mixed = mixing.in_order(docs, w, block_docs=1)
+        got = packed(mixed, f"mix{i}", window_docs=20)
+        order = [r.doc_id for r in spark.read.parquet(f"{tmp_path}/mix{i}").select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+        assert order == [r.doc_id for r in mixed.collect()]
+        ends = [0]
+        for k in range(0, len(order), 20):  # a window's documents fill the next sequences by themselves
+            ends.append(int(got[got.doc_id.isin(order[k : k + 20])].sequence_id.max()) + 1)
+            assert set(got[got.sequence_id.between(ends[-2], ends[-1] - 1)].doc_id) == set(order[k : k + 20])
+        places.append(sorted(got[["doc_id", "piece", "sequence_id", "offset"]].itertuples(index=False, name=None)))
+    plain = sorted(packed(docs.repartition(3, "doc_id"), "plain", window_docs=20)[["doc_id", "piece", "sequence_id", "offset"]].itertuples(index=False, name=None))
+    assert len({str(p) for p in (*places, plain)}) == 4
+
+
+def test_the_mix_decides_rows_of_the_pipeline(spark, monkeypatch):
+    stages, out = corpus_pipeline.STAGES, []
+    for stage in (corpus_pipeline.source_mix, lambda s, d, _: mixing.in_order(d, {"src1": 9.0, "src0": 1.0}, block_docs=1), None):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, stage if n == "source_mix" else f) for n, f in stages if stage or n != "source_mix"])
+        out.append(corpus_pipeline.run(spark, DATA).toPandas())
+    assert len({str(table_of(x)) for x in out}) == 3
+    assert len({str(table_of(x[["doc_id", "piece", "start", "length", "ids_crc32"]])) for x in out}) == 1
+
+
 def test_packing_plans_are_valid_and_no_worse_than_best_fit():
     rng = random.Random(8)
     for size in (10, 37, 100):
