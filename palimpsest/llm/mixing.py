@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fractions import Fraction
+from heapq import heappop, heappush
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -31,6 +34,90 @@ aggregate(sequence(0, m - 1),
 """
 
 
+#: Windows of blocks first[i] to first[i] + c[i] - 1 of each source in the fluid schedule of all its n blocks at the rate of its weight w.
+_EXACT = """
+transform(x, (a, i) -> if(c[i] = 0, cast(array() as array<struct<free:bigint,due:bigint>>), transform(sequence(first[i], first[i] + c[i] - 1L),
+  j -> named_struct(
+    'free', aggregate(x, 0L, (t, o) -> t + least(o.n * a.w, o.w * j)) div a.w - at,
+    'due', (aggregate(x, 0L, (t, o) -> t + least(o.n * a.w, o.w * (j + 1))) + a.w - 1) div a.w - at))))
+"""
+#: Whole weights of a schedule sum to about this.
+UNIT = 2**32
+
+
+def states(n: list[int], w: list[int], every: int) -> Iterator[tuple[int, list[int]]]:
+    """(slot, blocks of each source so far) before every `every`-th slot and at the end, by earliest-deadline-first over the windows of _EXACT.
+
+    Takes a few steps a block and keeps only the sources' places.
+    """
+    by = sorted(range(len(n)), key=lambda i: Fraction(n[i], w[i]))
+    gone, rate = [0], [sum(w)]
+    for i in by:
+        gone.append(gone[-1] + n[i])
+        rate.append(rate[-1] - w[i])
+    at, done = [0] * len(n), [0] * len(n)
+
+    def time(i: int, j: int) -> int:
+        """w[i] times the time at which source i has had j blocks: sources that ran out before then have had all of theirs."""
+        while at[i] < len(by) and n[by[at[i]]] * w[i] <= w[by[at[i]]] * j:
+            at[i] += 1
+        return gone[at[i]] * w[i] + rate[at[i]] * j
+
+    def window(i: int, j: int) -> None:
+        free = time(i, j) // w[i]
+        heappush(later, (free, -(-time(i, j + 1) // w[i]), i))
+
+    later: list[tuple[int, int, int]] = []
+    ready: list[tuple[int, int]] = []
+    for i in range(len(n)):
+        window(i, 0)
+    total = sum(n)
+    for t in range(total):
+        if t % every == 0:
+            yield t, done[:]
+        while later and later[0][0] <= t:
+            heappush(ready, heappop(later)[1:])
+        i = heappop(ready)[1]
+        done[i] += 1
+        if done[i] < n[i]:
+            window(i, done[i])
+    yield total, done
+
+
+def shares(docs: DataFrame, weights: dict | None, alpha: float, block_docs: int) -> DataFrame:
+    """(source, s, n blocks, tier, w) of each source, null included: whole weights of a unit in tier 0; alike ones for sources of no weight in tier 1."""
+    one = _weighed(docs, weights, alpha).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("k"), "source", "docs", "w"))).alias("x"), F.sum(F.greatest("w", F.lit(0.0))).alias("total"))
+    one = one.select("total", F.posexplode("x").alias("s", "e")).select("e.source", "s", F.ceil(F.col("e.docs") / block_docs).alias("n"), F.col("e.w").alias("w"), "total")
+    whole = F.greatest(F.lit(1), F.round(F.try_divide("w", "total") * UNIT)).cast("long")
+    return written(one.select("source", "s", "n", F.when(F.col("w") > 0, 0).otherwise(1).alias("tier"), F.when(F.col("w") > 0, whole).otherwise(F.lit(1).cast("long")).alias("w")))
+
+
+def schedule(sources: DataFrame, every: int = 500) -> DataFrame:
+    """(source, s, n, tier, w) -> (s, block, slot) of every block.
+
+    The driver runs through the schedule once and keeps where each source stands before every `every`-th slot; tasks fill in the
+    stretches between, each by itself. Sources of tier 1 begin when those of tier 0 have run out.
+    """
+    known = sources.select("s", "n", "tier", "w").orderBy("s").collect()
+    rows, base = [], 0
+    for tier in (0, 1):
+        own = [r for r in known if r["tier"] == tier]
+        if not own:
+            continue
+        before = None
+        for t, done in states([r["n"] for r in own], [r["w"] for r in own], every):
+            if before is not None:
+                rows.append((tier, base, before[0], t - before[0], before[1], [b - a for a, b in zip(before[1], done, strict=True)]))
+            before = t, done
+        base += before[0]
+    spark = sources.sparkSession
+    parts = spark.createDataFrame(rows, "tier int, base bigint, at bigint, m bigint, first array<bigint>, c array<bigint>")
+    x = sources.groupBy("tier").agg(F.array_sort(F.collect_list(F.struct("s", F.col("n").cast("long").alias("n"), "w"))).alias("x"))
+    parts = parts.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)), "at", "tier").join(F.broadcast(x), "tier").withColumn("c", F.expr("transform(c, k -> cast(k as int))"))
+    parts = parts.withColumn("windows", F.expr(_EXACT)).select("x", "base", "at", "first", F.posexplode(F.expr(_EDF)).alias("slot", "e"))
+    return parts.select(F.expr("x[e.s].s").alias("s"), F.expr("first[e.s] + e.j").alias("block"), F.expr("base + at + slot").alias("slot"))
+
+
 def plan(sources: DataFrame) -> DataFrame:
     """(source, s, n, quota) -> (s, r0, upto, j, slot, base, m): where block j of a round goes, for each kind of round.
 
@@ -46,37 +133,54 @@ def plan(sources: DataFrame) -> DataFrame:
     return kinds.select("r0", "upto", "base", "m", F.posexplode(F.expr(_EDF)).alias("slot", "e")).select("e.s", "r0", "upto", "e.j", "slot", "base", "m")
 
 
-def targets(docs: DataFrame, weights: dict | None, alpha: float, round_blocks: int, block_docs: int) -> DataFrame:
-    """(source, s, n blocks, quota of blocks in a round) of each source, null included."""
+def _weighed(docs: DataFrame, weights: dict | None, alpha: float) -> DataFrame:
+    """(source, docs, w) of each source, null included."""
     per = docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
     if weights is None:
         w = F.pow(F.col("docs").cast("double"), F.lit(alpha))
     else:
         known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(float(v))) for k, v in weights.items())) if weights else F.create_map().cast("map<string,double>")
         w = F.coalesce(known[F.col("source")], F.lit(0.0))
-    per = written(per.withColumn("w", w))
+    return written(per.withColumn("w", w))
+
+
+def targets(docs: DataFrame, weights: dict | None, alpha: float, round_blocks: int, block_docs: int) -> DataFrame:
+    """(source, s, n blocks, quota of blocks in a round) of each source, null included."""
+    per = _weighed(docs, weights, alpha)
     total = per.agg(F.sum("w").alias("total"))
     per = per.join(F.broadcast(total)).withColumn("quota", F.greatest(F.lit(1), F.expr(f"cast(coalesce(round({round_blocks} * try_divide(w, total)), 1) as int)")))
     one = per.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("k"), "source", "docs", "quota"))).alias("x")).select(F.posexplode("x").alias("s", "e"))
     return written(one.select("e.source", "s", F.ceil(F.col("e.docs") / block_docs).alias("n"), "e.quota"))
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, round_blocks: int = 1000, block_docs: int = 16) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, round_blocks: int | None = None, block_docs: int = 16) -> DataFrame:
     """docs with __block, __slot, __seq: the row's block within its source, the block's slot in the mix, the row's place in it.
 
-    Every row comes once. Target weights: `weights` (a source that it lacks gets one block a round), or the sources' sizes to the
-    power `alpha`; they are rounded to whole blocks of a round of about `round_blocks`, at least one a source. While all sources
-    last, each has within one block of its weight's share in every prefix of the mix; a source that has run out leaves its
-    share to the others in proportion to theirs. The sources, not the rows, are brought together to plan: meant for up to some hundreds.
+    Every row comes once. Target weights: `weights`, or the sources' sizes to the power `alpha`. While all sources last, each has
+    within one block of its weight's share in every prefix of the mix, however long; a source that has run out leaves its share to the
+    others in proportion to theirs. Sources that `weights` lacks or gives nothing come when the others have run out, in equal shares.
+
+    With `round_blocks`, weights are rounded to whole blocks of a round of about that many, at least one a source, and the share that is
+    kept to within a block is that of the rounded weights. The sources, not the rows, are brought together to plan.
     """
-    sources = targets(docs, weights, alpha, round_blocks, block_docs)
-    rounds = bounded(written(plan(sources)))
-    ends = rounds.select("s", "r0", "upto").groupBy("s").agg(F.array_sort(F.collect_set(F.struct("r0", "upto"))).alias("__kinds"))
-    info = bounded(written(sources.join(ends, "s").select(F.col("s").alias("__s"), F.col("source").alias("__source"), F.col("quota").alias("__quota"), "__kinds")))
+    if round_blocks is None:
+        sources = shares(docs, weights, alpha, block_docs)
+        at = written(schedule(sources).select(F.col("s").alias("__ps"), F.col("block").alias("__pb"), F.col("slot").alias("__slot")))
+        info = bounded(written(sources.select(F.col("s").alias("__s"), F.col("source").alias("__source"))))
+    else:
+        sources = targets(docs, weights, alpha, round_blocks, block_docs)
+        rounds = bounded(written(plan(sources)))
+        ends = rounds.select("s", "r0", "upto").groupBy("s").agg(F.array_sort(F.collect_set(F.struct("r0", "upto"))).alias("__kinds"))
+        info = bounded(written(sources.join(ends, "s").select(F.col("s").alias("__s"), F.col("source").alias("__source"), F.col("quota").alias("__quota"), "__kinds")))
     key = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     rows = ranked(docs.withColumn("__key", key), ["source"], [F.col("doc_id"), F.col("__key")], "__rank").drop("__key")
     rows = rows.withColumn("__block", F.expr(f"__rank div {block_docs}")).withColumn("__seq", (F.col("__rank") % block_docs).cast("int"))
-    rows = rows.join(info, same(rows["source"], info["__source"])).withColumn("__r", F.expr("__block div __quota")).withColumn("__j", F.expr("cast(__block % __quota as int)"))
+    rows = rows.join(info, same(rows["source"], info["__source"]))
+    if round_blocks is None:
+        at = bounded(at)
+        rows = rows.join(at, (rows["__s"] == at["__ps"]) & (rows["__block"] == at["__pb"]))
+        return rows.select(*docs.columns, "__block", "__slot", "__seq")
+    rows = rows.withColumn("__r", F.expr("__block div __quota")).withColumn("__j", F.expr("cast(__block % __quota as int)"))
     rows = rows.withColumn("__r0", F.expr("element_at(filter(__kinds, k -> k.r0 <= __r and __r < k.upto), 1).r0"))
     at = rounds.select(F.col("s").alias("__ps"), F.col("r0").alias("__pr"), F.col("j").alias("__pj"), F.col("slot").alias("__at"), F.col("base").alias("__base"), F.col("m").alias("__m"))
     rows = rows.join(at, (rows["__s"] == at["__ps"]) & (rows["__r0"] == at["__pr"]) & (rows["__j"] == at["__pj"]))
@@ -84,7 +188,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, roun
     return rows.select(*docs.columns, "__block", "__slot", "__seq")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, round_blocks: int = 1000, block_docs: int = 16) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, round_blocks: int | None = None, block_docs: int = 16) -> DataFrame:
     """(doc_id, source, ...) -> (doc_id, source, block, slot, seq), a row per row of docs; (slot, seq) is the order of the mix.
 
     A null source is a source of its own; repeated rows and null doc_ids each have their place; an empty table gives an empty
@@ -94,6 +198,6 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, round_
     return got.select("doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__seq").alias("seq"))
 
 
-def in_order(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, round_blocks: int = 1000, block_docs: int = 16) -> DataFrame:
+def in_order(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, round_blocks: int | None = None, block_docs: int = 16) -> DataFrame:
     """All rows of docs, ranged over partitions and sorted by the mix, so that files written from it hold the mix's order."""
     return mixed(docs, weights, alpha, round_blocks, block_docs).orderBy("__slot", "__seq").select(*docs.columns)

@@ -376,6 +376,42 @@ def test_mixing(docs, awkward, empty, block_docs, round_blocks):
     assert mixing.in_order(awkward).columns == awkward.columns and mixing.in_order(awkward).count() == awkward.count()
 
 
+def test_mixing_keeps_to_unrounded_weights_over_many_rounds(spark):
+    sizes = {"big": 16_000, **{f"s{i:02}": 1_600 for i in range(19)}}
+    rows = spark.range(sum(sizes.values())).selectExpr("id doc_id", "case when id < 16000 then 'big' else 's' || lpad(cast((id - 16000) div 1600 as string), 2, '0') end source")
+    got = mixing.mix(rows, block_docs=1).toPandas().sort_values("slot")
+    assert list(got.slot) == list(range(len(got)))
+    w = {k: math.sqrt(v) for k, v in sizes.items()}
+    for part, blocks in got.groupby("source"):
+        assert list(blocks.block) == list(range(sizes[part]))
+    full = int(min(sizes[k] / w[k] for k in sizes) * sum(w.values())) - 20
+    assert full > 20_000
+    for k in sizes:
+        off = (got.source == k).cumsum().to_numpy()[:full] - np.arange(1, full + 1) * w[k] / sum(w.values())
+        assert np.abs(off).max() < 1.001
+    small = {"a": 0.9994, "b": 0.0006, "c": 0.0}
+    rows = spark.range(30_000).selectExpr("id doc_id", "case when id < 29000 then 'a' when id < 29500 then 'b' else 'c' end source")
+    got = mixing.mix(rows, small, block_docs=1).toPandas().sort_values("slot")
+    assert set(got.source[-500:]) == {"c"} and "c" not in set(got.source[:-500]) and 16 <= (got.source[:28_000] == "b").sum() <= 18
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_schedule_is_that_of_one_long_round(spark, seed):
+    rng = random.Random(seed)
+    n = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 7))]
+    w = [rng.randrange(1, 1000) for _ in n]
+    sources = spark.createDataFrame([(f"x{i}", i, a, 0, b) for i, (a, b) in enumerate(zip(n, w, strict=True))], "source string, s int, n bigint, tier int, w bigint")
+    got = [(r.s, r.block) for r in mixing.schedule(sources, 13).orderBy("slot").collect()]
+    time = lambda i, j: sum(min(Fraction(x), Fraction(q * j, w[i])) for x, q in zip(n, w, strict=True))
+    nxt, want = [0] * len(n), []
+    for t in range(sum(n)):
+        due, i = min((math.ceil(time(i, nxt[i] + 1)), i) for i, x in enumerate(n) if nxt[i] < x and math.floor(time(i, nxt[i])) <= t)
+        assert due > t
+        want.append((i, nxt[i]))
+        nxt[i] += 1
+    assert got == want
+
+
 def test_mixing_to_given_weights(docs):
     got = mixing.mix(docs, {"src0": 3.0, "src1": 1.0}, round_blocks=8, block_docs=1).toPandas().sort_values("slot")
     assert len(got) == docs.count() and list(got.source[:4]).count("src0") >= 1
