@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Written, survivors, written
+from .shared import Written, bounded, survivors, written
 
 #: 20 bands of 4 least values: a pair of similarity 0.8 shares none of them with probability 0.00003, one of 0.9 with 5e-10.
 BANDS, ROWS = 20, 4
 #: Shingles of a text that are permuted at a time.
-BLOCK = 4096
+BLOCK = 512
 #: Texts of a group of candidates that come into one task; a larger group goes in pairs of halves of this.
-MOST = 4000
+MOST = 1000
 _RNG = np.random.default_rng(42)
 _ODD, _XOR = _RNG.integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * 2 + 1, _RNG.integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * 2
 
@@ -36,7 +36,7 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((h(joined[a:b]) for a, b in zip((ends - size)[: len(last)].tolist(), last.tolist(), strict=True)), np.uint64, len(last)))
 
 
-def bands(text: str | None, shingle: int) -> list[int]:
+def bands(text: str | None, shingle: int) -> np.ndarray:
     """A signed 64-bit key for each band of the least values of a text's shingles under BANDS * ROWS permutations."""
     h, least = shingles(text, shingle), np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for i in range(0, len(h), BLOCK):
@@ -44,14 +44,17 @@ def bands(text: str | None, shingle: int) -> list[int]:
         least = np.minimum(least, (v ^ (v >> np.uint64(29))).min(axis=1))
     raw = least.tobytes()
     step = 8 * ROWS
-    return np.array([xxhash.xxh64_intdigest(raw[i * step : (i + 1) * step], i) for i in range(BANDS)], np.uint64).view(np.int64).tolist()
+    return np.array([xxhash.xxh64_intdigest(raw[i * step : (i + 1) * step], i) for i in range(BANDS)], np.uint64).view(np.int64)
 
 
 def _bands(shingle: int):
     @F.arrow_udf("array<long>")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pa.array([bands(x.as_py(), shingle) for x in batch], pa.list_(pa.int64()))
+            flat = np.empty((len(batch), BANDS), np.int64)
+            for i, x in enumerate(batch):
+                flat[i] = bands(x.as_py(), shingle)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * BANDS), pa.array(flat.ravel()))
 
     return of
 
@@ -94,7 +97,8 @@ def _verifier(shingle: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
         for batch in batches:
-            for group, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*batch.columns, strict=True):
+                group, node, text = (x.as_py() for x in row)
                 if group != now:
                     if len(nodes) > 1:
                         yield edges(nodes, sets)
@@ -122,6 +126,7 @@ def _labels(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, most:
     parts = F.ceil(F.col("n") * 2 / most).cast("int")
     size = groups.df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.col("label").alias("__label"), F.when(F.col("n") > most, parts).otherwise(1).alias("parts"))
     member = groups.df.join(size, groups.df["label"] == size["__label"]).select(F.col("node").alias("__node"), "label", "parts")
+    member = bounded(written(member))
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))
     texts = docs.select(_node().alias("node"), "text")
     texts = texts.join(member, texts["node"] == member["__node"]).dropDuplicates(["node"])
