@@ -8,12 +8,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .components import components
-from .shared import Written, written
+from .shared import Written, survivors, written
 
 SEED, BITS = 42, 64
 #: Shingles of a text that are hashed and counted at a time.
@@ -149,8 +149,8 @@ def near_duplicates(docs: DataFrame, far: int = 4, blocks: int = 7, most: int =
     return _grouped(docs, far, blocks, most).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _grouped(docs: DataFrame, far: int, blocks: int, most: int) -> DataFrame:
-    rows = written(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
+def _grouped(docs: DataFrame, far: int, blocks: int, most: int, *more: Column) -> DataFrame:
+    rows = written(docs.select("doc_id", fingerprints(F.col("text")).alias("fp"), *more))
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     edges = Written(links(fps.select("fp"), far, blocks, most))
     label = components(edges.df)
@@ -163,17 +163,7 @@ def _grouped(docs: DataFrame, far: int, blocks: int, most: int) -> DataFrame:
 def one_of_each(docs: DataFrame, far: int = 4, blocks: int = 7, most: int = 20_000) -> DataFrame:
     """docs with one row of each near-duplicate component: that of the smallest doc_id (any one of repeated rows); all columns stay.
 
-    Components without any doc_id keep one row too.
+    Components without any doc_id keep one row too; a doc_id on different texts stands for a row in each one's component.
     """
-    groups = written(_grouped(docs, far, blocks, most))
-    keep = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__n"))
-    kept = docs.join(keep, docs["doc_id"] == keep["__keep"])
-    single = kept.where("__n = 1").drop("__keep", "__n")
-    out = single
-    if not keep.where("__n > 1").isEmpty():
-        out = out.unionByName(kept.where("__n > 1").dropDuplicates(["__keep"]).drop("__keep", "__n"))
-    if not groups.where("doc_id is null and component_id is null").isEmpty():
-        lone = groups.where("doc_id is null and component_id is null").select(F.col("fp").alias("__fp"), F.col("label").alias("__label")).distinct()
-        blank = docs.where("doc_id is null").withColumn("__own", fingerprints(F.col("text")))
-        out = out.unionByName(blank.join(lone, blank["__own"] == lone["__fp"]).dropDuplicates(["__label"]).drop("__own", "__fp", "__label"))
-    return out
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    return survivors(docs, _grouped(docs, far, blocks, most, own.alias("h")).select("doc_id", "h", "label"), own)

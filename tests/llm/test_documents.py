@@ -180,6 +180,14 @@ def slow_copies(rows, shingle=5, percent=80):
     return sorted((min((d for d in v if d is not None), default=None) for v in ids.values()), key=repr)
 
 
+def test_one_of_each_where_a_doc_id_stands_on_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    schema = "doc_id long, text string"
+    for rows, want in (([(1, a), (1, b), (2, a), (3, b)], [(1, a), (1, b)]), ([(1, a), (0, b), (1, b), (2, a)], [(0, b), (1, a)])):
+        for one_of_each in (simhash.one_of_each, minhash.one_of_each):
+            assert sorted(rows_of(one_of_each(spark.createDataFrame(rows, schema)))) == want
+
+
 @pytest.mark.parametrize("most", [minhash.MOST, 3])
 def test_one_of_each_by_jaccard_matches_brute_force(spark, awkward, docs, empty, most):
     larger = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
