@@ -6,6 +6,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Written, bounded, ranked, written
-from .tokens import CACHE, LONGEST, encoded
+from .tokens import CACHE, LONGEST, encoded, tokenizer
 
 END_ID = 1
 #: A full stop or comma that is no pre-token by itself, as another mark may come before it.
@@ -38,6 +39,9 @@ class Ids:
 
     def __init__(self, path: str):
         self.path, self.seen = path, {"": b""}
+        self.added = {t.content for t in tokenizer(path).get_added_tokens_decoder().values()}
+        self.mark = commonprefix(sorted(self.added))
+        self.odd = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)", re.IGNORECASE)
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         parts = [words(x) if x else [] for x in texts]
@@ -46,6 +50,10 @@ class Ids:
             self.seen.update(zip(new, encoded(self.path, new, fold=True), strict=True))
         get = self.seen.__getitem__
         out = [b"".join(map(get, x)) for x in parts]
+        # Added tokens are matched on the raw text, so one in other letters is no token, but its small letters are.
+        for i, x in enumerate(texts):
+            if x and self.mark in x and any(m.group() not in self.added for m in self.odd.finditer(x)):
+                out[i] = np.array(tokenizer(self.path).encode(x, add_special_tokens=False).ids, "<u4").tobytes()
         for x in new:
             if len(x) > LONGEST:
                 del self.seen[x]

@@ -330,6 +330,14 @@ def test_units_on_random_texts():
     assert packing.Ids(p9).of(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokens.tokenizer(p9).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_in_other_letters_are_plain_text():
+    rng = random.Random(6)
+    bits = ["<|StartOfText|>", "<|ENDOFTEXT|>", "<|endoftext|>", "<|startoftext|>", "a", " ", "B. ", "<|", "\u03a3", "\u0130", "x<|EndOfText|>y"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    path = tokens.vocabulary_file("word_bpe_49k.json")
+    assert packing.Ids(path).of(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokens.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_language_id_on_held_out_rows(spark, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
