@@ -2,202 +2,170 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from fractions import Fraction
-from heapq import heappop, heappush
 from itertools import chain
+from math import isfinite
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded, ranked, same, written
-
-#: Windows of a round: source i gets blocks at its quota's rate until its c[i] blocks are used up, when the others share its time.
-#: Of that fluid schedule, the time at which source i has had j blocks is the sum over sources s of min(c[s], quota[s] j / quota[i]).
-#: Block j may go from that slot on (rounded down), and must go before the time of j + 1 (rounded up).
-_WINDOWS = """
-transform(x, (a, i) -> if(c[i] = 0, cast(array() as array<struct<free:bigint,due:bigint>>), transform(sequence(0L, c[i] - 1L),
-  j -> named_struct(
-    'free', aggregate(x, 0L, (t, o) -> t + least(greatest(0L, least(o.quota, o.n - r0 * o.quota)) * a.quota, o.quota * j)) div a.quota,
-    'due', (aggregate(x, 0L, (t, o) -> t + least(greatest(0L, least(o.quota, o.n - r0 * o.quota)) * a.quota, o.quota * (j + 1))) + a.quota - 1) div a.quota))))
+from .shared import Written, bounded, ranked, same, written
+
+#: Whole weights of a schedule sum to about this, so a weight is off by under half of 2**-36.
+UNIT = 2**36
+#: Blocks of a schedule, at most about: more documents make larger blocks. Then all products below fit in a long, and what the rounding
+#: of weights adds over the whole schedule is under a thousandth of a block.
+MOST_BLOCKS = 2**25
+#: Slots that one row of the plan schedules; more with more sources.
+STRETCH = 512
+
+# The schedule to keep to is fluid: at each time the sources that have blocks left share it by weight. x lists a tier's sources with
+# n blocks, weight w and `out`, w times the time at which the source's blocks are used up; a source is out by time t if out <= t * w.
+#: w times the time at which source a has had j blocks, out or not: the others that ran out before then have had all of theirs.
+_TIME = "aggregate(x, 0L, (t, o) -> t + least(o.n * a.w, o.w * ({j})))"
+#: The state of the fluid schedule at time t: blocks of sources that are out, weight of those that are not.
+_FLUID = "named_struct('gone', aggregate(x, 0L, (t, o) -> t + if(o.out <= {t} * o.w, o.n, 0L)), 'rate', aggregate(x, 0L, (t, o) -> t + if(o.out <= {t} * o.w, 0L, o.w)))"
+#: Blocks that source o has had by the time of the state s, rounded down or up.
+_DOWN = "if(o.out <= {t} * o.w, o.n, (o.w * ({t} - {s}.gone)) div {s}.rate)"
+_UP = "if(o.out <= {t} * o.w, o.n, (o.w * ({t} - {s}.gone) + {s}.rate - 1) div {s}.rate)"
+
+#: Sources that are in the middle of a block at time `at`: its release and deadline.
+_MIDST = f"""
+transform(filter(transform(x, (a, i) -> named_struct('i', i, 'j', down[i], 'a', a)), p -> p.a.out > at * p.a.w and (p.a.w * (at - fluid.gone)) % fluid.rate > 0),
+  p -> transform(array(p.a), a -> named_struct('due', ({_TIME.format(j="p.j + 1")} + a.w - 1) div a.w, 'i', p.i, 'free', {_TIME.format(j="p.j")} div a.w, 'w', a.w))[0])
+"""
+#: The slots from f on, less the blocks with windows within f and `at`: so many others of release f or later may be done by `at`.
+_SPARE = f"transform(array(named_struct('f', f, 's', {_FLUID.format(t='f')})), q -> at - q.f - aggregate(transform(x, (o, i) -> greatest(0L, down[i] - {_UP.format(t='q.f', s='q.s')})), 0L, (t, k) -> t + k))[0]"
+#: For each release among those in the middle (`frees`), and 0: how many of the blocks in the middle of that release or later may be done
+#: by `at`. The least spare from the release before on counts, back to where the share of sources of earlier releases leaves room for all.
+_ROOM = f"""
+concat(array(named_struct('f', 0L, 'n', at - aggregate(down, 0L, (t, k) -> t + k))),
+  transform(frees, (f2, k) -> named_struct('f', f2, 'n', array_min(transform(sequence(if(k = 0, f2, greatest(frees[k - 1] + 1, at - 1 - cast(ceil(size(filter(midst, p -> p.free >= f2)) * cast(total_w as double) / aggregate(midst, 0L, (t, p) -> t + if(p.free < f2, p.w, 0L))) as bigint))), f2),
+      f -> {_SPARE})))))
+"""
+#: Earliest deadlines first, as long as there is room: the blocks in the middle that are done by `at`.
+_TAKEN = """
+aggregate(array_sort(midst), named_struct('room', room, 'took', cast(array() as array<int>)),
+  (acc, p) -> if(exists(acc.room, r -> r.f <= p.free and r.n <= 0), acc,
+    named_struct('room', transform(acc.room, r -> named_struct('f', r.f, 'n', if(r.f <= p.free, r.n - 1, r.n))), 'took', concat(acc.took, array(p.i)))),
+  acc -> acc.took)
+"""
+#: Windows of the blocks of each source that are released before the stretch's end, from its first one that is not done.
+_WINDOWS = f"""
+transform(x, (a, i) -> transform(if(upto[i] > first[i], sequence(first[i], upto[i] - 1), cast(array() as array<bigint>)),
+  j -> named_struct('free', {_TIME.format(j="j")} div a.w - at, 'due', ({_TIME.format(j="j + 1")} + a.w - 1) div a.w - at)))
 """
 #: Earliest-deadline-first over those windows, one block a slot; ties go to the source listed first. The fluid schedule meets every
 #: window, so this does too, and no slot is left empty.
 _EDF = """
-aggregate(sequence(0, m - 1),
-  named_struct('nxt', transform(c, x -> 0), 'out', cast(array() as array<struct<s:int,j:int>>)),
+aggregate(sequence(0L, m - 1),
+  named_struct('nxt', transform(x, o -> 0), 'out', cast(array() as array<struct<s:int,j:int>>)),
   (acc, t) -> transform(
-    array(array_min(transform(c, (k, i) -> if(acc.nxt[i] < k and windows[i][acc.nxt[i]].free <= t, named_struct('due', windows[i][acc.nxt[i]].due, 's', i), null)))),
-    p -> named_struct('nxt', transform(acc.nxt, (x, i) -> if(i = p.s, x + 1, x)),
+    array(array_min(transform(windows, (v, i) -> if(acc.nxt[i] < size(v) and v[acc.nxt[i]].free <= t, named_struct('due', v[acc.nxt[i]].due, 's', i), null)))),
+    p -> named_struct('nxt', transform(acc.nxt, (k, i) -> if(i = p.s, k + 1, k)),
                       'out', concat(acc.out, array(named_struct('s', p.s, 'j', acc.nxt[p.s])))))[0],
   acc -> acc.out)
 """
 
 
-#: Windows of blocks first[i] to first[i] + c[i] - 1 of each source in the fluid schedule of all its n blocks at the rate of its weight w.
-_EXACT = """
-transform(x, (a, i) -> if(c[i] = 0, cast(array() as array<struct<free:bigint,due:bigint>>), transform(sequence(first[i], first[i] + c[i] - 1L),
-  j -> named_struct(
-    'free', aggregate(x, 0L, (t, o) -> t + least(o.n * a.w, o.w * j)) div a.w - at,
-    'due', (aggregate(x, 0L, (t, o) -> t + least(o.n * a.w, o.w * (j + 1))) + a.w - 1) div a.w - at))))
-"""
-#: Whole weights of a schedule sum to about this.
-UNIT = 2**32
-
-
-def states(n: list[int], w: list[int], every: int) -> Iterator[tuple[int, list[int]]]:
-    """(slot, blocks of each source so far) before every `every`-th slot and at the end, by earliest-deadline-first over the windows of _EXACT.
-
-    Takes a few steps a block and keeps only the sources' places.
-    """
-    by = sorted(range(len(n)), key=lambda i: Fraction(n[i], w[i]))
-    gone, rate = [0], [sum(w)]
-    for i in by:
-        gone.append(gone[-1] + n[i])
-        rate.append(rate[-1] - w[i])
-    at, done = [0] * len(n), [0] * len(n)
-
-    def time(i: int, j: int) -> int:
-        """w[i] times the time at which source i has had j blocks: sources that ran out before then have had all of theirs."""
-        while at[i] < len(by) and n[by[at[i]]] * w[i] <= w[by[at[i]]] * j:
-            at[i] += 1
-        return gone[at[i]] * w[i] + rate[at[i]] * j
-
-    def window(i: int, j: int) -> None:
-        free = time(i, j) // w[i]
-        heappush(later, (free, -(-time(i, j + 1) // w[i]), i))
-
-    later: list[tuple[int, int, int]] = []
-    ready: list[tuple[int, int]] = []
-    for i in range(len(n)):
-        window(i, 0)
-    total = sum(n)
-    for t in range(total):
-        if t % every == 0:
-            yield t, done[:]
-        while later and later[0][0] <= t:
-            heappush(ready, heappop(later)[1:])
-        i = heappop(ready)[1]
-        done[i] += 1
-        if done[i] < n[i]:
-            window(i, done[i])
-    yield total, done
-
-
-def shares(docs: DataFrame, weights: dict | None, alpha: float, block_docs: int) -> DataFrame:
-    """(source, s, n blocks, tier, w) of each source, null included: whole weights of a unit in tier 0; alike ones for sources of no weight in tier 1."""
-    one = _weighed(docs, weights, alpha).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("k"), "source", "docs", "w"))).alias("x"), F.sum(F.greatest("w", F.lit(0.0))).alias("total"))
-    one = one.select("total", F.posexplode("x").alias("s", "e")).select("e.source", "s", F.ceil(F.col("e.docs") / block_docs).alias("n"), F.col("e.w").alias("w"), "total")
-    whole = F.greatest(F.lit(1), F.round(F.try_divide("w", "total") * UNIT)).cast("long")
-    return written(one.select("source", "s", "n", F.when(F.col("w") > 0, 0).otherwise(1).alias("tier"), F.when(F.col("w") > 0, whole).otherwise(F.lit(1).cast("long")).alias("w")))
-
-
-def schedule(sources: DataFrame, every: int = 500) -> DataFrame:
-    """(source, s, n, tier, w) -> (s, block, slot) of every block.
-
-    The driver runs through the schedule once and keeps where each source stands before every `every`-th slot; tasks fill in the
-    stretches between, each by itself. Sources of tier 1 begin when those of tier 0 have run out.
-    """
-    known = sources.select("s", "n", "tier", "w").orderBy("s").collect()
-    rows, base = [], 0
-    for tier in (0, 1):
-        own = [r for r in known if r["tier"] == tier]
-        if not own:
-            continue
-        before = None
-        for t, done in states([r["n"] for r in own], [r["w"] for r in own], every):
-            if before is not None:
-                rows.append((tier, base, before[0], t - before[0], before[1], [b - a for a, b in zip(before[1], done, strict=True)]))
-            before = t, done
-        base += before[0]
-    spark = sources.sparkSession
-    parts = spark.createDataFrame(rows, "tier int, base bigint, at bigint, m bigint, first array<bigint>, c array<bigint>")
-    x = sources.groupBy("tier").agg(F.array_sort(F.collect_list(F.struct("s", F.col("n").cast("long").alias("n"), "w"))).alias("x"))
-    parts = parts.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)), "at", "tier").join(F.broadcast(x), "tier").withColumn("c", F.expr("transform(c, k -> cast(k as int))"))
-    parts = parts.withColumn("windows", F.expr(_EXACT)).select("x", "base", "at", "first", F.posexplode(F.expr(_EDF)).alias("slot", "e"))
-    return parts.select(F.expr("x[e.s].s").alias("s"), F.expr("first[e.s] + e.j").alias("block"), F.expr("base + at + slot").alias("slot"))
-
-
-def plan(sources: DataFrame) -> DataFrame:
-    """(source, s, n, quota) -> (s, r0, upto, j, slot, base, m): where block j of a round goes, for each kind of round.
-
-    A round has `quota` blocks of each source that still has them, so all full rounds are alike, and the kinds of rounds change
-    only where a source runs out: at most twice a source. A kind holds for rounds r0 <= r < upto; slots of round r begin at
-    base + (r - r0) * m. The table has a row per kind and block of a round, whatever the number of documents.
-    """
-    one = sources.agg(F.array_sort(F.collect_list(F.struct("s", F.col("n").cast("long").alias("n"), F.col("quota").cast("long").alias("quota")))).alias("x"))
-    ends = F.expr("array_sort(array_distinct(flatten(array(array(0L), transform(x, a -> a.n div a.quota), transform(x, a -> (a.n + a.quota - 1) div a.quota)))))")
-    kinds = one.withColumn("ends", ends).select("x", "ends", F.posexplode("ends").alias("i", "r0")).withColumn("upto", F.expr("try_element_at(ends, i + 2)")).where("upto is not null")
-    kinds = kinds.withColumn("c", F.expr("transform(x, a -> cast(greatest(0L, least(a.quota, a.n - r0 * a.quota)) as int))")).withColumn("m", F.expr("aggregate(c, 0, (a, b) -> a + b)")).where("m > 0")
-    kinds = kinds.withColumn("windows", F.expr(_WINDOWS)).withColumn("base", F.expr("aggregate(x, 0L, (acc, a) -> acc + least(a.n, r0 * a.quota))"))
-    return kinds.select("r0", "upto", "base", "m", F.posexplode(F.expr(_EDF)).alias("slot", "e")).select("e.s", "r0", "upto", "e.j", "slot", "base", "m")
-
-
-def _weighed(docs: DataFrame, weights: dict | None, alpha: float) -> DataFrame:
-    """(source, docs, w) of each source, null included."""
+def shares(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, block_docs: int = 16) -> DataFrame:
+    """(source, s, n blocks, size, tier, w) of each source, null included: whole weights of a unit in tier 0; alike ones for sources of no
+    weight in tier 1. A block has `size` documents: block_docs, or more where there would be over MOST_BLOCKS blocks."""
     per = docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
     if weights is None:
         w = F.pow(F.col("docs").cast("double"), F.lit(alpha))
     else:
-        known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(float(v))) for k, v in weights.items())) if weights else F.create_map().cast("map<string,double>")
-        w = F.coalesce(known[F.col("source")], F.lit(0.0))
-    return written(per.withColumn("w", w))
+        good = [(F.lit(k), F.lit(float(v))) for k, v in weights.items() if isfinite(v) and v > 0]
+        w = F.coalesce(F.create_map(*chain.from_iterable(good))[F.col("source")], F.lit(0.0)) if good else F.lit(0.0)
+    of_all = Window.partitionBy()
+    size = F.greatest(F.lit(block_docs), F.ceil(F.sum("docs").over(of_all) / MOST_BLOCKS)).cast("long")
+    per = per.withColumn("w", w).select("source", "docs", "w", size.alias("size"), F.sum("w").over(of_all).alias("total"))
+    s = F.row_number().over(of_all.orderBy(F.coalesce("source", F.lit("")), F.col("source").isNotNull())) - 1
+    whole = F.greatest(F.lit(1), F.round(F.try_divide("w", "total") * UNIT)).cast("long")
+    weighs = F.col("w") > 0
+    return written(per.select("source", s.alias("s"), F.ceil(F.col("docs") / F.col("size")).alias("n"), "size", F.when(weighs, 0).otherwise(1).alias("tier"), F.when(weighs, whole).otherwise(F.lit(1).cast("long")).alias("w")))
 
 
-def targets(docs: DataFrame, weights: dict | None, alpha: float, round_blocks: int, block_docs: int) -> DataFrame:
-    """(source, s, n blocks, quota of blocks in a round) of each source, null included."""
-    per = _weighed(docs, weights, alpha)
-    total = per.agg(F.sum("w").alias("total"))
-    per = per.join(F.broadcast(total)).withColumn("quota", F.greatest(F.lit(1), F.expr(f"cast(coalesce(round({round_blocks} * try_divide(w, total)), 1) as int)")))
-    one = per.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("k"), "source", "docs", "quota"))).alias("x")).select(F.posexplode("x").alias("s", "e"))
-    return written(one.select("e.source", "s", F.ceil(F.col("e.docs") / block_docs).alias("n"), "e.quota"))
+def schedule(sources: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(s, n, tier, w) -> (s, block, slot) of every block, by earliest-deadline-first over the windows of the fluid schedule.
 
+    The schedule is worked out in stretches of slots, each by itself in any task. What is done before a stretch follows in closed
+    form: all blocks whose windows end by then, and of those in whose windows it falls the ones of the earliest deadlines that fit
+    between their releases and it. That is what earliest-deadline-first from the beginning has done by then, as the sets of blocks
+    that fit are a matroid. Sources of tier 1 begin when those of tier 0 have run out.
 
-def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, round_blocks: int | None = None, block_docs: int = 16) -> DataFrame:
+    A row of the plan holds the list of sources, and stretches are as long as that list at least, so the plan's size follows the number
+    of blocks. Its time follows blocks times sources, and for each stretch the slots for which a block in the middle of its window can
+    have waited: those of a source that gets one slot in thousands make it long.
+    """
+    x = F.array_sort(F.collect_list(F.struct("s", F.col("n").cast("long").alias("n"), F.col("w").cast("long").alias("w"))))
+    tiers = sources.groupBy("tier").agg(x.alias("x"), F.sum("n").alias("total"), F.sum(F.col("w").cast("long")).alias("total_w"), F.greatest(F.lit(stretch), F.count(F.lit(1))).alias("step"))
+    out = f"transform(x, a -> named_struct('s', a.s, 'n', a.n, 'w', a.w, 'out', {_TIME.format(j='a.n')}))"
+    base = F.coalesce(F.sum("total").over(Window.orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    tiers = tiers.withColumn("x", F.expr(out)).withColumn("base", base)
+    rows = tiers.select("tier", "x", "base", "total", "total_w", "step", F.explode(F.expr("sequence(0L, (total - 1) div step)")).alias("k"))
+    rows = rows.repartition(4 * sources.sparkSession.sparkContext.defaultParallelism, "tier", "k").withColumn("at", F.expr("k * step")).withColumn("m", F.expr("least(step, total - at)"))
+    rows = rows.withColumn("fluid", F.expr(_FLUID.format(t="at"))).withColumn("after", F.expr(_FLUID.format(t="(at + m)")))
+    rows = rows.withColumn("down", F.expr(f"transform(x, o -> {_DOWN.format(t='at', s='fluid')})")).withColumn("upto", F.expr(f"transform(x, o -> {_UP.format(t='(at + m)', s='after')})"))
+    rows = rows.withColumn("midst", F.expr(_MIDST))
+    rows = rows.withColumn("frees", F.expr("array_sort(array_distinct(transform(midst, p -> p.free)))")).withColumn("room", F.expr(_ROOM)).withColumn("taken", F.expr(_TAKEN))
+    rows = rows.withColumn("first", F.expr("transform(down, (k, i) -> if(array_contains(taken, i), k + 1, k))")).withColumn("windows", F.expr(_WINDOWS))
+    rows = rows.select("x", "base", "at", "first", F.posexplode(F.expr(_EDF)).alias("slot", "e"))
+    return rows.select(F.expr("x[e.s].s").alias("s"), F.expr("first[e.s] + e.j").alias("block"), F.expr("base + at + slot").alias("slot"))
+
+
+def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, block_docs: int = 16) -> DataFrame:
     """docs with __block, __slot, __seq: the row's block within its source, the block's slot in the mix, the row's place in it.
 
     Every row comes once. Target weights: `weights`, or the sources' sizes to the power `alpha`. While all sources last, each has
     within one block of its weight's share in every prefix of the mix, however long; a source that has run out leaves its share to the
-    others in proportion to theirs. Sources that `weights` lacks or gives nothing come when the others have run out, in equal shares.
-
-    With `round_blocks`, weights are rounded to whole blocks of a round of about that many, at least one a source, and the share that is
-    kept to within a block is that of the rounded weights. The sources, not the rows, are brought together to plan.
+    others in proportion to theirs. Sources that `weights` lacks, or gives zero, less or no number, come when the others have run
+    out, in equal shares. The sources, not the rows, are brought together to plan.
     """
-    if round_blocks is None:
-        sources = shares(docs, weights, alpha, block_docs)
-        at = written(schedule(sources).select(F.col("s").alias("__ps"), F.col("block").alias("__pb"), F.col("slot").alias("__slot")))
-        info = bounded(written(sources.select(F.col("s").alias("__s"), F.col("source").alias("__source"))))
-    else:
-        sources = targets(docs, weights, alpha, round_blocks, block_docs)
-        rounds = bounded(written(plan(sources)))
-        ends = rounds.select("s", "r0", "upto").groupBy("s").agg(F.array_sort(F.collect_set(F.struct("r0", "upto"))).alias("__kinds"))
-        info = bounded(written(sources.join(ends, "s").select(F.col("s").alias("__s"), F.col("source").alias("__source"), F.col("quota").alias("__quota"), "__kinds")))
+    sources = shares(docs, weights, alpha, block_docs)
+    at = bounded(written(schedule(sources).select(F.col("s").alias("__ps"), F.col("block").alias("__pb"), F.col("slot").alias("__slot"))))
+    info = bounded(sources.select(F.col("s").alias("__s"), F.col("source").alias("__source"), F.col("size").alias("__size")))
     key = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     rows = ranked(docs.withColumn("__key", key), ["source"], [F.col("doc_id"), F.col("__key")], "__rank").drop("__key")
-    rows = rows.withColumn("__block", F.expr(f"__rank div {block_docs}")).withColumn("__seq", (F.col("__rank") % block_docs).cast("int"))
     rows = rows.join(info, same(rows["source"], info["__source"]))
-    if round_blocks is None:
-        at = bounded(at)
-        rows = rows.join(at, (rows["__s"] == at["__ps"]) & (rows["__block"] == at["__pb"]))
-        return rows.select(*docs.columns, "__block", "__slot", "__seq")
-    rows = rows.withColumn("__r", F.expr("__block div __quota")).withColumn("__j", F.expr("cast(__block % __quota as int)"))
-    rows = rows.withColumn("__r0", F.expr("element_at(filter(__kinds, k -> k.r0 <= __r and __r < k.upto), 1).r0"))
-    at = rounds.select(F.col("s").alias("__ps"), F.col("r0").alias("__pr"), F.col("j").alias("__pj"), F.col("slot").alias("__at"), F.col("base").alias("__base"), F.col("m").alias("__m"))
-    rows = rows.join(at, (rows["__s"] == at["__ps"]) & (rows["__r0"] == at["__pr"]) & (rows["__j"] == at["__pj"]))
-    rows = rows.withColumn("__slot", F.expr("__base + (__r - __r0) * __m + __at"))
+    rows = rows.withColumn("__block", F.expr("__rank div __size")).withColumn("__seq", F.expr("cast(__rank % __size as int)"))
+    rows = rows.join(at, (rows["__s"] == at["__ps"]) & (rows["__block"] == at["__pb"]))
     return rows.select(*docs.columns, "__block", "__slot", "__seq")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, round_blocks: int | None = None, block_docs: int = 16) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, block_docs: int = 16) -> DataFrame:
     """(doc_id, source, ...) -> (doc_id, source, block, slot, seq), a row per row of docs; (slot, seq) is the order of the mix.
 
     A null source is a source of its own; repeated rows and null doc_ids each have their place; an empty table gives an empty
     result; texts are not read; other columns of docs are not used.
     """
-    got = mixed(docs.select("doc_id", "source"), weights, alpha, round_blocks, block_docs)
+    got = mixed(docs.select("doc_id", "source"), weights, alpha, block_docs)
     return got.select("doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__seq").alias("seq"))
 
 
-def in_order(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, round_blocks: int | None = None, block_docs: int = 16) -> DataFrame:
-    """All rows of docs, ranged over partitions and sorted by the mix, so that files written from it hold the mix's order."""
-    return mixed(docs, weights, alpha, round_blocks, block_docs).orderBy("__slot", "__seq").select(*docs.columns)
+def in_order(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, block_docs: int = 16, parts: int | None = None) -> DataFrame:
+    """All rows of docs in the order of the mix, in `parts` partitions of consecutive slots (as many as a shuffle has if None), so
+    that files written from it hold that order. All columns stay; nulls, repeated rows and empty tables as in mix().
+
+    The mix is worked out on narrow rows and written; rows with their texts are shuffled twice: to their places, which they find by a
+    128-bit hash of doc_id, source and text, and into the order. Rows alike in these take their hash's places in turn.
+    """
+    spark = docs.sparkSession
+    said = ["doc_id", "source", *[F.col(c) for c in ("text",) if c in docs.columns]]
+    null = [F.col(c).isNull() for c in ("doc_id", "source", "text") if c in docs.columns]
+    rows = docs.withColumns({"__k1": F.xxhash64(*said, *null), "__k2": F.xxhash64(F.lit("second"), *said, *null)})
+    narrow = mixed(rows.select("source", F.col("__k1").alias("doc_id"), F.col("__k2").alias("text")), weights, alpha, block_docs)
+    narrow = Written(narrow.select(F.col("doc_id").alias("__p1"), F.col("text").alias("__p2"), F.struct("__slot", "__seq").alias("__at")))
+    per = Written(narrow.df.groupBy("__p1", "__p2").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__at")))
+    last, alike = narrow.df.select(F.max("__at.__slot")).first()[0], not per.df.where("__n > 1").isEmpty()
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = -(-((last or 0) + 1) // parts)
+    found = rows.join(per.df, (F.col("__k1") == F.col("__p1")) & (F.col("__k2") == F.col("__p2"))).drop("__p1", "__p2")
+    out = found.where("__n = 1")
+    if alike:
+        nth = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(*key)).alias("__nth")
+        several = narrow.df.join(per.df.where("__n > 1").select("__p1", "__p2"), ["__p1", "__p2"]).select("*", nth("__p1", "__p2"))
+        more = found.where("__n > 1").drop("__at").select("*", nth("__k1", "__k2"))
+        several = several.select("__p1", "__p2", F.col("__nth").alias("__pth"), "__at")
+        more = more.join(several, (F.col("__k1") == F.col("__p1")) & (F.col("__k2") == F.col("__p2")) & (F.col("__nth") == F.col("__pth")))
+        out = out.unionByName(more.select(*out.columns))
+    return out.repartitionById(parts, F.expr(f"cast(__at.__slot div {each} as int)")).sortWithinPartitions("__at").select(*docs.columns)

@@ -2,35 +2,58 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go if the session names no shared folder (single-machine sessions such as tests).
+#: Where intermediate tables go if a session on one machine names no shared folder, as in tests.
 LOCAL_DIR = "/tmp/checkpoints"
 #: A side is broadcast only if it has been counted and has at most this many rows of fixed width.
 BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or LOCAL_DIR where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, LOCAL_DIR on a local master, else an error:
+    a folder of one machine would be another one on each executor."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (named or LOCAL_DIR).rstrip("/")
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """The path, to be deleted when the application ends if it is still there."""
+    fs, at = _files(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
 class Written:
-    """A table written to the shared folder: .df reads it, .drop() deletes its files."""
+    """A table written to the shared folder: .df reads it, .drop() deletes its files; what a result still reads goes when the
+    application ends."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/palimpsest-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        until_exit(self.spark, self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def add(self, df: DataFrame) -> None:
+        """More rows; .df reads them too."""
+        df.write.mode("append").parquet(self.path)
+        self.df = self.spark.read.schema(self.df.schema).parquet(self.path)
+
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, at = _files(self.spark, self.path)
+        fs.delete(at, True)
 
 
 def written(df: DataFrame) -> DataFrame:
