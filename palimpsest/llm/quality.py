@@ -5,25 +5,34 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import bounded, same, written
+from .shared import Written, bounded, same, written
 
 # Fixed values of the base rule.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MARKS = b"!?"
 SPACE = b" \t\n\r\x0b\x0c"
-
-#: metric -> least threshold, in thousandths. A fence below it would turn away ordinary texts of a group that hardly varies.
-METRICS = {"symbol": 50, "upper": 300, "mark": 300, "dup_line": 450, "repeat": 100}
+UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: ASCII marks: what is neither letter, digit nor space.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: A word is an echo if it is one of this many words before it.
+ECHO = 8
+#: Greatest bin of a sketch.
+TOP = 10_000
+
+#: metric -> whether a low value is odd as well as a high one: marks and capitals in thousandths of the characters, echoes in thousandths
+#: of the words, hundredths of characters a word.
+METRICS = {"mark": False, "upper": False, "echo": False, "length": True}
+#: What is sketched: the metrics, and the root of the number of words, rounded down.
+SKETCHED = (*METRICS, "root")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_FEATURES = StructType([StructField(c, LongType()) for c in (*COUNTS, *METRICS)])
+_FEATURES = StructType([StructField(c, LongType()) for c in (*COUNTS, *SKETCHED)])
 
 
 def repeated_words(words: list, window: int = WINDOW) -> int:
@@ -41,89 +50,122 @@ def repeated_words(words: list, window: int = WINDOW) -> int:
     return covered
 
 
+def echoes(words: list) -> int:
+    """How many words are among the ECHO words before them."""
+    last: dict = {}
+    n = 0
+    for i, w in enumerate(words):
+        if i - last.get(w, -ECHO - 1) <= ECHO:
+            n += 1
+        last[w] = i
+    return n
+
+
 def features(text: str | None) -> tuple[int, ...]:
-    """The counts of COUNTS, then the metrics in thousandths (rounded down)."""
+    """The counts of COUNTS, then the values of SKETCHED (rounded down, TOP at most)."""
     text = text or ""
     raw = text.encode()
     words = raw.split()
     n, chars = len(words), len(text) - (len(raw) - len(raw.translate(None, SPACE)))
-    symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
-    dup = len(lines) - len(set(lines))
-    repeat = repeated_words(words)
-    upper, mark = (len(raw) - len(raw.translate(None, x)) for x in (UPPER, MARKS))
-    per = lambda a, b: 1000 * a // max(b, 1)
-    return n, chars, symbols, dup, repeat, per(symbols, chars), per(upper, chars), per(mark, n), per(dup, len(lines)), per(repeat, n)
+    symbols, marks, upper = (len(raw) - len(raw.translate(None, x)) for x in (SYMBOLS, MARKS, UPPER))
+    per = lambda a, b: min(a // max(b, 1), TOP)
+    values = (per(1000 * marks, chars), per(1000 * upper, chars), per(1000 * echoes(words), n), per(100 * chars, n), min(isqrt(n), TOP))
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated_words(words), *values
 
 
 @F.arrow_udf(_FEATURES)
 def _features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    names = (*COUNTS, *METRICS)
+    names = (*COUNTS, *SKETCHED)
     for batch in texts:
         flat = list(chain.from_iterable(features(x.as_py()) for x in batch))
         yield pa.StructArray.from_arrays([pa.array(flat[i :: len(names)], pa.int64()) for i in range(len(names))], list(names))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, f) -> (lang, source, metric, bin, n): for each group and metric a histogram of whole thousandths.
+    """(lang, source, f) -> (lang, source, metric, bin, n): for each group and sketched value a histogram of whole numbers.
 
     Histograms of parts add up to the histogram of the whole, so they merge in any order (within map tasks first, and from sources
-    to a language below), and a quantile read from them is exact to a thousandth. A group has at most about a thousand bins a
-    metric for ratios up to one; no group's rows are brought together.
+    to a language and to all below), and a quantile read from them is exact to a bin. A group has at most TOP + 1 bins a value;
+    no group's rows are brought together.
     """
-    rows = measured.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"f.{m}").alias("bin")) for m in METRICS])).alias("x"))
+    rows = measured.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"f.{m}").alias("bin")) for m in SKETCHED])).alias("x"))
     return rows.groupBy("lang", "source", "x.metric", "x.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str], reach: float = 3.0) -> DataFrame:
-    """(…by, metric, bin, n) -> (…by, metric, size, fence): upper quartile plus `reach` times the quartiles' distance, from merged sketches."""
+def quartiles(sketch: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """(…by, metric, bin, n) -> (…by, metric, size, q1, q2, q3), the columns named with the prefix, from merged sketches."""
     merged = sketch.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "metric")
     upto = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     at = merged.withColumn("upto", upto).withColumn("size", F.sum("n").over(group))
-    quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("size") * k, F.col("bin")))
-    q = at.groupBy(*by, "metric").agg(F.first("size").alias("size"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    return q.select(*by, "metric", "size", (F.col("q3") + reach * (F.col("q3") - F.col("q1"))).alias("fence"))
+    quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("size") * k, F.col("bin"))).alias(f"{prefix}{k}")
+    q = at.groupBy(*by, "metric").agg(F.first("size").alias(f"{prefix}n"), *[quartile(k) for k in (1, 2, 3)])
+    return q.select(*[F.col(c).alias(f"{prefix}{c}") for c in (*by, "metric")], f"{prefix}n", *[f"{prefix}{k}" for k in (1, 2, 3)])
 
 
-def thresholds(docs: DataFrame, reach: float = 3.0, least_rows: int = 100) -> DataFrame:
-    """(lang, source, limits map<metric, double>) for each pair of language and source, from all rows of docs.
+def thresholds(measured: DataFrame, prior: int = 100) -> DataFrame:
+    """(lang, source, f) -> (lang, source, and of each sketched value a struct (low, below, high, above)), a row per pair of language
+    and source: the group's middle and its spread to either side.
 
-    A pair with fewer than `least_rows` documents takes the merged sketch of its language over all sources.
+    The spread above the middle is read from the quarter below it, and the other way round, so that up to half of a group may be odd
+    before its middle moves; it is one bin and a sixteenth of the middle more, so a group of equal texts has a spread too. The
+    quartiles of a pair of n documents are weighed by n against `prior` documents' worth of its language's, and those of a
+    language so against the whole table's. A group's middle and spread go beyond its language's only so far: the middle to the
+    outer quartile and a spread, the spread to twice.
+    """
+    sketch = Written(sketches(measured))
+    own, lang, every = quartiles(sketch.df, ["lang", "source"], "o"), quartiles(sketch.df, ["lang"], "l"), quartiles(sketch.df, [], "e")
+    rows = own.join(lang, same(own["olang"], lang["llang"]) & (own["ometric"] == lang["lmetric"])).join(every, F.col("ometric") == F.col("emetric"))
+    mean = lambda a, b, k: F.expr(f"({a}n * {a}{k} + {prior} * {b}{k}) div ({a}n + {prior})")
+    rows = rows.withColumns({f"l{k}": mean("l", "e", k) for k in (1, 2, 3)})
+    rows = rows.withColumns({f"o{k}": mean("o", "l", k) for k in (1, 2, 3)})
+    rows = rows.withColumns({f"{a}{side}": F.expr(f"{a}{hi} - {a}{lo} + 1 + {a}2 div 16") for a in "ol" for side, hi, lo in (("above", 2, 1), ("below", 3, 2))})
+    limit = F.struct(
+        F.greatest("o2", F.col("l1") - F.col("lbelow")).alias("low"), F.least("obelow", 2 * F.col("lbelow")).alias("below"), F.least("o2", F.col("l3") + F.col("labove")).alias("high"), F.least("oabove", 2 * F.col("labove")).alias("above")
+    )
+    out = written(rows.groupBy(F.col("olang").alias("lang"), F.col("osource").alias("source")).pivot("ometric", list(SKETCHED)).agg(F.first(limit)))
+    sketch.drop()
+    return out
+
+
+def judged(measured: DataFrame, reach: int = 8, prior: int = 100) -> DataFrame:
+    """(…, lang, source, f) -> the same with booleans __base_failed and __kept.
+
+    A value may be `reach` spreads from the middle of its group; in a text of fewer words than the group's middle one, whose values
+    vary more by chance, further by the root of the ratio.
     """
-    sketch = written(sketches(docs.select("lang", "source", _features(F.col("text")).alias("f"))))
-    own, wide = fences(sketch, ["lang", "source"], reach), fences(sketch, ["lang"], reach).select(F.col("lang").alias("__lang"), F.col("metric").alias("__metric"), F.col("fence").alias("__wide"))
-    both = own.join(wide, same(own["lang"], wide["__lang"]) & (own["metric"] == wide["__metric"]))
-    fence = F.when(F.col("size") >= least_rows, F.col("fence")).otherwise(F.col("__wide"))
-    floor = F.create_map(*chain.from_iterable((F.lit(m), F.lit(float(v))) for m, v in METRICS.items()))
-    both = both.select("lang", "source", "metric", F.greatest(fence, floor[F.col("metric")]).alias("limit"))
-    return written(both.groupBy("lang", "source").pivot("metric", list(METRICS)).agg(F.first("limit")))
-
-
-def judged(docs: DataFrame, reach: float = 3.0, least_rows: int = 100) -> DataFrame:
-    """docs with struct columns __f (counts and metrics), and booleans __base_failed and __kept."""
-    limits = thresholds(docs, reach, least_rows)
-    limits = bounded(limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(m).alias(f"__limit_{m}") for m in METRICS]))
-    rows = docs.withColumn("__f", _features(F.col("text")))
-    rows = rows.join(limits, same(rows["lang"], limits["__lang"]) & same(rows["source"], limits["__source"]), "left")
-    failed = (F.col("__f.n_words") < MIN_WORDS) | (100 * F.col("__f.n_repeat_words") > REPEAT_PERCENT * F.col("__f.n_words"))
-    fits = F.lit(True)
-    for m in METRICS:
-        fits = fits & (F.col(f"__f.{m}") <= F.col(f"__limit_{m}"))
-    rows = rows.withColumn("__base_failed", failed).withColumn("__kept", ~failed & fits)
-    return rows.drop("__lang", "__source", *[f"__limit_{m}" for m in METRICS])
-
-
-def quality(docs: DataFrame, reach: float = 3.0, least_rows: int = 100) -> DataFrame:
+    limits = thresholds(measured, prior)
+    limits = bounded(limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(m).alias(f"__{m}") for m in SKETCHED]))
+    rows = measured.join(limits, same(measured["lang"], limits["__lang"]) & same(measured["source"], limits["__source"]), "left")
+    n = F.col("f.n_words")
+    failed = (n < MIN_WORDS) | (100 * F.col("f.n_repeat_words") > REPEAT_PERCENT * n)
+    room = F.greatest(n, F.col("__root.low") * F.col("__root.low"))
+    beyond = lambda by, spread: (by > 0) & (by * by * n > reach * reach * spread * spread * room)
+    odd = F.lit(False)
+    for m, both in METRICS.items():
+        odd = odd | beyond(F.col(f"f.{m}") - F.col(f"__{m}.high"), F.col(f"__{m}.above"))
+        if both:
+            odd = odd | beyond(F.col(f"__{m}.low") - F.col(f"f.{m}"), F.col(f"__{m}.below"))
+    return rows.withColumn("__base_failed", failed).withColumn("__kept", ~failed & ~odd).drop("__lang", "__source", *[f"__{m}" for m in SKETCHED])
+
+
+def quality(docs: DataFrame, reach: int = 8, prior: int = 100) -> DataFrame:
     """(doc_id, text, lang, source, ...) -> (doc_id, the five counts, base_failed, kept), a row per row of docs.
 
     Words are runs other than \\x20 and \\x09-\\x0D of the whole text. A null text has no words and fails. Null languages and
     sources are groups of their own. Repeated rows count as often as they come. An empty table gives an empty result; other
-    columns of docs are not used.
+    columns of docs are not used. Texts are read once; the numbers read from them are a written table.
     """
-    return judged(docs, reach, least_rows).select("doc_id", *[F.col(f"__f.{c}").alias(c) for c in COUNTS], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    measured = written(docs.select("doc_id", "lang", "source", _features(F.col("text")).alias("f")))
+    return judged(measured, reach, prior).select("doc_id", *[F.col(f"f.{c}").alias(c) for c in COUNTS], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
-def accepted(docs: DataFrame, reach: float = 3.0, least_rows: int = 100) -> DataFrame:
-    """The rows of docs that quality() keeps, all columns as they came."""
-    return judged(docs, reach, least_rows).where("__kept").drop("__f", "__base_failed", "__kept")
+def accepted(docs: DataFrame, reach: int = 8, prior: int = 100) -> DataFrame:
+    """The rows of docs that quality() keeps, all columns as they came; nulls, repeated rows and empty tables as there.
+
+    Rows are written once beside their numbers, so that texts go through Python once.
+    """
+    columns = [F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)]
+    measured = written(docs.select(*columns, "lang", "source", _features(F.col("text")).alias("f")))
+    return judged(measured, reach, prior).where("__kept").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])

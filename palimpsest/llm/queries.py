@@ -88,30 +88,41 @@ f AS (
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(len(list_distinct(flatten(list_transform(twice.pos, lambda p: range(p, p + 5))))), 0) AS BIGINT) AS n_repeat_words,
-         len(lines) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!?]', '', 'g')) AS n_mark
+         length(regexp_replace(text, '[^!-/:-@\[-`{-~]', '', 'g')) AS n_marks, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+         len(list_filter(range(1, len(words) + 1), lambda i: list_contains(words[greatest(1, i - 8):i - 1], words[i]))) AS n_echoes
   FROM g LEFT JOIN twice USING (id)),
 m AS (
-  SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbol, 1000 * n_upper // greatest(word_chars, 1) AS upper_,
-         1000 * n_mark // greatest(n_words, 1) AS mark, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line,
-         1000 * n_repeat_words // greatest(n_words, 1) AS repeat_ FROM f),
+  SELECT *, least(1000 * n_marks // greatest(word_chars, 1), 10000) AS mark, least(1000 * n_upper // greatest(word_chars, 1), 10000) AS upper_,
+         1000 * n_echoes // greatest(n_words, 1) AS echo, least(100 * word_chars // greatest(n_words, 1), 10000) AS length_,
+         least(CAST(floor(sqrt(n_words)) AS BIGINT), 10000) AS root FROM f),
 long AS (
-  SELECT lang, source, unnest(['symbol', 'upper', 'mark', 'dup_line', 'repeat']) AS metric, unnest([symbol, upper_, mark, dup_line, repeat_]) AS bin FROM m),
-own AS (
-  SELECT lang, source, metric, count(*) AS size, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL),
+  SELECT lang, source, unnest(['mark', 'upper', 'echo', 'length', 'root']) AS metric, unnest([mark, upper_, echo, length_, root]) AS bin FROM m),
+every AS (
+  SELECT metric, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL),
 wide AS (
-  SELECT lang, metric, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL),
+  SELECT w.lang, w.metric, (n * w.q1 + 100 * e.q1) // (n + 100) AS q1, (n * w.q2 + 100 * e.q2) // (n + 100) AS q2, (n * w.q3 + 100 * e.q3) // (n + 100) AS q3
+  FROM (SELECT lang, metric, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL) AS w
+  JOIN every AS e USING (metric)),
+own AS (
+  SELECT o.lang, o.source, o.metric, (n * o.q1 + 100 * w.q1) // (n + 100) AS q1, (n * o.q2 + 100 * w.q2) // (n + 100) AS q2, (n * o.q3 + 100 * w.q3) // (n + 100) AS q3,
+         w.q1 AS w1, w.q3 AS w3, w.q3 - w.q2 + 1 + w.q2 // 16 AS wbelow, w.q2 - w.q1 + 1 + w.q2 // 16 AS wabove
+  FROM (SELECT lang, source, metric, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL) AS o
+  JOIN wide AS w ON o.lang IS NOT DISTINCT FROM w.lang AND o.metric = w.metric),
 fence AS (
-  SELECT own.lang, own.source, own.metric,
-         greatest(CASE own.metric WHEN 'symbol' THEN 50 WHEN 'upper' THEN 300 WHEN 'mark' THEN 300 WHEN 'dup_line' THEN 450 ELSE 100 END,
-                  CASE WHEN size >= 100 THEN own.q3 + 3 * (own.q3 - own.q1) ELSE wide.q3 + 3 * (wide.q3 - wide.q1) END) AS top
-  FROM own JOIN wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.metric = wide.metric),
+  SELECT lang, source, metric, greatest(q2, w1 - wbelow) AS low, least(q3 - q2 + 1 + q2 // 16, 2 * wbelow) AS below,
+         least(q2, w3 + wabove) AS high, least(q2 - q1 + 1 + q2 // 16, 2 * wabove) AS above FROM own),
 bound AS (
-  SELECT lang, source, max(top) FILTER (metric = 'symbol') AS s, max(top) FILTER (metric = 'upper') AS u, max(top) FILTER (metric = 'mark') AS k,
-         max(top) FILTER (metric = 'dup_line') AS d, max(top) FILTER (metric = 'repeat') AS r FROM fence GROUP BY ALL),
-judged AS (
+  SELECT lang, source, max(low) FILTER (metric = 'root') AS root_low, max(low) FILTER (metric = 'length') AS length_low, max(below) FILTER (metric = 'length') AS length_below,
+         max(high) FILTER (metric = 'length') AS length_high, max(above) FILTER (metric = 'length') AS length_above,
+         max(high) FILTER (metric = 'mark') AS mark_high, max(above) FILTER (metric = 'mark') AS mark_above, max(high) FILTER (metric = 'upper') AS upper_high,
+         max(above) FILTER (metric = 'upper') AS upper_above, max(high) FILTER (metric = 'echo') AS echo_high, max(above) FILTER (metric = 'echo') AS echo_above FROM fence GROUP BY ALL),
+beyond AS (
   SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-         symbol <= s AND upper_ <= u AND mark <= k AND dup_line <= d AND repeat_ <= r AS fits
-  FROM m JOIN bound ON m.lang IS NOT DISTINCT FROM bound.lang AND m.source IS NOT DISTINCT FROM bound.source)
+         [mark - mark_high, upper_ - upper_high, echo - echo_high, length_ - length_high, length_low - length_] AS away,
+         [mark_above, upper_above, echo_above, length_above, length_below] AS spread, greatest(n_words, root_low * root_low) AS room
+  FROM m JOIN bound ON m.lang IS NOT DISTINCT FROM bound.lang AND m.source IS NOT DISTINCT FROM bound.source),
+judged AS (
+  SELECT *, len(list_filter(list_zip(away, spread), lambda z: z[1] > 0 AND z[1] * z[1] * n_words > 64 * z[2] * z[2] * room)) = 0 AS fits FROM beyond)
 """
 
 _SPANS = r"""
