@@ -166,15 +166,17 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op10_chat_format": """
-WITH t AS (
-  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations),
+WITH r AS (
+  SELECT conv_id, turn, role, text, '<|im_start|>' || replace(coalesce(role, 'unknown'), '<|im_', '<| im_') || chr(10) || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS line
+  FROM conversations),
+t AS (
+  SELECT conv_id, line, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM r WHERE conv_id IS NOT NULL),
 c AS (
-  SELECT conv_id, count(*) AS n, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS body FROM t GROUP BY conv_id),
+  SELECT conv_id, count(*) AS n, string_agg(line, '' ORDER BY pos) AS body FROM t GROUP BY conv_id
+  UNION ALL SELECT NULL, 1, line FROM r WHERE conv_id IS NULL),
 d AS (SELECT min(conv_id) AS conv_id, n, body FROM c GROUP BY n, body),
-m AS (SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM d AS o WHERE o.n > d.n AND starts_with(o.body, d.body))),
-x AS (
-  SELECT conv_id, CAST((pos - 1) // 256 AS INTEGER) AS chunk, pos, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line
-  FROM t WHERE conv_id IN (SELECT conv_id FROM m))
-SELECT conv_id, chunk, count(*) AS n_turns, string_agg(line, '' ORDER BY pos) AS text FROM x GROUP BY conv_id, chunk""",
+m AS (SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM d AS o WHERE o.n > d.n AND starts_with(o.body, d.body)))
+SELECT conv_id, CAST((pos - 1) // 256 AS INTEGER) AS chunk, count(*) AS n_turns, string_agg(line, '' ORDER BY pos) AS text
+FROM t WHERE conv_id IN (SELECT conv_id FROM m) GROUP BY conv_id, (pos - 1) // 256
+UNION ALL SELECT NULL, 0, 1, body FROM m WHERE conv_id IS NULL""",
 }

@@ -28,6 +28,11 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _files(spark, path)
+    return fs.exists(at)
+
+
 def until_exit(spark: SparkSession, path: str) -> str:
     """The path, to be deleted when the application ends if it is still there."""
     fs, at = _files(spark, path)
