@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Written
 
 #: Queries of a broadcast block; rows of a shard's posting block; dimensions probed between two checks.
 QUERIES, ROWS, PROBES = 8_192, 4_096, 8
@@ -51,8 +51,7 @@ class Shard:
         # essential terms: without them no row can reach theta, not even at the bounds of all the others
         essential = int(np.argmax(rest < theta)) if full and (rest < theta).any() else len(order)
         score = q[order[:essential]] @ postings[order[:essential]] if essential else np.zeros(len(ids), q.dtype)
-        alive = np.flatnonzero(ids != self.ids[i])
-        score = score[alive]
+        alive = np.arange(len(ids))
         for j in range(essential, len(order), PROBES):
             fit = score + rest[j] >= theta
             alive, score = alive[fit], score[fit]
@@ -80,41 +79,57 @@ def integers(vectors: DataFrame) -> DataFrame:
 def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     """(vec_id, embedding, ...) -> (query_id, rank, vec_id, score): each query row's k greatest integer inner products.
 
-    `is_query` is a condition on vec_id. Candidates are all rows but those with the query's own id; ties go to the smaller vec_id.
-    Vectors that are null or hold a null or non-finite component, and rows with a null vec_id, take no part; shorter vectors
-    count as padded with zeros; rows that repeat a vec_id are candidates each, and queries each; scores beyond a long are the
-    nearest long; an empty table gives an empty result; other columns are not used.
+    `is_query` is a condition on vec_id. Candidates are all rows but the query's own: others with its id are candidates too. Ties go
+    to the smaller vec_id. Vectors that are null or hold a null or non-finite component, and rows with a null vec_id, take no part;
+    shorter vectors count as padded with zeros; rows that repeat a vec_id are candidates each, and queries each; scores beyond a
+    long are the nearest long; an empty table gives an empty result; other columns are not used.
 
     Queries that are alike in id and vector are searched once, with the number of their rows, so that no id fills a block; they
-    are counted, and dealt by hash of both into blocks of about QUERIES. For each block every partition of the table is a shard
-    that runs MaxScore and gives k rows a query, which are merged by query.
+    are counted, and dealt by hash of both into blocks of about QUERIES. Blocks go one after the other: a block is sent to all tasks,
+    every partition of the table is a shard that runs MaxScore and gives k + 1 rows a query, which are merged by query, of which
+    one row that is the query itself is left out, and written. The driver holds one block, whatever the number of queries.
     """
     rows = integers(vectors)
     spark = vectors.sparkSession
-    queries = written(rows.where(is_query).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times")))
-    n, most = queries.agg(F.count(F.lit(1)), F.max("times")).first()
+    queries = Written(rows.where(is_query).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times")))
+    n, most = queries.df.agg(F.count(F.lit(1)), F.max("times")).first()
     dims = rows.agg(F.max(F.size("v"))).first()[0]
     blocks, out = -(-n // QUERIES), None
     for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b).toArrow()
+        block = queries.df.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b).toArrow()
         if not block.num_rows:
             continue
         sent = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _dense(block["v"].to_pylist(), dims), block["times"].to_numpy()))
-        got = rows.mapInArrow(_search(sent, k, dims), "q int, times long, query_id long, vec_id long, score long").withColumn("b", F.lit(b))
-        out = got if out is None else out.union(got)
+        got = _merged(rows.mapInArrow(_search(sent, k + 1, dims), "q int, times long, query_id long, vec_id long, score long, own long"), k)
+        if out is None:
+            out = Written(got)
+        else:
+            out.add(got)
+        sent.destroy()
+    queries.drop()
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("b", "q").orderBy(F.desc("score"), "vec_id"))
-    out = out.withColumn("rank", rank).where(F.col("rank") <= k)
+    found = out.df
     if most > 1:
-        out = out.withColumn("row", F.explode(F.expr("sequence(1L, times)")))
-    return out.select("query_id", "rank", "vec_id", "score")
+        found = found.withColumn("row", F.explode(F.expr("sequence(1L, times)")))
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """Shards' rows of a block -> (times, query_id, rank, vec_id, score): the k best of each query, without one row of its id and its own score."""
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    found = found.withColumn("place", place).where(F.col("place") <= k + 1)
+    itself = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
+    at = F.min(F.when(itself, F.col("place"))).over(Window.partitionBy("q"))
+    found = found.withColumn("at", F.coalesce(at, F.lit(k + 1))).where("place <> at")
+    return found.select("times", "query_id", F.when(F.col("place") > F.col("at"), F.col("place") - 1).otherwise(F.col("place")).alias("rank"), "vec_id", "score")
 
 
 def _search(sent, k: int, dims: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, times = sent.value
         shard = Shard(ids, q, k)
+        own = np.array([min(sum(x * x for x in row), _LONG.max) for row in q.tolist()], np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
@@ -127,7 +142,8 @@ def _search(sent, k: int, dims: int):
         if sum(n):
             who = np.repeat(np.arange(len(n)), n).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(who), pa.array(times[who]), pa.array(ids[who]), pa.array(np.concatenate([v for _, v in shard.best])), pa.array(np.concatenate([s for s, _ in shard.best]))], ["q", "times", "query_id", "vec_id", "score"]
+                [pa.array(who), pa.array(times[who]), pa.array(ids[who]), pa.array(np.concatenate([v for _, v in shard.best])), pa.array(np.concatenate([s for s, _ in shard.best])), pa.array(own[who])],
+                ["q", "times", "query_id", "vec_id", "score", "own"],
             )
 
     return search

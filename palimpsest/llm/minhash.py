@@ -1,4 +1,5 @@
-"""Near copies by exact Jaccard similarity of word shingles: MinHash bands find candidates, whole sets verify them, components group them."""
+"""Exact Jaccard similarity of word shingles for the near-dedup of simhash.py: bands of least hashes propose what fingerprints of 64 bits
+cannot (texts of similarity 0.8 differ in about ten), whole sets decide, components group."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Written, bounded, survivors, written
+from .shared import Written, bounded, written
 
 #: 20 bands of 4 least values: a pair of similarity 0.8 shares none of them with probability 0.00003, one of 0.9 with 5e-10.
 BANDS, ROWS = 20, 4
@@ -36,9 +37,9 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((h(joined[a:b]) for a, b in zip((ends - size)[: len(last)].tolist(), last.tolist(), strict=True)), np.uint64, len(last)))
 
 
-def bands(text: str | None, shingle: int) -> np.ndarray:
+def bands(h: np.ndarray) -> np.ndarray:
     """A signed 64-bit key for each band of the least values of a text's shingles under BANDS * ROWS permutations."""
-    h, least = shingles(text, shingle), np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for i in range(0, len(h), BLOCK):
         v = (h[None, i : i + BLOCK] ^ _XOR) * _ODD
         least = np.minimum(least, (v ^ (v >> np.uint64(29))).min(axis=1))
@@ -47,14 +48,24 @@ def bands(text: str | None, shingle: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[i * step : (i + 1) * step], i) for i in range(BANDS)], np.uint64).view(np.int64)
 
 
-def _bands(shingle: int):
-    @F.arrow_udf("array<long>")
+def fingerprint(h: np.ndarray) -> int:
+    """The SimHash of a set of shingles: bit set if set in over half of the hashes; 0 without any."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(h), 32 * BLOCK):
+        counts += np.unpackbits(h[i : i + 32 * BLOCK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h)).view("<i8")[0])
+
+
+def signatures(shingle: int):
+    @F.arrow_udf("struct<fp:long,bands:array<long>>")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            flat = np.empty((len(batch), BANDS), np.int64)
+            flat, prints = np.empty((len(batch), BANDS), np.int64), np.empty(len(batch), np.int64)
             for i, x in enumerate(batch):
-                flat[i] = bands(x.as_py(), shingle)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * BANDS), pa.array(flat.ravel()))
+                h = shingles(x.as_py(), shingle)
+                flat[i], prints[i] = bands(h), fingerprint(h)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * BANDS), pa.array(flat.ravel()))
+            yield pa.StructArray.from_arrays([pa.array(prints), lists], ["fp", "bands"])
 
     return of
 
@@ -111,15 +122,18 @@ def _verifier(shingle: int, percent: int):
     return verify
 
 
-def _node() -> Column:
+def node() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _labels(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, most: int) -> DataFrame:
-    """(node, bands) distinct texts -> (node, label) of those near to another."""
+def labels(docs: DataFrame, nodes: DataFrame, proposed: DataFrame, shingle: int, percent: int, most: int) -> DataFrame:
+    """(node, bands) distinct texts and (a, b) edges between nodes -> (node, label) of those near to another.
+
+    Candidates share a band or a proposed edge, directly or through others; links are decided on whole sets.
+    """
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").drop("most")
-    loose = Written(keys.join(shared, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    loose = Written(keys.join(shared, "key").where("node <> a").select("a", F.col("node").alias("b")).union(proposed).distinct())
     groups = Written(components(loose.df))
     loose.drop()
     # Groups of candidates over `most` texts: every two of its parts meet in a task, so every pair does.
@@ -128,7 +142,7 @@ def _labels(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, most:
     member = groups.df.join(size, groups.df["label"] == size["__label"]).select(F.col("node").alias("__node"), "label", "parts")
     member = bounded(written(member))
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))
-    texts = docs.select(_node().alias("node"), "text")
+    texts = docs.select(node().alias("node"), "text")
     texts = texts.join(member, texts["node"] == member["__node"]).dropDuplicates(["node"])
     texts = texts.withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     texts = texts.select(F.xxhash64("label", F.least("p", "q"), F.greatest("p", "q")).alias("group"), "node", "text")
@@ -137,17 +151,3 @@ def _labels(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, most:
     out = written(components(exact.df))
     exact.drop()
     return out
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, most: int = MOST) -> DataFrame:
-    """docs with one row of each component of texts linked by a Jaccard similarity of `percent` or more of their sets of
-    `shingle`-word shingles: the row of the smallest doc_id (any one of repeated rows); all columns stay.
-
-    Candidates share a MinHash band directly or through others; links are decided on whole sets. Texts without words are alike;
-    a text shorter than a shingle is one shingle. A component without any doc_id keeps one row too; a doc_id on different texts
-    stands for a row in each one's component.
-    """
-    rows = written(docs.select("doc_id", "text").select("doc_id", _node().alias("h"), _bands(shingle)(F.col("text")).alias("bands")))
-    label = _labels(docs, rows.groupBy(F.col("h").alias("node")).agg(F.first("bands").alias("bands")), shingle, percent, most)
-    groups = rows.join(label, rows["h"] == label["node"], "left").select("doc_id", "h", F.coalesce("label", "h").alias("label"))
-    return survivors(docs, groups, _node())

@@ -133,16 +133,18 @@ class Plan:
         if best == room:
             pair()
             return True
+        # as long as four of x and of best are left, no count below is another one after a fixing, so that the next is the same
+        alike = max(1, (n - 4) // 2 if best == x else min(n, self.left[best]) - 4)
         small = [int(k) for k in keys[:3] for _ in range(min(3, others[int(k)]))][:3]
         if len(small) < 2 or sum(small[:2]) > room:
-            self._fix(x, best, times=1) if best == x or 2 * x <= self.size else pair()
+            self._fix(x, best, times=alike) if best == x or 2 * x <= self.size else pair()
             return True
         if len(small) < 3 or sum(small) > room:
             mate = keys[np.maximum(np.searchsorted(keys, room - keys, "right") - 1, 0)]
             own = (mate == keys) & np.array([others[int(k)] < 2 for k in keys])
             sums = np.where((keys + mate <= room) & ~own, keys + mate, 0)
             if best >= int(sums.max()) and not own.any():
-                self._fix(x, best, times=1)
+                self._fix(x, best, times=alike)
                 return True
         return False
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from . import minhash
 from .components import components
 from .shared import Written, survivors, written
 
@@ -128,7 +129,8 @@ def links(fps: DataFrame, far: int = 4, blocks: int = 7, most: int = 20_000) ->
     by every choice of that many (35 keys of 27 bits or more). Within a key the edges only span what is linked; not all pairs are
     emitted. A key with over `most` fingerprints is not brought into one task: its members are linked exactly through midpoints.
     """
-    keys = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(blocks, blocks - far))])).alias("key"))
+    spread = fps.repartition(4 * fps.sparkSession.sparkContext.defaultParallelism, "fp")  # a row becomes 35: few bytes, but much work
+    keys = spread.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(blocks, blocks - far))])).alias("key"))
     hot = written(keys.groupBy("key").count().where(F.col("count") > most).select("key"))
     more = None
     if not hot.isEmpty():
@@ -163,7 +165,29 @@ def _grouped(docs: DataFrame, far: int, blocks: int, most: int, *more: Column) -
 def one_of_each(docs: DataFrame, far: int = 4, blocks: int = 7, most: int = 20_000) -> DataFrame:
     """docs with one row of each near-duplicate component: that of the smallest doc_id (any one of repeated rows); all columns stay.
 
-    Components without any doc_id keep one row too; a doc_id on different texts stands for a row in each one's component.
+    Components without any doc_id keep one row too; a doc_id on different texts stands for a row in each one's component. Null and
+    empty texts are alike; an empty table gives an empty result.
     """
     own = F.xxhash64(F.coalesce("text", F.lit("")))
     return survivors(docs, _grouped(docs, far, blocks, most, own.alias("h")).select("doc_id", "h", "label"), own)
+
+
+def one_of_each_alike(docs: DataFrame, shingle: int = 5, percent: int = 80, far: int = 4, blocks: int = 7, most: int = 20_000, group: int = minhash.MOST) -> DataFrame:
+    """docs with one row of each component of texts linked by a Jaccard similarity of `percent` or more of their sets of
+    `shingle`-word shingles: the row of the smallest doc_id (any one of repeated rows); all columns stay.
+
+    The pigeonhole blocks of 64-bit fingerprints over those shingles propose what is within `far` bits. That is a small part of what
+    is of such similarity (README), so bands of least hashes propose the rest; whole sets decide all. Texts without words are
+    alike; a text shorter than a shingle is one shingle. A component without any doc_id keeps one row too; a doc_id on different
+    texts stands for a row in each one's component; an empty table gives an empty result.
+    """
+    rows = written(docs.select("doc_id", minhash.node().alias("h"), minhash.signatures(shingle)(F.col("text")).alias("s")).select("doc_id", "h", "s.*"))
+    nodes = written(rows.groupBy(F.col("h").alias("node")).agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    close = links(prints.select("fp"), far, blocks, most)
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    proposed = close.join(of("a"), "a").join(of("b"), "b").select("a_node", "b_node")
+    equal = nodes.join(prints, "fp").where("node <> first").select("first", "node")
+    label = minhash.labels(docs, nodes, proposed.union(equal), shingle, percent, group)
+    groups = rows.join(label, rows["h"] == label["node"], "left").select("doc_id", "h", F.coalesce("label", "h").alias("label"))
+    return survivors(docs, groups, minhash.node())

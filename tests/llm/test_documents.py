@@ -184,7 +184,7 @@ def test_one_of_each_where_a_doc_id_stands_on_two_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     schema = "doc_id long, text string"
     for rows, want in (([(1, a), (1, b), (2, a), (3, b)], [(1, a), (1, b)]), ([(1, a), (0, b), (1, b), (2, a)], [(0, b), (1, a)])):
-        for one_of_each in (simhash.one_of_each, minhash.one_of_each):
+        for one_of_each in (simhash.one_of_each, simhash.one_of_each_alike):
             assert sorted(rows_of(one_of_each(spark.createDataFrame(rows, schema)))) == want
 
 
@@ -192,10 +192,10 @@ def test_one_of_each_where_a_doc_id_stands_on_two_texts(spark):
 def test_one_of_each_by_jaccard_matches_brute_force(spark, awkward, docs, empty, most):
     larger = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for df in (awkward, docs, larger):
-        got = minhash.one_of_each(df, most=most)
+        got = simhash.one_of_each_alike(df, group=most)
         assert got.columns == df.columns
         assert sorted((r.doc_id for r in got.collect()), key=repr) == slow_copies(rows_of(df.select("doc_id", "text")))
-    assert minhash.one_of_each(empty).count() == 0
+    assert simhash.one_of_each_alike(empty).count() == 0
 
 
 def test_pipeline_drops_copies_of_similarity_over_080_and_keeps_those_under(spark):
