@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import minhash, mixing, packing, quality, secrets, tokens
+from palimpsest.llm import mixing, packing, quality, secrets, simhash, tokens
 from palimpsest.llm.shared import shared_dir, table
 
 
@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (Jaccard similarity of 0.8 or more over 5-word shingles) stays: that of the smallest doc_id."""
-    return minhash.one_of_each(docs)
+    return simhash.one_of_each_alike(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
