@@ -38,6 +38,22 @@ class Network:
             best.append(np.take_along_axis(out, at[-1][:, None], 1)[:, 0])
         return np.maximum(np.concatenate(best, axis=1), 0), at
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross-entropy, for the filters of each width, the last layer's weights and its offsets."""
+        hidden, at = self._pooled(x)
+        p = _softmax(hidden @ self.w + self.b)
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
+        back = (p @ self.w.T) * (hidden > 0)
+        grads = []
+        for f, (t, k) in enumerate(zip(self.tables, WIDTHS, strict=True)):
+            g = np.zeros_like(t)
+            part = back[:, f * FILTERS : (f + 1) * FILTERS]
+            for j in range(k):
+                np.add.at(g[j], (np.take_along_axis(x, at[f] + j, 1), np.arange(FILTERS)), part)
+            grads.append(g)
+        return [*grads, hidden.T @ p, p.sum(axis=0)]
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 11) -> Network:
         """Adam on cross-entropy. Through max pooling only the maxima's bytes get gradients."""
         rng = np.random.default_rng(seed)
@@ -47,19 +63,7 @@ class Network:
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 xb, yb = x[order[i : i + batch]], y[order[i : i + batch]]
-                hidden, at = self._pooled(xb)
-                p = _softmax(hidden @ self.w + self.b)
-                p[np.arange(len(yb)), yb] -= 1
-                p /= len(yb)
-                back = (p @ self.w.T) * (hidden > 0)
-                grads = []
-                for f, (t, k) in enumerate(zip(self.tables, WIDTHS, strict=True)):
-                    g = np.zeros_like(t)
-                    part = back[:, f * FILTERS : (f + 1) * FILTERS]
-                    for j in range(k):
-                        np.add.at(g[j], (np.take_along_axis(xb, at[f] + j, 1), np.arange(FILTERS)), part)
-                    grads.append(g)
-                grads += [hidden.T @ p, p.sum(axis=0)]
+                grads = self.gradients(xb, yb)
                 step += 1
                 for q, g, mi, vi in zip(params, grads, m, v, strict=True):
                     mi += 0.1 * (g - mi)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import cdc, langid, minhash, mixing, packing, quality, queries, secrets, simhash, tokens
+from palimpsest.llm import cdc, langid, minhash, mixing, packing, quality, queries, secrets, shared, simhash, tokens
 from palimpsest.llm.components import components
 from tests.conftest import DATA, table_of
 
@@ -136,6 +136,26 @@ def test_close_fingerprints_link_through_chains_and_midpoints(spark):
         assert groups([tuple(r) for r in simhash.links(df, most=most).collect()]) == groups([tuple(p) for p in want])
 
 
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Session:
+        def __init__(self, master, named=None):
+            self.conf = self
+            self.sparkContext = self
+            self.master, self.named = master, named
+
+        def get(self, key, default=None):
+            return self.named
+
+        def getConf(self):
+            return self
+
+    assert shared.shared_dir(Session("local[4]")) == shared.shared_dir(Session("local")) == shared.LOCAL_DIR
+    assert shared.shared_dir(Session("spark://host:7077", "hdfs://name/shared/")) == "hdfs://name/shared"
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared.shared_dir(Session(master))
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 30)] + [(5, 5), (2, 1), (1, 2)]
     got = dict(rows_of(components(spark.createDataFrame(edges, "a long, b long"))))
@@ -239,6 +259,17 @@ def test_removed_passages_stay_with_their_keeper(docs):
         assert after[d] == "".join(c for i, c in enumerate(t) if i not in set(gone))
 
 
+def test_texts_of_one_doc_id_are_cut_by_their_own_passages(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    shared, twice = prose(90), prose(90)
+    texts = [(1, f"{prose(30)} {shared}"), (2, f"{prose(50)} {shared} {prose(20)}"), (2, prose(200)), (2, f"{prose(10)} {twice}"), (2, f"{twice} {prose(40)}"), (2, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    after = sorted((len(b.split()) if b else 0) for _, b in rows_of(cdc.without_repeats(df)))
+    assert after[0] == 0 and after[2:] == sorted([100, 120, 130, 200])  # what only texts of one id share stays
+    assert 70 <= after[1] <= 95  # of 160 words the shared ones go, but for those at its ends
+
+
 def test_chunks_resist_insertions_and_cover_the_text():
     import pyarrow as pa
 
@@ -246,9 +277,9 @@ def test_chunks_resist_insertions_and_cover_the_text():
     a = " ".join(rng.choice(["alpha", "béta", "gamma", "of", "delta"]) for _ in range(3000))
     b = "inserted words " + a
     cut = lambda t: cdc.chunks(pa.array([t, None, "", t]))
-    row, start, size, words, digest = cut(a)
+    row, start, size, words, digest, more = cut(a)
     assert set(row) == {0, 3} and sum(size[row == 0]) == len(a) and sum(words[row == 0]) == 3000
-    assert list(digest[row == 0]) == list(digest[row == 3])
+    assert list(digest[row == 0]) == list(digest[row == 3]) and list(more[row == 0]) == list(more[row == 3])
     other = set(cut(b)[4])
     assert np.mean([d in other for d in digest]) > 0.98
 
@@ -264,10 +295,22 @@ def test_quality_rules_match_sql(spark, awkward, empty, docs):
 
 
 def test_quality_fences_follow_the_group(spark):
-    good = [(i, " ".join(f"word{j % 37}{i}{j}" for j in range(40)), "en", "web") for i in range(150)]
-    noisy = [(1000 + i, " ".join(f"w{j}{i}###" for j in range(40)), "en", "code" if i % 2 else "web") for i in range(200)]
-    rows = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(good + noisy[:100], "doc_id long, text string, lang string, source string")).collect()}
-    assert all(rows[i] for i in range(150))
+    """The same texts are odd where other texts are plain, and plain where all are like them."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("aeioubdfglmnrst") for _ in range(rng.randrange(2, 9)))
+    plain = lambda: " ".join(word() + ("." if j % 9 == 8 else "") for j in range(rng.randrange(60, 200)))
+    code = lambda: " ".join(word() + rng.choice(["();", "{", "}", "->", ""]) for j in range(rng.randrange(60, 200)))
+    rows = [("en", "web", plain()) for _ in range(400)] + [("en", "web", code()) for _ in range(150)] + [("code", "git", code()) for _ in range(400)]
+    rows = [(i, t, lang, src) for i, (lang, src, t) in enumerate(rows)]
+    kept = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[i] for i in range(400)) and not any(kept[i] for i in range(400, 550)) and all(kept[i] for i in range(550, 950))
+
+
+def test_echoes_and_repeats_match_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        w = [rng.choice("abcdefghijkl") for _ in range(rng.randrange(0, 60))]
+        assert quality.echoes(w) == sum(w[i] in w[max(0, i - 8) : i] for i in range(len(w)))
 
 
 def slow_spans(text):
@@ -303,6 +346,29 @@ def test_ledger_scans_only_unseen_blobs(spark, awkward):
     assert {r.path for r in out.where("size(found) > 0").collect()} >= {12, 13, 99, 100} and ledger.count() == first.count() + 1
 
 
+def test_a_lasting_ledger_is_scanned_against_and_appended_to(spark, awkward, monkeypatch, tmp_path):
+    plain = [sorted(rows_of(secrets.secrets(awkward)), key=repr), table_of(secrets.redacted(awkward).toPandas())]
+    path = f"{tmp_path}/ledger"
+    size = lambda: (secrets.recorded(spark, path).count(), secrets.recorded(spark, path).select("blob").distinct().count())
+    spark.conf.set(secrets.LEDGER, path)
+    try:
+        assert sorted(rows_of(secrets.secrets(awkward)), key=repr) == plain[0]
+        first = size()
+        assert first[0] == first[1] == awkward.select("text").fillna("").distinct().count()
+        monkeypatch.setattr(secrets, "spans", lambda text: F.raise_error(F.lit("a blob was scanned again")))
+        assert sorted(rows_of(secrets.secrets(awkward)), key=repr) == plain[0] and table_of(secrets.redacted(awkward).toPandas()) == plain[1]
+        monkeypatch.undo()
+        assert size() == first
+        (tmp_path / "ledger" / "_temporary").mkdir()  # what a failed append leaves
+        more = awkward.select("doc_id", "text").union(spark.createDataFrame([(99, "token = abcdefghijk")], "doc_id long, text string"))
+        assert len(rows_of(secrets.secrets(more))) == awkward.count() + 1 and size() == (first[0] + 1, first[1] + 1)
+        # two scans at a time may both add a blob
+        secrets.recorded(spark, path).limit(5).write.mode("append").parquet(path)
+        assert sorted(rows_of(secrets.secrets(awkward)), key=repr) == plain[0]
+    finally:
+        spark.conf.unset(secrets.LEDGER)
+
+
 def test_redaction(awkward):
     got = secrets.redacted(awkward)
     assert got.columns == awkward.columns and got.count() == awkward.count()
@@ -338,6 +404,33 @@ def test_added_tokens_in_other_letters_are_plain_text():
     assert packing.Ids(path).of(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokens.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_network_by_pairs_and_its_gradients(monkeypatch):
+    rng = np.random.default_rng(2)
+    net = langid.Network(["a", "b", "c"])
+    x, y = rng.integers(0, 256, (40, langid.WINDOW)).astype(np.uint8), rng.integers(0, 3, 40)
+    plain = lambda: langid._softmax(net._pooled(x)[0] @ net.w + net.b)
+    assert np.allclose(net.probabilities(x), plain(), atol=1e-5)
+    slow = np.empty((len(x), langid.FILTERS * 3))
+    for i, row in enumerate(x):
+        for f, (t, k) in enumerate(zip(net.tables, langid.WIDTHS)):
+            for c in range(langid.FILTERS):
+                slow[i, f * langid.FILTERS + c] = max(0.0, max(sum(float(t[j][row[p + j], c]) for j in range(k)) for p in range(langid.WINDOW - k + 1)))
+    assert np.allclose(net._pooled(x)[0], slow, atol=1e-5)
+    hidden, at = net._pooled(x)
+    p = plain()
+    p[np.arange(len(y)), y] -= 1
+    grads = net.gradients(x, y)
+    for q, g in zip([*net.tables, net.w, net.b], grads, strict=True):
+        big = np.argsort(-np.abs(g).ravel())[:5]
+        for i in big:
+            loss = []
+            for step in (1e-2, -1e-2):
+                q.flat[i] += step
+                loss.append(-np.log(plain()[np.arange(len(y)), y].astype(float)).mean())
+                q.flat[i] -= step
+            assert abs((loss[0] - loss[1]) / 2e-2 - g.flat[i]) < 0.05 * abs(g.flat[i]) + 1e-3
+
+
 def test_language_id_on_held_out_rows(spark, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
@@ -352,44 +445,55 @@ def test_language_id_on_held_out_rows(spark, awkward, empty):
     assert {r.lang_pred for r in langid.identify(nothing).collect()} == {"und"}
 
 
-def slow_round(c, quota):
-    """Earliest-deadline-first by simulation, on windows of the fluid schedule in exact fractions."""
-    time = lambda i, j: sum(min(Fraction(x), Fraction(q * j, quota[i])) for x, q in zip(c, quota, strict=True))
-    nxt, out = [0] * len(c), []
-    for t in range(sum(c)):
-        due, i = min((math.ceil(time(i, nxt[i] + 1)), i) for i, x in enumerate(c) if nxt[i] < x and math.floor(time(i, nxt[i])) <= t)
+def slow_schedule(n, w):
+    """(source, block) of each slot: earliest-deadline-first from the beginning, on windows of the fluid schedule in exact fractions."""
+    time = lambda i, j: sum(min(Fraction(x), Fraction(q * j, w[i])) for x, q in zip(n, w, strict=True))
+    at = [[time(i, j) for j in range(x + 1)] for i, x in enumerate(n)]
+    nxt, out = [0] * len(n), []
+    for t in range(sum(n)):
+        due, i = min((math.ceil(at[i][nxt[i] + 1]), i) for i, x in enumerate(n) if nxt[i] < x and math.floor(at[i][nxt[i]]) <= t)
         assert due > t
         out.append((i, nxt[i]))
         nxt[i] += 1
     return out
 
 
-@pytest.mark.parametrize("block_docs, round_blocks", [(1, 20), (3, 17)])
-def test_mixing(docs, awkward, empty, block_docs, round_blocks):
+@pytest.mark.parametrize("block_docs, weights", [(1, None), (3, None), (1, {"src0": 0.9996, "src1": 0.0004}), (2, {"a": 1 / 3, "src2": 1 / 7, "src1": -1.0, "src3": float("nan")}), (1, {"a": 0.0})])
+def test_mixing(docs, awkward, empty, block_docs, weights):
     for df in (docs, awkward):
-        sources = {r.source: r for r in mixing.targets(df, None, 0.5, round_blocks, block_docs).collect()}
-        got = mixing.mix(df, None, 0.5, round_blocks, block_docs).toPandas()
+        sources = mixing.shares(df, weights, 0.5, block_docs).orderBy("s").collect()
+        got = mixing.mix(df, weights, 0.5, block_docs).toPandas()
         got["source"] = got["source"].astype(object).where(got["source"].notna(), None)
         assert len(got) == df.count() and not got.duplicated(["slot", "seq"]).any()
         slots = got.drop_duplicates("slot").sort_values("slot")
         assert list(slots.slot) == list(range(len(slots)))
-        order = [(s, b) for s, b in zip(slots.source, slots.block, strict=True)]
-        names = sorted(sources, key=lambda k: sources[k].s)
-        left, want, r = {k: sources[k].n for k in names}, [], 0
-        while any(left.values()):
-            c = [min(sources[k].quota, left[k]) for k in names]
-            want += [(names[i], r * sources[names[i]].quota + j) for i, j in slow_round(c, [sources[k].quota for k in names])]
-            left = {k: left[k] - x for k, x in zip(names, c, strict=True)}
-            r += 1
+        order = list(zip(slots.source, slots.block, strict=True))
+        want = []
+        for tier in (0, 1):
+            own = [r for r in sources if r.tier == tier]
+            want += [(own[i].source, j) for i, j in slow_schedule([r.n for r in own], [r.w for r in own])]
         assert order == want
-        total, seen = sum(s.quota for s in sources.values()), Counter()
-        for t, (name, _) in enumerate(order):
-            if any(seen[k] + 1 > sources[k].n for k in names):
+        first = [r for r in sources if r.tier == 0]
+        seen = Counter()
+        for t, (name, _) in enumerate(order if first else []):
+            if any(seen[r.source] + 1 > r.n for r in first):
                 break
             seen[name] += 1
-            assert all(abs(seen[k] - (t + 1) * sources[k].quota / total) < 1 for k in names)
-    assert mixing.mix(empty).count() == 0
-    assert mixing.in_order(awkward).columns == awkward.columns and mixing.in_order(awkward).count() == awkward.count()
+            total = sum(math.sqrt(Counter(got.source)[r.source]) if weights is None else weights[r.source] for r in first)
+            assert all(abs(seen[r.source] - (t + 1) * (math.sqrt(Counter(got.source)[r.source]) if weights is None else weights[r.source]) / total) < 1.001 for r in first)
+    assert mixing.mix(empty, weights).count() == 0 and mixing.in_order(empty, weights).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_rows_in_the_order_of_the_mix(spark, awkward, docs, parts, tmp_path):
+    for name, df in (("docs", docs), ("awkward", awkward)):
+        got = mixing.in_order(df, block_docs=2, parts=parts)
+        assert got.columns == df.columns
+        got.write.parquet(f"{tmp_path}/{name}")
+        rows = spark.read.parquet(f"{tmp_path}/{name}").select("doc_id", "source", "text", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+        assert Counter((r.doc_id, r.source, r.text) for r in rows) == Counter(rows_of(df.select("doc_id", "source", "text")))
+        mix = sorted((r.slot, r.seq, r.source) for r in mixing.mix(df, block_docs=2).collect())
+        assert [r.source for r in rows] == [x[2] for x in mix]
 
 
 def test_mixing_keeps_to_unrounded_weights_over_many_rounds(spark):
@@ -411,26 +515,19 @@ def test_mixing_keeps_to_unrounded_weights_over_many_rounds(spark):
     assert set(got.source[-500:]) == {"c"} and "c" not in set(got.source[:-500]) and 16 <= (got.source[:28_000] == "b").sum() <= 18
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_the_schedule_is_that_of_one_long_round(spark, seed):
+@pytest.mark.parametrize("seed", range(12))
+def test_the_schedule_is_that_of_one_long_run(spark, seed):
     rng = random.Random(seed)
-    n = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 7))]
-    w = [rng.randrange(1, 1000) for _ in n]
+    n = [rng.randrange(1, 60) for _ in range(rng.choice([1, 3, 7, 17, 40]))]
+    w = [rng.choice([1, rng.randrange(1, 10), rng.randrange(1, 1000)]) for _ in n]
     sources = spark.createDataFrame([(f"x{i}", i, a, 0, b) for i, (a, b) in enumerate(zip(n, w, strict=True))], "source string, s int, n bigint, tier int, w bigint")
-    got = [(r.s, r.block) for r in mixing.schedule(sources, 13).orderBy("slot").collect()]
-    time = lambda i, j: sum(min(Fraction(x), Fraction(q * j, w[i])) for x, q in zip(n, w, strict=True))
-    nxt, want = [0] * len(n), []
-    for t in range(sum(n)):
-        due, i = min((math.ceil(time(i, nxt[i] + 1)), i) for i, x in enumerate(n) if nxt[i] < x and math.floor(time(i, nxt[i])) <= t)
-        assert due > t
-        want.append((i, nxt[i]))
-        nxt[i] += 1
-    assert got == want
+    assert [(r.s, r.block) for r in mixing.schedule(sources, 13).orderBy("slot").collect()] == slow_schedule(n, w)
 
 
-def test_mixing_to_given_weights(docs):
-    got = mixing.mix(docs, {"src0": 3.0, "src1": 1.0}, round_blocks=8, block_docs=1).toPandas().sort_values("slot")
-    assert len(got) == docs.count() and list(got.source[:4]).count("src0") >= 1
+def test_many_documents_make_larger_blocks(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    got = mixing.mix(docs, block_docs=1).toPandas()
+    assert got.slot.max() + 1 <= 10 + got.source.nunique() and not got.duplicated(["slot", "seq"]).any()
 
 
 def check_packing(df, got, size):
