@@ -26,9 +26,9 @@ ECHO = 8
 #: Greatest bin of a sketch.
 TOP = 10_000
 
-#: metric -> whether a low value is odd as well as a high one: marks and capitals in thousandths of the characters, echoes in thousandths
-#: of the words, hundredths of characters a word.
-METRICS = {"mark": False, "upper": False, "echo": False, "length": True}
+#: metric -> whether a low value is odd as well as a high one, and what a single event comes to in a text of one word (of five characters):
+#: marks and capitals in thousandths of the characters, echoes in thousandths of the words, hundredths of characters a word.
+METRICS = {"mark": (False, 200), "upper": (False, 200), "echo": (False, 1000), "length": (True, 100)}
 #: What is sketched: the metrics, and the root of the number of words, rounded down.
 SKETCHED = (*METRICS, "root")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -94,33 +94,32 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    """(…by, metric, bin, n) -> (…by, metric, size, q1, q2, q3), the columns named with the prefix, from merged sketches."""
+    """(…by, metric, bin, n) -> (…by, metric, n rows, quartiles 1, 2, 3, spreads above and below), all named with the prefix, from merged
+    sketches. The spread above the middle is read from the quarter below it, and the other way round, so that up to half of a group
+    may be odd before its middle moves; it is one bin and a sixteenth of the middle more, so a group of equal texts has a spread too."""
     merged = sketch.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "metric")
     upto = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     at = merged.withColumn("upto", upto).withColumn("size", F.sum("n").over(group))
     quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("size") * k, F.col("bin"))).alias(f"{prefix}{k}")
     q = at.groupBy(*by, "metric").agg(F.first("size").alias(f"{prefix}n"), *[quartile(k) for k in (1, 2, 3)])
-    return q.select(*[F.col(c).alias(f"{prefix}{c}") for c in (*by, "metric")], f"{prefix}n", *[f"{prefix}{k}" for k in (1, 2, 3)])
+    spread = [F.expr(f"{prefix}{hi} - {prefix}{lo} + 1 + {prefix}2 div 16").alias(f"{prefix}{side}") for side, hi, lo in (("above", 2, 1), ("below", 3, 2))]
+    return q.select(*[F.col(c).alias(f"{prefix}{c}") for c in (*by, "metric")], f"{prefix}n", *[f"{prefix}{k}" for k in (1, 2, 3)], *spread)
 
 
-def thresholds(measured: DataFrame, prior: int = 100) -> DataFrame:
+def thresholds(measured: DataFrame, prior: int = 20) -> DataFrame:
     """(lang, source, f) -> (lang, source, and of each sketched value a struct (low, below, high, above)), a row per pair of language
     and source: the group's middle and its spread to either side.
 
-    The spread above the middle is read from the quarter below it, and the other way round, so that up to half of a group may be odd
-    before its middle moves; it is one bin and a sixteenth of the middle more, so a group of equal texts has a spread too. The
-    quartiles of a pair of n documents are weighed by n against `prior` documents' worth of its language's, and those of a
+    Quartiles and spreads of a pair of n documents are weighed by n against `prior` documents' worth of its language's, and those of a
     language so against the whole table's. A group's middle and spread go beyond its language's only so far: the middle to the
     outer quartile and a spread, the spread to twice.
     """
     sketch = Written(sketches(measured))
     own, lang, every = quartiles(sketch.df, ["lang", "source"], "o"), quartiles(sketch.df, ["lang"], "l"), quartiles(sketch.df, [], "e")
     rows = own.join(lang, same(own["olang"], lang["llang"]) & (own["ometric"] == lang["lmetric"])).join(every, F.col("ometric") == F.col("emetric"))
-    mean = lambda a, b, k: F.expr(f"({a}n * {a}{k} + {prior} * {b}{k}) div ({a}n + {prior})")
-    rows = rows.withColumns({f"l{k}": mean("l", "e", k) for k in (1, 2, 3)})
-    rows = rows.withColumns({f"o{k}": mean("o", "l", k) for k in (1, 2, 3)})
-    rows = rows.withColumns({f"{a}{side}": F.expr(f"{a}{hi} - {a}{lo} + 1 + {a}2 div 16") for a in "ol" for side, hi, lo in (("above", 2, 1), ("below", 3, 2))})
+    for a, b in ("le", "ol"):
+        rows = rows.withColumns({f"{a}{k}": F.expr(f"({a}n * {a}{k} + {prior} * {b}{k}) div ({a}n + {prior})") for k in (1, 2, 3, "above", "below")})
     limit = F.struct(
         F.greatest("o2", F.col("l1") - F.col("lbelow")).alias("low"), F.least("obelow", 2 * F.col("lbelow")).alias("below"), F.least("o2", F.col("l3") + F.col("labove")).alias("high"), F.least("oabove", 2 * F.col("labove")).alias("above")
     )
@@ -129,28 +128,29 @@ def thresholds(measured: DataFrame, prior: int = 100) -> DataFrame:
     return out
 
 
-def judged(measured: DataFrame, reach: int = 8, prior: int = 100) -> DataFrame:
+def judged(measured: DataFrame, reach: int = 8, prior: int = 20) -> DataFrame:
     """(…, lang, source, f) -> the same with booleans __base_failed and __kept.
 
-    A value may be `reach` spreads from the middle of its group; in a text of fewer words than the group's middle one, whose values
-    vary more by chance, further by the root of the ratio.
+    A value may be `reach` spreads from the middle of its group, a single event in the group's middle text counted into the spread; in a
+    text of fewer words than that one, whose values vary more by chance, further by the root of the ratio.
     """
     limits = thresholds(measured, prior)
     limits = bounded(limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(m).alias(f"__{m}") for m in SKETCHED]))
     rows = measured.join(limits, same(measured["lang"], limits["__lang"]) & same(measured["source"], limits["__source"]), "left")
     n = F.col("f.n_words")
     failed = (n < MIN_WORDS) | (100 * F.col("f.n_repeat_words") > REPEAT_PERCENT * n)
-    room = F.greatest(n, F.col("__root.low") * F.col("__root.low"))
-    beyond = lambda by, spread: (by > 0) & (by * by * n > reach * reach * spread * spread * room)
+    rows = rows.withColumn("__size", F.greatest(F.lit(1), F.col("__root.low") * F.col("__root.low")))
+    beyond = lambda by, spread: (by > 0) & (by * by * n > reach * reach * spread * spread * F.greatest(n, F.col("__size")))
     odd = F.lit(False)
-    for m, both in METRICS.items():
-        odd = odd | beyond(F.col(f"f.{m}") - F.col(f"__{m}.high"), F.col(f"__{m}.above"))
+    for m, (both, one) in METRICS.items():
+        event = F.expr(f"{one} div __size")
+        odd = odd | beyond(F.col(f"f.{m}") - F.col(f"__{m}.high"), F.col(f"__{m}.above") + event)
         if both:
-            odd = odd | beyond(F.col(f"__{m}.low") - F.col(f"f.{m}"), F.col(f"__{m}.below"))
-    return rows.withColumn("__base_failed", failed).withColumn("__kept", ~failed & ~odd).drop("__lang", "__source", *[f"__{m}" for m in SKETCHED])
+            odd = odd | beyond(F.col(f"__{m}.low") - F.col(f"f.{m}"), F.col(f"__{m}.below") + event)
+    return rows.withColumn("__base_failed", failed).withColumn("__kept", ~failed & ~odd).drop("__lang", "__source", "__size", *[f"__{m}" for m in SKETCHED])
 
 
-def quality(docs: DataFrame, reach: int = 8, prior: int = 100) -> DataFrame:
+def quality(docs: DataFrame, reach: int = 8, prior: int = 20) -> DataFrame:
     """(doc_id, text, lang, source, ...) -> (doc_id, the five counts, base_failed, kept), a row per row of docs.
 
     Words are runs other than \\x20 and \\x09-\\x0D of the whole text. A null text has no words and fails. Null languages and
@@ -161,7 +161,7 @@ def quality(docs: DataFrame, reach: int = 8, prior: int = 100) -> DataFrame:
     return judged(measured, reach, prior).select("doc_id", *[F.col(f"f.{c}").alias(c) for c in COUNTS], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
-def accepted(docs: DataFrame, reach: int = 8, prior: int = 100) -> DataFrame:
+def accepted(docs: DataFrame, reach: int = 8, prior: int = 20) -> DataFrame:
     """The rows of docs that quality() keeps, all columns as they came; nulls, repeated rows and empty tables as there.
 
     Rows are written once beside their numbers, so that texts go through Python once.

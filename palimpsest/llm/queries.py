@@ -98,19 +98,20 @@ m AS (
 long AS (
   SELECT lang, source, unnest(['mark', 'upper', 'echo', 'length', 'root']) AS metric, unnest([mark, upper_, echo, length_, root]) AS bin FROM m),
 every AS (
-  SELECT metric, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL),
+  SELECT *, q2 - q1 + 1 + q2 // 16 AS above, q3 - q2 + 1 + q2 // 16 AS below FROM (
+    SELECT metric, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL)),
 wide AS (
-  SELECT w.lang, w.metric, (n * w.q1 + 100 * e.q1) // (n + 100) AS q1, (n * w.q2 + 100 * e.q2) // (n + 100) AS q2, (n * w.q3 + 100 * e.q3) // (n + 100) AS q3
-  FROM (SELECT lang, metric, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL) AS w
-  JOIN every AS e USING (metric)),
+  SELECT w.lang, w.metric, (w.n * w.q1 + 20 * e.q1) // (w.n + 20) AS q1, (w.n * w.q2 + 20 * e.q2) // (w.n + 20) AS q2, (w.n * w.q3 + 20 * e.q3) // (w.n + 20) AS q3, (w.n * w.above + 20 * e.above) // (w.n + 20) AS above, (w.n * w.below + 20 * e.below) // (w.n + 20) AS below
+  FROM (SELECT *, q2 - q1 + 1 + q2 // 16 AS above, q3 - q2 + 1 + q2 // 16 AS below FROM (
+    SELECT lang, metric, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL)) AS w
+  JOIN every AS e ON w.metric = e.metric),
 own AS (
-  SELECT o.lang, o.source, o.metric, (n * o.q1 + 100 * w.q1) // (n + 100) AS q1, (n * o.q2 + 100 * w.q2) // (n + 100) AS q2, (n * o.q3 + 100 * w.q3) // (n + 100) AS q3,
-         w.q1 AS w1, w.q3 AS w3, w.q3 - w.q2 + 1 + w.q2 // 16 AS wbelow, w.q2 - w.q1 + 1 + w.q2 // 16 AS wabove
-  FROM (SELECT lang, source, metric, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL) AS o
+  SELECT o.lang, o.source, o.metric, (o.n * o.q1 + 20 * w.q1) // (o.n + 20) AS q1, (o.n * o.q2 + 20 * w.q2) // (o.n + 20) AS q2, (o.n * o.q3 + 20 * w.q3) // (o.n + 20) AS q3, (o.n * o.above + 20 * w.above) // (o.n + 20) AS above, (o.n * o.below + 20 * w.below) // (o.n + 20) AS below, w.q1 AS w1, w.q3 AS w3, w.above AS wabove, w.below AS wbelow
+  FROM (SELECT *, q2 - q1 + 1 + q2 // 16 AS above, q3 - q2 + 1 + q2 // 16 AS below FROM (
+    SELECT lang, source, metric, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL)) AS o
   JOIN wide AS w ON o.lang IS NOT DISTINCT FROM w.lang AND o.metric = w.metric),
 fence AS (
-  SELECT lang, source, metric, greatest(q2, w1 - wbelow) AS low, least(q3 - q2 + 1 + q2 // 16, 2 * wbelow) AS below,
-         least(q2, w3 + wabove) AS high, least(q2 - q1 + 1 + q2 // 16, 2 * wabove) AS above FROM own),
+  SELECT lang, source, metric, greatest(q2, w1 - wbelow) AS low, least(below, 2 * wbelow) AS below, least(q2, w3 + wabove) AS high, least(above, 2 * wabove) AS above FROM own),
 bound AS (
   SELECT lang, source, max(low) FILTER (metric = 'root') AS root_low, max(low) FILTER (metric = 'length') AS length_low, max(below) FILTER (metric = 'length') AS length_below,
          max(high) FILTER (metric = 'length') AS length_high, max(above) FILTER (metric = 'length') AS length_above,
@@ -119,8 +120,8 @@ bound AS (
 beyond AS (
   SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
          [mark - mark_high, upper_ - upper_high, echo - echo_high, length_ - length_high, length_low - length_] AS away,
-         [mark_above, upper_above, echo_above, length_above, length_below] AS spread, greatest(n_words, root_low * root_low) AS room
-  FROM m JOIN bound ON m.lang IS NOT DISTINCT FROM bound.lang AND m.source IS NOT DISTINCT FROM bound.source),
+         [mark_above + 200 // size, upper_above + 200 // size, echo_above + 1000 // size, length_above + 100 // size, length_below + 100 // size] AS spread, greatest(n_words, size) AS room
+  FROM m JOIN (SELECT *, greatest(1, root_low * root_low) AS size FROM bound) AS bound ON m.lang IS NOT DISTINCT FROM bound.lang AND m.source IS NOT DISTINCT FROM bound.source),
 judged AS (
   SELECT *, len(list_filter(list_zip(away, spread), lambda z: z[1] > 0 AND z[1] * z[1] * n_words > 64 * z[2] * z[2] * room)) = 0 AS fits FROM beyond)
 """
