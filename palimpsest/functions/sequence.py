@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Layout:
-    """How a decoder numbers symbols and reads a sequence: specials before and after the charset, what ends or is left out, which
-    mean makes the confidence."""
+    """How a decoder numbers symbols and reads a sequence: specials before and after the charset, what ends it, what is left out (`skip`) or
+    only not written (`hide`), which mean makes the confidence."""
 
     before: tuple[str, ...] = ()
     after: tuple[str, ...] = ()
@@ -19,11 +19,13 @@ class Layout:
     stop: str | None = None
     stop_counts: bool = False
     skip: tuple[str, ...] = ()
+    hide: tuple[str, ...] = ()
     confidence: str = "mean"
     reverse: bool = False
     shift: int = 0
     lead: str | None = None
-    first_only: bool = field(default=False)
+    drop_first: bool = False
+    first_only: bool = False
 
     def symbols(self, charset: list[str]) -> list[str]:
         return [*self.before, *charset, *self.after]
@@ -38,16 +40,17 @@ LAYOUTS = {
     "ctc_label": Layout(before=("blank",), skip=("blank",)),
     "ar": Layout(before=("</s>",), after=("<s>", "<pad>"), stop="</s>", skip=("<s>", "<pad>")),
     "ce": Layout(first_only=True),
-    "char": Layout(before=("blank", "<unk>", "<s>", "</s>"), stop="</s>"),
+    "char": Layout(before=("blank", "<unk>", "<s>", "</s>"), stop="</s>", lead="<s>"),
     "cppd": Layout(before=("</s>",), stop="</s>"),
     "nrtr": Layout(before=("blank", "<unk>", "<s>", "</s>"), stop="</s>", lead="<s>"),
     "abinet": Layout(before=("</s>",), stop="</s>"),
     "visionlan": Layout(shift=1, confidence="geometric"),
     "lister": Layout(before=("</s>",), after=("<pad>",), stop="</s>", skip=("<pad>",)),
-    "smtr": Layout(before=("</s>",), after=("<s>", "<INF>", "<INB>", "<pad>"), stop="</s>", skip=("<s>", "<INF>", "<INB>", "<pad>")),
+    "smtr": Layout(before=("</s>",), after=("<s>", "<INF>", "<INB>", "<pad>"), stop="</s>", skip=("<s>", "<pad>")),
+    "smtr_back": Layout(before=("</s>",), after=("<s>", "<INF>", "<INB>", "<pad>"), stop="</s>", skip=("<s>", "<pad>"), reverse=True),
     "srn": Layout(after=("<BOS>", "<EOS>"), skip=("<BOS>", "<EOS>")),
     "igtr": Layout(before=("</s>",), after=("<s>", "<pad>"), stop="</s>", skip=("<s>", "<pad>")),
-    "mgp": Layout(before=("[GO]", "[s]"), stop="[s]", stop_counts=True, lead="[GO]", confidence="product"),
+    "mgp": Layout(before=("[GO]", "[s]"), stop="[s]", stop_counts=True, hide=("[GO]",), drop_first=True, confidence="product"),
     "pg": Layout(after=("blank",), collapse=True, skip=("blank",)),
     "dptr": Layout(before=("[E]",), after=("[B]", "[P]"), stop="[E]", stop_counts=True),
 }
@@ -78,30 +81,70 @@ def confidence(ps: Column, kind: str) -> Column:
 
 
 def decoded(path: Column, charset: list[str], layout: Layout) -> Column:
-    """array<struct<id, p>> -> struct<text, conf>. Ids out of the charset are left out; no symbols: empty text."""
+    """array<struct<id, p>> -> struct<text, conf>. Steps with ids out of the symbols are left out; no symbols: empty text."""
     names = layout.symbols(charset)
     ids = {s: i for i, s in enumerate(names)}
     if layout.collapse:
         path = collapsed(path)
-    if layout.lead is not None:
-        path = F.when(F.get(path, F.lit(0))["id"] == ids[layout.lead], F.slice(path, 2, F.greatest(F.size(path), F.lit(1)))).otherwise(path)
-    kept = scored = F.slice(path, 1, 1) if layout.first_only else path
-    if layout.stop is not None:
-        at = F.array_position(F.transform(path, lambda s: s["id"]), ids[layout.stop]).cast("int")
-        kept = F.when(at > 0, F.slice(path, 1, F.greatest(at - 1, F.lit(0)))).otherwise(path)
-        scored = F.when(at > 0, F.slice(path, F.lit(1), at)).otherwise(path) if layout.stop_counts else kept
-    if layout.shift:
-        kept = scored = F.transform(F.filter(path, lambda s: s["id"] > 0), lambda s: F.struct((s["id"] - layout.shift).alias("id"), s["p"].alias("p")))
-    drop = [ids[s] for s in layout.skip]
-    if drop:
-        kept = F.filter(kept, lambda s: ~s["id"].isin(drop))
-        scored = F.filter(scored, lambda s: ~s["id"].isin(drop))
+    if layout.shift:  # id 0 is no symbol, and all steps count
+        kept, scored = F.transform(F.filter(path, lambda s: s["id"] > 0), lambda s: F.struct((s["id"] - layout.shift).alias("id"), s["p"].alias("p"))), path
+    else:
+        kept = scored = _read(path, ids, layout)
+        if layout.stop is not None:
+            at = F.array_position(F.transform(kept, lambda s: s["id"]), ids[layout.stop]).cast("int")
+            if layout.stop_counts:
+                scored = F.when(at > 0, F.slice(kept, F.lit(1), at)).otherwise(kept)
+            kept = F.when(at > 0, F.slice(kept, 1, F.greatest(at - 1, F.lit(0)))).otherwise(kept)
+            scored = scored if layout.stop_counts else kept
+    skip, unseen = [ids[s] for s in layout.skip], [ids[s] for s in (*layout.skip, *layout.hide)]
+    if skip:
+        scored = F.filter(scored, lambda s: ~s["id"].isin(skip))
+    if unseen:
+        kept = F.filter(kept, lambda s: ~s["id"].isin(unseen))
     table = F.array(*[F.lit(s) for s in names])
     chars = F.filter(F.transform(kept, lambda s: F.get(table, s["id"])), lambda c: c.isNotNull())
     text = F.array_join(F.reverse(chars) if layout.reverse else chars, "")
     return F.struct(text.alias("text"), confidence(F.transform(scored, lambda s: s["p"]), layout.confidence).alias("conf"))
 
 
+def _read(path: Column, ids: dict[str, int], layout: Layout) -> Column:
+    """The steps that a decoder looks at: from where it begins, those of its symbols."""
+    rest = F.slice(path, 2, F.greatest(F.size(path), F.lit(1)))
+    if layout.lead is not None:
+        path = F.when(F.get(path, F.lit(0))["id"] == ids[layout.lead], rest).otherwise(path)
+    if layout.drop_first:
+        path = rest
+    if layout.first_only:
+        path = F.slice(path, 1, 1)
+    return F.filter(path, lambda s: s["id"] < len(ids))
+
+
+def decoded_with_boxes(path: Column, box_path: Column, charset: list[str]) -> Column:
+    """Two heads of the `char` layout -> struct<text, conf, box_text, box_conf>.
+
+    The second head has no specials, so its classes come after them; it is read step by step with the first, also where that begins
+    with a start symbol that is left out, and up to the first's end symbol. A step with an id out of the symbols in either is left out.
+    """
+    layout = LAYOUTS["char"]
+    names = layout.symbols(charset)
+    rest = F.slice(path, 2, F.greatest(F.size(path), F.lit(1)))
+    path = F.when(F.get(path, F.lit(0))["id"] == names.index(layout.lead), rest).otherwise(path)
+    both = F.transform(path, lambda s, i: F.struct(s["id"].alias("id"), s["p"].alias("p"), (F.get(box_path, i)["id"] + len(layout.before)).alias("box"), F.get(box_path, i)["p"].alias("q")))
+    both = F.filter(both, lambda s: (s["id"] < len(names)) & (s["box"] < len(names)))
+    at = F.array_position(F.transform(both, lambda s: s["id"]), names.index(layout.stop)).cast("int")
+    both = F.when(at > 0, F.slice(both, 1, F.greatest(at - 1, F.lit(0)))).otherwise(both)
+    table = F.array(*[F.lit(s) for s in names])
+    said = lambda k: F.array_join(F.transform(both, lambda s: F.get(table, s[k])), "")
+    mean = lambda k: confidence(F.transform(both, lambda s: s[k]), "mean")
+    return F.struct(said("id").alias("text"), mean("p").alias("conf"), said("box").alias("box_text"), mean("q").alias("box_conf"))
+
+
+def decoded_guided(gtc_path: Column, ctc_path: Column, charset: list[str], gtc: str = "ar", only_gtc: bool = False) -> Column:
+    """The two heads of a model whose training was guided by attention -> struct<gtc struct, ctc struct>, or that of the guide alone."""
+    guide = decoded(gtc_path, charset, LAYOUTS[gtc])
+    return guide if only_gtc else F.struct(guide.alias("gtc"), decoded(ctc_path, charset, LAYOUTS["ctc"]).alias("ctc"))
+
+
 def top_classes(row: Column, k: int = 5) -> Column:
     """The k most probable classes of a step, least first."""
     pairs = F.transform(row, lambda p, i: F.struct(p.alias("p"), i.alias("id")))

@@ -50,3 +50,8 @@ def with_all_images(images: DataFrame, texts: DataFrame, key: str = "image_idx")
     item = F.struct(F.col("box")["y"].alias("y"), "line_idx", F.struct("text", "score", "box").alias("item"))
     lists = texts.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("l")).select(key, F.transform("l", lambda x: x["item"]).alias("texts"))
     return images.join(lists, key, "left").withColumn("texts", F.coalesce("texts", F.array().cast(lists.schema["texts"].dataType)))
+
+
+def long_enough(rows: DataFrame, least: int = 2) -> DataFrame:
+    """Rows whose decoded text has `least` characters or more; a null text has none."""
+    return rows.where(F.length("text") >= least)

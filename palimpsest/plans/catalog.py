@@ -680,17 +680,106 @@ def confidence_kinds(spark, sf):
     return ids(spark, sf).select("p_partkey", F.round(d["conf"], 9).alias("product"), F.round(g, 6).alias("geometric"))
 
 
-def _decoder(kind: str):
+def marked(spark, sf) -> DataFrame:
+    """ids(), with special symbols at the beginning, in the middle and beyond the charset's end."""
+    k, table = F.col("p_partkey"), F.array(*[F.lit(c) for c in CHARSET])
+    chars = F.filter(F.split(F.lower("p_name"), ""), lambda c: F.array_position(table, c) > 0)
+    special = lambda i: F.coalesce(*[F.when((i == at) & (k % m == r), F.lit(x)) for at, m, r, x in _SPECIAL])
+    path = F.transform(chars, lambda c, i: F.struct(F.coalesce(special(i), F.array_position(table, c).cast("int")).alias("id"), ((F.ascii(c) % 50 + i + 1) / 100.0).alias("p")))
+    return read(spark, sf, "part").select("p_partkey", path.alias("path"))
+
+
+#: place, modulus and remainder of the key, id
+_SPECIAL = [(0, 2, 0, 2), (0, 3, 1, 0), (1, 13, 0, 0), (3, 5, 1, 1), (4, 3, 0, 0), (5, 6, 1, 99), (6, 4, 1, 37), (7, 7, 3, 38), (8, 11, 5, 39), (9, 2, 1, 40), (10, 3, 1, 3)]
+_MARKED = """c AS (SELECT p_partkey, list_filter(string_split(lower(p_name), ''), lambda x: x <> '' AND contains('abcdefghijklmnopqrstuvwxyz0123456789', x)) AS l FROM part),
+ u AS (SELECT p_partkey, unnest(l) AS ch, generate_subscripts(l, 1) - 1 AS i FROM c),
+ x AS (SELECT p_partkey, i, CASE """ + " ".join(f"WHEN i = {at} AND p_partkey % {m} = {r} THEN {x}" for at, m, r, x in _SPECIAL) + """
+  ELSE instr('abcdefghijklmnopqrstuvwxyz0123456789', ch) END AS id, (ascii(ch) % 50 + i + 1) / 100.0 AS p FROM u),
+ a AS (SELECT *, lag(id) OVER (PARTITION BY p_partkey ORDER BY i) AS prev FROM x)"""
+_MEANS = {
+    "mean": "coalesce(avg(p) FILTER ({scored}), 0)",
+    "product": "coalesce(product(p) FILTER ({scored}), 1)",
+    "geometric": "coalesce(exp(sum(ln(p)) FILTER ({scored}) / (count(*) FILTER ({scored}) + 1e-6)), 1)",
+}
+
+
+def _decoder_sql(before="", after="", stop=None, skip=(), hide=(), first=None, collapse=False, stop_counts=False, mean="mean", back=False) -> str:
+    """`first`: a condition on the steps that are read."""
+    names = [x for x in before.split(",") if x] + CHARSET + [x for x in after.split(",") if x]
+    at = {n: i for i, n in enumerate(names)}
+    no = lambda some: "".join(f" AND id <> {at[n]}" for n in some)
+    kept = "stop IS NULL OR i < stop" if stop else "i IS NOT NULL"
+    scored = "stop IS NULL OR i <= stop" if stop_counts else kept
+    read = f"id < {len(names)}" + (" AND (prev IS NULL OR id <> prev)" if collapse else "") + (f" AND ({first})" if first else "")
+    return f"""WITH {_MARKED}, r AS (SELECT * FROM a WHERE {read}), s AS (SELECT *, {f"min(i) FILTER (id = {at[stop]}) OVER (PARTITION BY p_partkey)" if stop else "NULL"} AS stop FROM r)
+SELECT part.p_partkey, coalesce(string_agg([{", ".join(f"'{n}'" for n in names)}][id + 1], '' ORDER BY i{" DESC" if back else ""}) FILTER (({kept}){no((*skip, *hide))}), '') AS text,
+  round({_MEANS[mean].format(scored=f"({scored}) AND i IS NOT NULL{no(skip)}")}, 9) AS conf FROM part LEFT JOIN s USING (p_partkey) GROUP BY part.p_partkey"""
+
+
+_START = "NOT (i = 0 AND id = 2)"
+_DECODERS = {
+    "ctc": _decoder_sql("blank", skip=("blank",), collapse=True),
+    "ctc_label": _decoder_sql("blank", skip=("blank",)),
+    "ar": _decoder_sql("</s>", "<s>,<pad>", "</s>", ("<s>", "<pad>")),
+    "ce": _decoder_sql(first="i = 0"),
+    "char": _decoder_sql("blank,<unk>,<s>,</s>", "", "</s>", first=_START),
+    "cppd": _decoder_sql("</s>", "", "</s>"),
+    "nrtr": _decoder_sql("blank,<unk>,<s>,</s>", "", "</s>", first=_START),
+    "abinet": _decoder_sql("</s>", "", "</s>"),
+    "visionlan": f"""WITH {_MARKED} SELECT part.p_partkey, coalesce(string_agg(substr('abcdefghijklmnopqrstuvwxyz0123456789', CAST(id AS INTEGER), 1), '' ORDER BY i) FILTER (id > 0 AND id <= 36), '') AS text,
+  round(coalesce(exp(sum(ln(p)) / (count(i) + 1e-6)), 1), 9) AS conf FROM part LEFT JOIN a USING (p_partkey) GROUP BY part.p_partkey""",
+    "lister": _decoder_sql("</s>", "<pad>", "</s>", ("<pad>",)),
+    "smtr": _decoder_sql("</s>", "<s>,<INF>,<INB>,<pad>", "</s>", ("<s>", "<pad>")),
+    "smtr_back": _decoder_sql("</s>", "<s>,<INF>,<INB>,<pad>", "</s>", ("<s>", "<pad>"), back=True),
+    "srn": _decoder_sql("", "<BOS>,<EOS>", skip=("<BOS>", "<EOS>")),
+    "igtr": _decoder_sql("</s>", "<s>,<pad>", "</s>", ("<s>", "<pad>")),
+    "mgp": _decoder_sql("[GO],[s]", "", "[s]", hide=("[GO]",), first="i > 0", stop_counts=True, mean="product"),
+    "pg": _decoder_sql("", "blank", skip=("blank",), collapse=True),
+    "dptr": _decoder_sql("[E]", "[B],[P]", "[E]", stop_counts=True),
+}
+
+
+def _decoder(kind: str, sql: str):
     def run(spark, sf):
         d = S.decoded(F.col("path"), CHARSET, S.LAYOUTS[kind])
-        return ids(spark, sf).select("p_partkey", d.alias("d")).select("p_partkey", "d.text", F.round("d.conf", 9).alias("conf"))
+        return marked(spark, sf).select("p_partkey", d.alias("d")).select("p_partkey", "d.text", F.round("d.conf", 9).alias("conf"))
 
     run.__name__ = f"decode_{kind}"
-    QUERIES[run.__name__] = run
+    QUERIES[run.__name__], ORACLE[run.__name__] = run, sql
+
+
+for _kind, _sql in _DECODERS.items():
+    _decoder(_kind, _sql)
+
+
+@query(f"WITH d AS ({_DECODERS['pg']}) SELECT p_partkey, text FROM d WHERE length(text) >= 2 AND p_partkey % 2 = 0 UNION ALL SELECT p_partkey, text[1:2] FROM d WHERE length(text[1:2]) >= 2 AND p_partkey % 2 = 1")
+def min_decoded_length(spark, sf):
+    d = S.decoded(F.col("path"), CHARSET, S.LAYOUTS["pg"])["text"]
+    rows = marked(spark, sf).select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, d).otherwise(F.left(d, F.lit(2))).alias("text"))
+    return filters.long_enough(rows)
+
+
+@query(
+    f"""WITH {_MARKED}, h AS (SELECT p_partkey, max(CASE WHEN i = 0 AND id = 2 THEN 1 ELSE 0 END) AS lead FROM x GROUP BY 1),
+ b AS (SELECT x.p_partkey, x.i - lead AS i, x.id, x.p FROM x JOIN h USING (p_partkey) WHERE x.i >= lead),
+ r AS (SELECT b.p_partkey, b.i, b.id, b.p, (o.id * 7 + o.i) % 37 + 4 AS box, o.p / 2 AS q FROM b JOIN x AS o ON o.p_partkey = b.p_partkey AND o.i = b.i WHERE b.id < 40 AND (o.id * 7 + o.i) % 37 + 4 < 40),
+ s AS (SELECT *, min(i) FILTER (id = 3) OVER (PARTITION BY p_partkey) AS stop FROM r),
+ n AS (SELECT ['blank', '<unk>', '<s>', '</s>'] || string_split('a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p,q,r,s,t,u,v,w,x,y,z,0,1,2,3,4,5,6,7,8,9', ',') AS names)
+SELECT part.p_partkey, coalesce(string_agg((SELECT names FROM n)[id + 1], '' ORDER BY i), '') AS text, round(coalesce(avg(p), 0), 9) AS conf,
+  coalesce(string_agg((SELECT names FROM n)[box + 1], '' ORDER BY i), '') AS box_text, round(coalesce(avg(q), 0), 9) AS box_conf
+FROM part LEFT JOIN (SELECT * FROM s WHERE stop IS NULL OR i < stop) AS k USING (p_partkey) GROUP BY part.p_partkey"""
+)
+def decode_char_boxes(spark, sf):
+    other = F.transform("path", lambda s, i: F.struct(((s["id"] * 7 + i) % 37).alias("id"), (s["p"] / 2).alias("p")))
+    d = S.decoded_with_boxes(F.col("path"), other, CHARSET)
+    rows = marked(spark, sf).select("p_partkey", d.alias("d")).select("p_partkey", "d.*")
+    return rows.select("p_partkey", "text", F.round("conf", 9).alias("conf"), "box_text", F.round("box_conf", 9).alias("box_conf"))
 
 
-for _kind in S.LAYOUTS:
-    _decoder(_kind)
+@query(f"WITH g AS ({_DECODERS['ar']}), k AS ({_DECODERS['ctc']}) SELECT g.p_partkey, g.text AS gtc_text, g.conf AS gtc_conf, k.text AS ctc_text, k.conf AS ctc_conf FROM g JOIN k USING (p_partkey)")
+def decode_gtc(spark, sf):
+    rows = marked(spark, sf).select("p_partkey", S.decoded_guided(F.col("path"), F.col("path"), CHARSET).alias("d"))
+    return rows.select("p_partkey", *[(F.round(F.col(f"d.{h}.{c}"), 9) if c == "conf" else F.col(f"d.{h}.{c}")).alias(f"{h}_{c}") for h in ("gtc", "ctc") for c in ("text", "conf")])
 
 
 @query(f"WITH {V_PROBS}, z AS (SELECT vec_id, t, unnest(row) AS p, generate_subscripts(row, 1) - 1 AS id FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, t ORDER BY p DESC, id DESC) AS n FROM z) SELECT vec_id, t, string_agg(id, ',' ORDER BY n DESC) AS classes FROM r WHERE n <= 5 GROUP BY ALL")
