@@ -192,9 +192,9 @@ def encoded(text: Column, charset: list[str], kind: str, most: int = 25, lower:
     """A label for one kind of model: array<int>, null if the text has no known character or more than `most`.
 
     For `ce` the length limit counts all characters, for the others the known ones. Kinds and layouts are those of LAYOUTS; `ep`
-    closes with its end symbol, `char` pads with zero.
+    closes with its end symbol, `char` pads with zero; `char_head` is the label of that layout's second head.
     """
-    layout = LAYOUTS["ar" if kind == "ep" else kind]
+    layout = LAYOUTS[{"ep": "ar", "char_head": "char"}.get(kind, kind)]
     ids = known_ids(text, charset, len(layout.before), lower)
     sym = lambda s: F.array(F.lit(layout.id_of(charset, s)))
     pad = lambda s: layout.id_of(charset, s)
@@ -212,8 +212,10 @@ def encoded(text: Column, charset: list[str], kind: str, most: int = 25, lower:
         out = _padded(F.concat(ids, F.array(F.lit(0))), most + 1, 100)
     elif kind == "srn":
         out = _padded(ids, most, pad("<EOS>"))
+    elif kind == "char_head":
+        out = _padded(ids, most + 1, 104)
     elif kind == "visionlan":
-        out = _padded(F.transform(ids, lambda i: i + 1), most, 0)
+        out = _padded(F.transform(ids, lambda i: i + 1), most + 1, 0)
     elif kind == "mgp":
         out = _padded(F.concat(sym("[GO]"), ids, sym("[s]")), most + 2, pad("[GO]"))
     elif kind in ("smtr", "igtr"):
@@ -228,6 +230,89 @@ def encoded(text: Column, charset: list[str], kind: str, most: int = 25, lower:
     return F.when((F.size(ids) > 0) & (size <= most), out)
 
 
+def guided_label(text: Column, charset: list[str], gtc: str = "ar", most: int = 25, lower: bool = False) -> Column:
+    """struct<label, ctc_label, ctc_length> for a model guided by attention; null if either label is."""
+    guide, ctc = encoded(text, charset, gtc, most, lower), encoded(text, charset, "ctc", most, lower)
+    return F.when(guide.isNotNull() & ctc.isNotNull(), F.struct(guide.alias("label"), ctc.alias("ctc_label"), F.size(known_ids(text, charset, 1, lower)).alias("ctc_length")))
+
+
+def occluded_label(text: Column, at: Column, charset: list[str], most: int = 25, lower: bool = False) -> Column:
+    """struct<label, length, label_res, length_res, label_sub, length_sub> of a text whose character at place `at` is covered: the ids of the
+    whole, of the rest and of that character. Null where the whole has no label; what has no known character has length 0."""
+    label = encoded(text, charset, "visionlan", most, lower)
+    rest, one = F.concat(F.left(text, at), F.substr(text, at + 2)), F.substr(text, at + 1, F.lit(1))
+    part = lambda x: F.filter(known_ids(x, charset, 1, lower), lambda i: i > 0)
+    pair = lambda x, name: [_padded(part(x), most, 0).alias(f"label_{name}"), F.size(part(x)).alias(f"length_{name}")]
+    return F.when(label.isNotNull(), F.struct(label.alias("label"), F.size(part(text)).alias("length"), *pair(rest, "res"), *pair(one, "sub")))
+
+
+def node_label(text: Column, charset: list[str], most: int = 25, lower: bool = False, count_down: bool = False) -> Column:
+    """struct<label, nodes> of the `cppd` layout: nodes are how often each class occurs (the end once), then a node for each place: whether it
+    is used, or with `count_down` how many places are left (100 where it is not used)."""
+    label, ids = encoded(text, charset, "cppd", most, lower), known_ids(text, charset, 1, lower)
+    used = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.when(i > F.size(ids), 100 if count_down else 0).otherwise(F.size(ids) - i if count_down else 1))
+    return F.when(label.isNotNull(), F.struct(label.alias("label"), F.concat(class_counts(F.concat(F.array(F.lit(0)), ids), len(charset) + 1), used).alias("nodes")))
+
+
+def window_label(text: Column, charset: list[str], most: int = 25, k: int = 5, lower: bool = False, dice: Column | None = None) -> Column:
+    """The `smtr` label: struct<label, subs, next, n_subs, subs_back, next_back, n_subs_back>.
+
+    A window is the k symbols before a character (from the beginning on), or after it (from the end on), with the ends filled up; beside
+    each list stands the character it tells, and the end symbol last. Both are padded to 2 * most + 2. `dice`, an array of
+    struct<at, id, then_at, then_id> for windows k and later of either list, adds variants: a window with the id at place `at` replaced
+    joins the list unless it is in it, then the window itself has the id at `then_at` replaced.
+    """
+    layout = LAYOUTS["smtr"]
+    sym = {x: F.lit(layout.id_of(charset, x)) for x in ("</s>", "<INF>", "<INB>", "<pad>")}
+    label, ids = encoded(text, charset, "smtr", most, lower), known_ids(text, charset, 1, lower)
+    n, size = F.size(ids), 2 * most + 2
+    filled = F.concat(F.array_repeat(sym["<INF>"], k), ids, F.array_repeat(sym["<INB>"], k))
+    out = [label.alias("label")]
+    for name, begin, told in (("", lambda i: i + 1, ids), ("_back", lambda i: n + k - i + 1, F.reverse(ids))):
+        lists = F.struct(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(filled, begin(i), k)).alias("subs"), F.concat(told, F.array(sym["</s>"])).alias("next"))  # noqa: B023
+        lists = lists if dice is None else _with_variants(lists, n, k, dice)
+        out += [
+            F.concat(lists["subs"], F.array_repeat(F.array_repeat(sym["<pad>"], k), F.greatest(F.lit(0), size - F.size(lists["subs"])))).alias(f"subs{name}"),
+            _padded(lists["next"], size, layout.id_of(charset, "<pad>")).alias(f"next{name}"),
+            F.size(lists["subs"]).alias(f"n_subs{name}"),
+        ]
+    return F.when(label.isNotNull(), F.struct(*out))
+
+
+def _with_variants(lists: Column, n: Column, k: int, dice: Column) -> Column:
+    put = lambda window, at, x: F.transform(window, lambda y, j: F.when(j == at, x).otherwise(y))
+
+    def step(acc, t):
+        die, window = F.get(dice, t - k), F.get(acc["subs"], t)
+        new = put(window, die["at"], die["id"])
+        known = F.array_contains(acc["subs"], new)
+        subs = F.when(known, acc["subs"]).otherwise(F.concat(acc["subs"], F.array(new)))
+        told = F.when(known, acc["next"]).otherwise(F.concat(acc["next"], F.array(F.get(acc["next"], t))))
+        return F.struct(F.transform(subs, lambda w, j: F.when(j == t, put(window, die["then_at"], die["then_id"])).otherwise(w)).alias("subs"), told.alias("next"))
+
+    late = F.when(n >= k, F.sequence(F.lit(k), n)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.aggregate(late, lists, step)
+
+
+def prompt_label(text: Column, charset: list[str], most: int = 25, lower: bool = False) -> Column:
+    """The `igtr` label: struct<label, counts, prompts, questions>, without random splits.
+
+    counts: how often each class occurs (the end once). prompts and questions, one array each: all characters asked with nothing told, and
+    the end asked with all told. An element is struct<pos, id, nth> (place from 1, class, how many of its class come before); a
+    prompt begins with the start symbol at 0, the last question is the end; both are padded to most + 1.
+    """
+    layout = LAYOUTS["igtr"]
+    triple = lambda pos, x, nth: F.struct(F.lit(pos).cast("int").alias("pos") if isinstance(pos, int) else pos.cast("int").alias("pos"), x.cast("int").alias("id"), nth.cast("int").alias("nth"))
+    sym = lambda x: F.lit(layout.id_of(charset, x))
+    label, ids = encoded(text, charset, "igtr", most, lower), known_ids(text, charset, 1, lower)
+    told = F.transform(occurrences(ids), lambda o: triple(o["pos"] + 1, o["id"], o["nth"] - 1))
+    pad, end = triple(most + 2, sym("<pad>"), F.lit(0)), F.array(triple(F.size(ids) + 1, sym("</s>"), F.lit(0)))
+    full = lambda rows: F.concat(rows, F.array_repeat(pad, F.greatest(F.lit(0), most + 1 - F.size(rows))))
+    start = F.array(triple(0, sym("<s>"), F.lit(0)))
+    counts = class_counts(F.concat(F.array(F.lit(0)), ids), len(charset) + 1)
+    return F.when(label.isNotNull(), F.struct(label.alias("label"), counts.alias("counts"), F.array(full(start), full(F.concat(start, told))).alias("prompts"), F.array(full(F.concat(told, end)), full(end)).alias("questions")))
+
+
 def class_counts(ids: Column, classes: int) -> Column:
     """How often each class occurs."""
     return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.size(F.filter(ids, lambda i: i == k)))

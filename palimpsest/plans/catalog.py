@@ -828,15 +828,85 @@ _encoder("char", _encoder_sql("[2]", "[3]", 0, 27, 4))
 _encoder("nrtr", _encoder_sql("[2]", "[3]", 0, 27, 4))
 _encoder("abinet", _encoder_sql("[]", "[0]", 100, 26, 1))
 _encoder("srn", _encoder_sql("[]", "[]", 37, 25, 0))
-_encoder("visionlan", _encoder_sql("[]", "[]", 0, 25, 1))
+_encoder("char_head", _encoder_sql("[]", "[]", 104, 26, 4))
+_encoder("visionlan", _encoder_sql("[]", "[]", 0, 26, 1))
 _encoder("mgp", _encoder_sql("[0]", "[1]", 0, 27, 2))
 _encoder("cppd", _encoder_sql("[]", "[0]", 100, 26, 1))
-_encoder("smtr", _encoder_sql("[37]", "[0]", 40, 27, 1))
-_encoder("igtr", _encoder_sql("[37]", "[0]", 38, 27, 1))
 _encoder("dptr", _encoder_sql("[37]", "[0]", 38, 27, 1))
 _encoder("ce", _encoder_sql("[]", "[]", 0, 0, 0).replace("WHEN len(ids) BETWEEN 1 AND 25", "WHEN len(ids) > 0 AND (SELECT length(p_name) FROM part AS o WHERE o.p_partkey = f.p_partkey) <= 25"))
 
 
+_said = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
+_rows_said = lambda c, f: F.array_join(F.transform(c, lambda w: F.array_join(F.transform(w, f), " ")), ",")
+_KNOWN = """c AS (SELECT p_partkey, p_name, list_filter(string_split(lower(p_name), ''), lambda x: x <> '' AND contains('abcdefghijklmnopqrstuvwxyz0123456789', x)) AS l FROM part),
+ k AS (SELECT p_partkey, p_name, list_transform(l, lambda x: CAST(instr('abcdefghijklmnopqrstuvwxyz0123456789', x) AS INTEGER)) AS ids FROM c)"""
+_fill = lambda e, size, x: f"({e}) || list_transform(range(0, greatest(0, {size} - len({e}))), lambda z: {x})"
+
+
+@query(
+    f"""WITH {_KNOWN}, w AS (SELECT p_partkey, ids, len(ids) AS n, [38, 38, 38, 38, 38] || ids || [39, 39, 39, 39, 39] AS f FROM k),
+ v AS (SELECT *, list_transform(range(0, n + 1), lambda i: array_to_string(f[i + 1:i + 5], ' ')) AS subs, ids || [0] AS nxt,
+   list_transform(range(0, n + 1), lambda i: array_to_string(f[n + 6 - i:n + 10 - i], ' ')) AS back, list_reverse(ids) || [0] AS prv FROM w)
+SELECT p_partkey, CASE WHEN ok THEN array_to_string({_fill("[37] || ids || [0]", 27, 40)}, ',') END AS label, CASE WHEN ok THEN array_to_string({_fill("subs", 52, "'40 40 40 40 40'")}, ',') END AS subs,
+  CASE WHEN ok THEN array_to_string({_fill("nxt", 52, 40)}, ',') END AS next, CASE WHEN ok THEN n + 1 END AS n_subs, CASE WHEN ok THEN array_to_string({_fill("back", 52, "'40 40 40 40 40'")}, ',') END AS subs_back,
+  CASE WHEN ok THEN array_to_string({_fill("prv", 52, 40)}, ',') END AS next_back, CASE WHEN ok THEN n + 1 END AS n_subs_back FROM (SELECT *, n BETWEEN 1 AND 25 AS ok FROM v)"""
+)
+def encode_smtr(spark, sf):
+    rows = read(spark, sf, "part").select("p_partkey", S.window_label(F.col("p_name"), CHARSET, lower=True).alias("x")).select("p_partkey", "x.*")
+    own = lambda c: _rows_said(F.col(c), lambda i: i.cast("string"))
+    null = F.col("label").isNotNull()
+    return rows.select("p_partkey", _said("label").alias("label"), *[F.when(null, own(c)).alias(c) for c in ("subs", "subs_back")], *[_said(c).alias(c) for c in ("next", "next_back")], "n_subs", "n_subs_back")
+
+
+_TRIPLES = "list_transform(range(1, len(ids) + 1), lambda i: i || ' ' || ids[i] || ' ' || len(list_filter(ids[1:i - 1], lambda y: y = ids[i])))"
+
+
+@query(
+    f"""WITH {_KNOWN}, q AS (SELECT *, {_TRIPLES} AS told, [(len(ids) + 1) || ' 0 0'] AS stop, len(ids) BETWEEN 1 AND 25 AS ok FROM k)
+SELECT p_partkey, CASE WHEN ok THEN array_to_string({_fill("[37] || ids || [0]", 27, 38)}, ',') END AS label,
+  CASE WHEN ok THEN array_to_string(list_transform(range(0, 37), lambda x: len(list_filter([0] || ids, lambda y: y = x))), ',') END AS counts,
+  CASE WHEN ok THEN array_to_string({_fill("['0 37 0'] || told", 26, "'27 38 0'")}, ',') END AS prompt, CASE WHEN ok THEN array_to_string({_fill("['0 37 0']", 26, "'27 38 0'")}, ',') END AS no_prompt,
+  CASE WHEN ok THEN array_to_string({_fill("told || stop", 26, "'27 38 0'")}, ',') END AS questions, CASE WHEN ok THEN array_to_string({_fill("stop", 26, "'27 38 0'")}, ',') END AS question FROM q"""
+)
+def encode_igtr(spark, sf):
+    rows = read(spark, sf, "part").select("p_partkey", S.prompt_label(F.col("p_name"), CHARSET, lower=True).alias("x")).select("p_partkey", "x.*")
+    said = lambda c, i: F.array_join(F.transform(F.get(c, F.lit(i)), lambda t: F.concat_ws(" ", t["pos"], t["id"], t["nth"])), ",")
+    return rows.select("p_partkey", _said("label").alias("label"), _said("counts").alias("counts"), said("prompts", 1).alias("prompt"), said("prompts", 0).alias("no_prompt"), said("questions", 0).alias("questions"), said("questions", 1).alias("question"))
+
+
+@query(
+    f"""WITH {_KNOWN}, n AS (SELECT *, len(ids) BETWEEN 1 AND 25 AS ok, list_transform(range(0, 37), lambda x: len(list_filter([0] || ids, lambda y: y = x))) AS counts FROM k)
+SELECT p_partkey, CASE WHEN ok THEN array_to_string(counts || list_transform(range(0, 26), lambda i: CASE WHEN i <= len(ids) THEN 1 ELSE 0 END), ',') END AS nodes,
+  CASE WHEN ok THEN array_to_string(counts || list_transform(range(0, 26), lambda i: CASE WHEN i <= len(ids) THEN len(ids) - i ELSE 100 END), ',') END AS left_nodes FROM n"""
+)
+def encode_cppd_nodes(spark, sf):
+    rows = read(spark, sf, "part").select("p_partkey", *[S.node_label(F.col("p_name"), CHARSET, lower=True, count_down=d)["nodes"].alias(n) for n, d in (("nodes", False), ("left_nodes", True))])
+    return rows.select("p_partkey", _said("nodes").alias("nodes"), _said("left_nodes").alias("left_nodes"))
+
+
+_IDS_OF = lambda t: f"list_transform(list_filter(string_split(lower({t}), ''), lambda x: x <> '' AND contains('abcdefghijklmnopqrstuvwxyz0123456789', x)), lambda x: CAST(instr('abcdefghijklmnopqrstuvwxyz0123456789', x) AS INTEGER))"
+
+
+@query(
+    f"""WITH c AS (SELECT p_partkey, p_name, p_partkey % length(p_name) AS at FROM part), k AS (SELECT p_partkey, {_IDS_OF("p_name")} AS ids, {_IDS_OF("left(p_name, at) || substr(p_name, at + 2)")} AS res, {_IDS_OF("substr(p_name, at + 1, 1)")} AS sub FROM c)
+SELECT p_partkey, CASE WHEN ok THEN array_to_string({_fill("res", 25, 0)}, ',') END AS label_res, CASE WHEN ok THEN len(res) END AS length_res,
+  CASE WHEN ok THEN array_to_string({_fill("sub", 25, 0)}, ',') END AS label_sub, CASE WHEN ok THEN len(sub) END AS length_sub FROM (SELECT *, len(ids) BETWEEN 1 AND 25 AS ok FROM k)"""
+)
+def encode_occluded(spark, sf):
+    x = S.occluded_label(F.col("p_name"), (F.col("p_partkey") % F.length("p_name")).cast("int"), CHARSET, lower=True)
+    rows = read(spark, sf, "part").select("p_partkey", x.alias("x")).select("p_partkey", "x.*")
+    return rows.select("p_partkey", _said("label_res").alias("label_res"), "length_res", _said("label_sub").alias("label_sub"), "length_sub")
+
+
+@query(
+    f"""WITH {_KNOWN} SELECT p_partkey, CASE WHEN ok THEN array_to_string({_fill("[37] || ids || [0]", 27, 38)}, ',') END AS label, CASE WHEN ok THEN array_to_string({_fill("ids", 25, 0)}, ',') END AS ctc_label, CASE WHEN ok THEN len(ids) END AS ctc_length
+FROM (SELECT *, len(ids) BETWEEN 1 AND 25 AS ok FROM k)"""
+)
+def encode_gtc(spark, sf):
+    rows = read(spark, sf, "part").select("p_partkey", S.guided_label(F.col("p_name"), CHARSET, lower=True).alias("x")).select("p_partkey", "x.*")
+    return rows.select("p_partkey", _said("label").alias("label"), _said("ctc_label").alias("ctc_label"), "ctc_length")
+
+
 def _name_ids():
     return S.known_ids(F.col("p_name"), CHARSET, 1, lower=True)
 
