@@ -412,7 +412,24 @@ def track_segments(spark, sf):
     return rows.select("video_id", "segment_id", "start_time", "end_time", first["text"].alias("text"), F.round(first["score"], 9).alias("score"), first["box"]["x"].alias("x"))
 
 
-@query()
+#: A frame's lines against the one live segment: without a greatest gap, all others close. No two different types are alike enough.
+_IN_LISTS = "(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)))"
+
+
+@query(
+    f"""WITH RECURSIVE {V_TEXTS}, r AS (SELECT video_id, floor(ts / 21600) * 21600.0 AS ts, event_id, {{'text': text, 'score': score, 'x': x, 'y': y, 'w': w, 'h': h}} AS line FROM t),
+ n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ts, event_id) AS rn, row_number() OVER (PARTITION BY video_id, ts ORDER BY event_id) AS k,
+   list(line) OVER (PARTITION BY video_id, ts ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lines FROM r),
+ f AS (SELECT video_id, rn, 0 AS seg, ts AS start_time, ts AS end_time, lines AS held, false AS joined FROM n WHERE rn = 1
+  UNION ALL SELECT video_id, rn, CASE WHEN fresh THEN seg + 1 ELSE seg END, CASE WHEN fresh THEN ts ELSE start_time END, ts,
+    CASE WHEN fresh THEN lines WHEN goes AND spot IS NOT NULL THEN held[1:spot - 1] || [line] || held[spot + 1:] ELSE held END, goes
+  FROM (SELECT *, k = 1 AND NOT goes AS fresh, list_min(list_filter(range(1, len(held) + 1), lambda i: held[i].text = line.text AND line.score > held[i].score)) AS spot FROM (
+    SELECT f.video_id, n.rn, n.k, n.ts, n.line, n.lines, f.seg, f.start_time, f.held,
+      CASE WHEN n.k > 1 THEN f.joined ELSE len(list_filter(n.lines, lambda a: len(list_filter(f.held, lambda b: a.text = b.text AND {_IN_LISTS} / (a.w * a.h + b.w * b.h - {_IN_LISTS} + 1e-6) > 0.7 * 0.5)) > 0)) / greatest(len(n.lines), len(f.held)) >= 0.75 END AS goes
+    FROM f JOIN n ON n.video_id = f.video_id AND n.rn = f.rn + 1)))
+SELECT video_id, CAST(seg AS BIGINT) AS segment_id, start_time, CASE WHEN seg = max(seg) OVER (PARTITION BY video_id) AND start_time = end_time THEN end_time + 0.5 ELSE end_time END AS end_time, lines
+FROM (SELECT video_id, seg, any_value(start_time) AS start_time, max(end_time) AS end_time, any_value(CAST(len(held) AS INTEGER)) AS lines FROM f GROUP BY video_id, seg)"""
+)
 def track_frames(spark, sf):
     rows = folds.track(bucketed(spark, sf))
     return rows.select("video_id", "segment_id", "start_time", "end_time", F.size("texts").alias("lines"))
@@ -427,32 +444,69 @@ def track_exact_runs(spark, sf):
     return folds.exact_runs(texts(spark, sf))
 
 
-@query()
+_LINE = "{'n': 1, 'cy': y + h / 2, 'h': h, 'w': w, 'at': x, 'edge': x + w, 'x': x, 'y': y, 'r': x + w, 'b': y + h}"
+
+
+@query(
+    f"""WITH RECURSIVE {V_BOXES}, n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, event_id) AS rn FROM b),
+ f AS (SELECT image_id, rn, [{_LINE}] AS lines FROM n WHERE rn = 1
+  UNION ALL SELECT image_id, rn, CASE WHEN spot IS NULL THEN lines || [{_LINE}] ELSE lines[1:spot - 1] || [{{'n': l.n + 1, 'cy': l.cy + y + h / 2, 'h': l.h + h, 'w': l.w + w, 'at': greatest(l.at, x), 'edge': CASE WHEN x > l.at THEN x + w ELSE l.edge END,
+     'x': least(l.x, x), 'y': least(l.y, y), 'r': greatest(l.r, x + w), 'b': greatest(l.b, y + h)}}] || lines[spot + 1:] END
+  FROM (SELECT *, lines[spot] AS l FROM (SELECT n.*, f.lines, list_min(list_filter(range(1, len(f.lines) + 1), lambda i: abs(n.y + n.h / 2 - f.lines[i].cy / f.lines[i].n) <= 0.5 * f.lines[i].h / f.lines[i].n
+     AND n.x - f.lines[i].edge < 0.3 * f.lines[i].w / f.lines[i].n)) AS spot FROM f JOIN n ON n.image_id = f.image_id AND n.rn = f.rn + 1))),
+ z AS (SELECT image_id, arg_max(lines, rn) AS lines FROM f GROUP BY 1), u AS (SELECT image_id, unnest(lines) AS l, generate_subscripts(lines, 1) AS i FROM z)
+SELECT image_id, CAST(i - 1 AS INTEGER) AS line_idx, CAST(l.n AS INTEGER) AS members, l.x AS x, l.y AS y, l.r - l.x AS w, l.b - l.y AS h FROM u"""
+)
 def line_merge(spark, sf):
     return folds.line_merge(boxes(spark, sf), ["image_id"])
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {V_BOXES}, n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, event_id) AS rn FROM b),
+ f AS (SELECT image_id, rn, event_id, x, 0 AS line, y AS first_y FROM n WHERE rn = 1
+  UNION ALL SELECT n.image_id, n.rn, n.event_id, n.x, CASE WHEN abs(n.y - f.first_y) >= 10 THEN f.line + 1 ELSE f.line END, CASE WHEN abs(n.y - f.first_y) >= 10 THEN n.y ELSE f.first_y END FROM f JOIN n ON n.image_id = f.image_id AND n.rn = f.rn + 1)
+SELECT image_id, CAST(event_id AS INTEGER) AS box_idx, CAST(row_number() OVER (PARTITION BY image_id ORDER BY line, x, rn) - 1 AS INTEGER) AS place FROM f"""
+)
 def reading_order_rows(spark, sf):
     return folds.reading_order(boxes(spark, sf), ["image_id"])
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {V_BOXES}, n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x, event_id) AS rn FROM b),
+ f AS (SELECT image_id, rn, [{{'id': event_id, 'x': x, 'y': y}}] AS held FROM n WHERE rn = 1
+  UNION ALL SELECT image_id, rn, held[1:spot] || [{{'id': event_id, 'x': x, 'y': y}}] || held[spot + 1:]
+  FROM (SELECT n.*, f.held, coalesce(list_max(list_filter(range(1, len(f.held) + 1), lambda i: NOT (abs(n.y - f.held[i].y) < 10 AND n.x < f.held[i].x))), 0) AS spot FROM f JOIN n ON n.image_id = f.image_id AND n.rn = f.rn + 1)),
+ z AS (SELECT image_id, arg_max(held, rn) AS held FROM f GROUP BY 1)
+SELECT image_id, CAST(unnest(held).id AS INTEGER) AS box_idx, CAST(generate_subscripts(held, 1) - 1 AS INTEGER) AS place FROM z"""
+)
 def reading_order_swaps(spark, sf):
     return folds.reading_order(boxes(spark, sf), ["image_id"], swaps=True)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {V_BOXES}, n AS (SELECT *, {{'id': event_id, 'score': score, 'x': x, 'y': y, 'w': w, 'h': h}} AS a, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, event_id DESC) AS rn FROM b),
+ f AS (SELECT image_id, rn, [a] AS kept FROM n WHERE rn = 1
+  UNION ALL SELECT n.image_id, n.rn, CASE WHEN len(list_filter(f.kept, lambda b: {_IN_LISTS.replace("a.", "n.a.")} > 0.3 * (n.a.w * n.a.h + b.w * b.h - {_IN_LISTS.replace("a.", "n.a.")}))) = 0 THEN f.kept || [n.a] ELSE f.kept END FROM f JOIN n ON n.image_id = f.image_id AND n.rn = f.rn + 1),
+ z AS (SELECT image_id, arg_max(kept, rn) AS kept FROM f GROUP BY 1), u AS (SELECT image_id, unnest(kept) AS k, generate_subscripts(kept, 1) AS i FROM z)
+SELECT image_id, CAST(k.id AS INTEGER) AS box_idx, k.score AS score, CAST(i - 1 AS INTEGER) AS place FROM u"""
+)
 def nms(spark, sf):
     return folds.nms(boxes(spark, sf), ["image_id"])
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT doc_id, text, (greatest(length(text), 1) - 1) // 12 AS top FROM documents),
+ s AS (SELECT doc_id, top, i, substr(text, i * 12 + 1, 18) AS s, i % 5 / 10 + 0.5 AS conf FROM (SELECT *, unnest(range(0, top + 1)) AS i FROM p)),
+ b AS (SELECT doc_id, top, i, conf, CASE WHEN i = 0 THEN left(s, length(s) - 1) WHEN i = top THEN substr(s, 2) ELSE substr(s, 2, greatest(length(s) - 2, 0)) END AS body FROM s),
+ f AS (SELECT doc_id, i, body FROM b WHERE i = 0
+  UNION ALL SELECT b.doc_id, b.i, substr(b.body, 1 + coalesce(list_max(list_filter(range(1, length(f.body) + 1), lambda k: left(b.body, k) = right(f.body, k))), 0)) FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i + 1)
+SELECT f.doc_id, string_agg(f.body, '' ORDER BY i) AS text, round(any_value(m.conf), 9) AS conf FROM f JOIN (SELECT doc_id, avg(conf) AS conf FROM b GROUP BY 1) AS m USING (doc_id) GROUP BY f.doc_id"""
+)
 def stream_stitch(spark, sf):
     docs = read(spark, sf, "documents")
     chunk = F.posexplode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / 12).cast("int"))).alias("chunk_idx", "i")
     rows = docs.select("doc_id", "text", chunk).select("doc_id", "chunk_idx", F.substring(F.col("text"), F.col("i") * 12 + 1, F.lit(18)).alias("text"), (F.col("i") % 5 / 10 + 0.5).alias("conf"))
-    return folds.stitch(rows, "doc_id")
+    return folds.stitch(rows, "doc_id").withColumn("conf", F.round("conf", 9))
 
 
 _CUES = "s AS (SELECT conv_id AS video_id, turn AS segment_id, turn * 1.75 + conv_id % 7 AS a, turn * 1.75 + conv_id % 7 + (turn % 3) * 0.7 AS z, text FROM conversations), c AS (SELECT video_id, segment_id, a, CASE WHEN z - a < 1.0 THEN a + 1.0 ELSE z END + 1.0 AS z, text FROM s)"
@@ -888,7 +942,7 @@ _IDS_OF = lambda t: f"list_transform(list_filter(string_split(lower({t}), ''), l
 
 
 @query(
-    f"""WITH c AS (SELECT p_partkey, p_name, p_partkey % length(p_name) AS at FROM part), k AS (SELECT p_partkey, {_IDS_OF("p_name")} AS ids, {_IDS_OF("left(p_name, at) || substr(p_name, at + 2)")} AS res, {_IDS_OF("substr(p_name, at + 1, 1)")} AS sub FROM c)
+    f"""WITH c AS (SELECT p_partkey, p_name, p_partkey % length(p_name) AS nth FROM part), k AS (SELECT p_partkey, {_IDS_OF("p_name")} AS ids, {_IDS_OF("left(p_name, nth) || substr(p_name, nth + 2)")} AS res, {_IDS_OF("substr(p_name, nth + 1, 1)")} AS sub FROM c)
 SELECT p_partkey, CASE WHEN ok THEN array_to_string({_fill("res", 25, 0)}, ',') END AS label_res, CASE WHEN ok THEN len(res) END AS length_res,
   CASE WHEN ok THEN array_to_string({_fill("sub", 25, 0)}, ',') END AS label_sub, CASE WHEN ok THEN len(sub) END AS length_sub FROM (SELECT *, len(ids) BETWEEN 1 AND 25 AS ok FROM k)"""
 )
