@@ -160,6 +160,12 @@ def merge_lines(boxes: list[tuple], y_share: float = 0.5, gap_share: float = 0.3
     return [line["of"] for line in lines]
 
 
+def box_around(boxes: list[tuple]) -> tuple:
+    """(x, y, w, h) of the least upright box that holds all."""
+    x, y = min(b[0] for b in boxes), min(b[1] for b in boxes)
+    return x, y, max(b[0] + b[2] for b in boxes) - x, max(b[1] + b[3] for b in boxes) - y
+
+
 def reading_rows(points: list[tuple], tolerance: float = 10) -> list[int]:
     """Order by rows: by y, a new row where y is `tolerance` or more from the row's first; each row by x."""
     order, row, first = [], [], None
@@ -204,8 +210,7 @@ def line_merge(boxes: DataFrame, keys: list[str], order: str = "box_idx", y_shar
         b = list(zip(*(pdf[k] for k in "xywh"), strict=True))
         out = []
         for n, of in enumerate(merge_lines(b, y_share, gap_share)):
-            x, y = min(b[i][0] for i in of), min(b[i][1] for i in of)
-            out.append((*key, n, len(of), x, y, max(b[i][0] + b[i][2] for i in of) - x, max(b[i][1] + b[i][3] for i in of) - y))
+            out.append((*key, n, len(of), *box_around([b[i] for i in of])))
         return pd.DataFrame(out, columns=[*keys, "line_idx", "members", *"xywh"])
 
     return _per_frame(boxes, keys, order, fold, f"{_key_schema(boxes, keys)}, line_idx int, members int, x double, y double, w double, h double")

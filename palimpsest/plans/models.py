@@ -4,18 +4,20 @@ the methods below, made once per Python worker by a factory."""
 from __future__ import annotations
 
 import hashlib
+import math
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions import geometry as G
-from ..operators import pictures
+from ..functions import raster
+from ..operators import folds, pictures
 
 _POINT = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
 
@@ -54,35 +56,118 @@ def _model(factory: Callable):
     return _MODELS[key]
 
 
-def detect(frames: DataFrame, factory: Callable[[], Detector] = StubModel) -> DataFrame:
-    """(…keys, image) -> (…keys, box_idx, quad, det_score, image): one row per box."""
-    kind = ArrayType(StructType([StructField("quad", ArrayType(_POINT)), StructField("score", DoubleType())]))
+def _boxes_type() -> ArrayType:
+    return ArrayType(StructType([StructField("quad", ArrayType(_POINT)), StructField("score", DoubleType())]))
 
-    @F.arrow_udf(kind)
+
+def apart(column: Column) -> Column:
+    """The column, kept out of other expressions by the planner: arguments of Python columns must hold no lambda functions, as those are
+    not always told apart when calls are taken out of the plan, which then fails."""
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
+def found(image: Column, factory: Callable[[], Detector] = StubModel) -> Column:
+    """array<struct<quad, score>>: the boxes of each picture. As all columns of models it counts as not deterministic, so that the planner
+    never copies a call into a filter or a second projection: a model sees a picture once."""
+
+    @F.arrow_udf(_boxes_type())
     def run(images: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         for batch in images:
-            found = _model(factory).detect([x or b"" for x in batch.to_pylist()])
-            yield pa.array([[{"quad": [{"x": x, "y": y} for x, y in q], "score": s} for q, s in one] for one in found], to_arrow_type(kind))
+            boxes = _model(factory).detect([x or b"" for x in batch.to_pylist()])
+            yield pa.array([[{"quad": [{"x": x, "y": y} for x, y in q], "score": s} for q, s in one] for one in boxes], to_arrow_type(_boxes_type()))
+
+    return run.asNondeterministic()(image)
+
+
+def by_aspect(quads: list[list[tuple[float, float]]], most: int) -> list[list[int]]:
+    """Places of quads in batches of `most`, in the order of their width over their height, so that a batch pads little."""
+
+    def aspect(q: list[tuple[float, float]]) -> float:
+        (x, y), (u, v), (s, t) = q[0], q[1], q[2]
+        return math.hypot(u - x, v - y) / max(math.hypot(s - u, t - v), 1e-6)
+
+    order = sorted(range(len(quads)), key=lambda i: aspect(quads[i]))
+    return [order[i : i + most] for i in range(0, len(order), most)]
+
+
+def texts_of(image: Column, quads: Column, factory: Callable[[], Recognizer] = StubModel, most: int = 64) -> Column:
+    """array<struct<text, score, elapse>>: the text of each of a picture's quads.
+
+    The quads of all pictures of an Arrow batch go through the model in batches of `most` by aspect ratio, and back to their places.
+    """
+    kind = ArrayType(StructType([StructField("text", StringType()), StructField("score", DoubleType()), StructField("elapse", DoubleType())]))
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for images, lists in batches:
+            pictures = [x or b"" for x in images.to_pylist()]
+            rows = [[[(p["x"], p["y"]) for p in q] for q in one or []] for one in lists.to_pylist()]
+            flat = [(i, q) for i, one in enumerate(rows) for q in one]
+            got: list = [None] * len(flat)
+            for part in by_aspect([q for _, q in flat], most):
+                began = time.perf_counter()
+                texts = _model(factory).recognize([pictures[flat[k][0]] for k in part], [flat[k][1] for k in part])
+                each = (time.perf_counter() - began) / len(part)
+                for k, (text, score) in zip(part, texts, strict=True):
+                    got[k] = {"text": text, "score": score, "elapse": each}
+            back = iter(got)
+            yield pa.array([[next(back) for _ in one] for one in rows], to_arrow_type(kind))
+
+    return run.asNondeterministic()(image, quads)
 
-    rows = frames.withColumn("__found", run(F.col("image"))).select(*frames.columns, F.posexplode("__found").alias("box_idx", "__b"))
+
+def detect(frames: DataFrame, factory: Callable[[], Detector] = StubModel) -> DataFrame:
+    """(…keys, image) -> (…keys, box_idx, quad, det_score, image): one row per box."""
+    rows = frames.withColumn("__found", found(F.col("image"), factory)).select(*frames.columns, F.posexplode("__found").alias("box_idx", "__b"))
     return rows.select(*frames.columns, "box_idx", F.col("__b.quad").alias("quad"), F.col("__b.score").alias("det_score"))
 
 
-def recognize(boxes: DataFrame, factory: Callable[[], Recognizer] = StubModel) -> DataFrame:
+def recognize(boxes: DataFrame, factory: Callable[[], Recognizer] = StubModel, most: int = 64) -> DataFrame:
     """(…, image, quad) -> (…, text, score, elapse): batches cross images, and no join is needed as keys stay with their rows."""
-    kind = StructType([StructField("text", StringType()), StructField("score", DoubleType()), StructField("elapse", DoubleType())])
+    rows = boxes.withColumn("__r", texts_of(F.col("image"), F.array("quad"), factory, most))
+    return rows.withColumns({k: F.get("__r", F.lit(0))[k] for k in ("text", "score", "elapse")}).drop("__r")
+
+
+def lines_of(boxes: Column, y_share: float = 0.5, gap_share: float = 0.3) -> Column:
+    """array<struct<x, y, w, h>> of a picture's boxes -> that of its text lines."""
+    kind = "array<struct<x:double,y:double,w:double,h:double>>"
 
     @F.arrow_udf(kind)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for images, quads in batches:
-            began = time.perf_counter()
-            got = _model(factory).recognize([x or b"" for x in images.to_pylist()], [[(p["x"], p["y"]) for p in q] for q in quads.to_pylist()])
-            each = (time.perf_counter() - began) / max(len(got), 1)
-            yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([each] * len(got))], ["text", "score", "elapse"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [[(b["x"], b["y"], b["w"], b["h"]) for b in one or []] for one in batch.to_pylist()]
+            out = [[dict(zip("xywh", folds.box_around([b[i] for i in of]), strict=True)) for of in folds.merge_lines(b, y_share, gap_share)] for b in rows]
+            yield pa.array(out, pa.list_(pa.struct([(k, pa.float64()) for k in "xywh"])))
+
+    return run.asNondeterministic()(boxes)
+
+
+def reading_places(points: Column) -> Column:
+    """array<struct<x, y>> -> array<int>: places of the points in reading order, by swaps."""
 
-    return boxes.withColumn("__r", run(F.col("image"), F.col("quad"))).withColumns({k: F.col(f"__r.{k}") for k in ("text", "score", "elapse")}).drop("__r")
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([folds.reading_swaps([(p["x"], p["y"]) for p in one or []]) for one in batch.to_pylist()], pa.list_(pa.int32()))
+
+    return run(points)
+
+
+def fetched(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Sends a model's file to each executor once; what is returned gives its local path there, for a factory to load."""
+    spark.sparkContext.addFile(path)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+
+    def local() -> str:
+        from pyspark import SparkFiles
+
+        return SparkFiles.get(name)
+
+    return local
 
 
 class MapModel(Protocol):
@@ -103,22 +188,40 @@ def probability_maps(rows: DataFrame, factory: Callable[[], MapModel] = Brightne
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [pictures.pixels(v.as_py()) for v in batch]
-            maps = iter(_model(factory).maps([x for x in found if x is not None]))
-            yield pa.array([None if x is None else next(maps).astype(np.float32).ravel() for x in found], pa.list_(pa.float32()))
+            seen = [pictures.pixels(v.as_py()) for v in batch]
+            maps = iter(_model(factory).maps([x for x in seen if x is not None]))
+            yield pa.array([None if x is None else next(maps).astype(np.float32).ravel() for x in seen], pa.list_(pa.float32()))
 
     size = {"height": F.col(image)["height"], "width": F.col(image)["width"]}
-    return rows.select(*[c for c in rows.columns if c not in (image, *size)], *[v.alias(k) for k, v in size.items()], run(F.col(image)).alias("probs"))
+    return rows.select(*[c for c in rows.columns if c not in (image, *size)], *[v.alias(k) for k, v in size.items()], run.asNondeterministic()(F.col(image)).alias("probs"))
 
 
-def detect_tiled(frames: DataFrame, keys: list[str], factory: Callable[[], MapModel] = BrightnessModel, size: int = 640, overlap: int = 64, **limits) -> DataFrame:
+def detect_tiled(frames: DataFrame, keys: list[str], factory: Callable[[], MapModel] = BrightnessModel, size: int = 640, overlap: int = 64, mask: float = 0.3, most_tiles: int = 8, **limits) -> DataFrame:
     """(…keys, image struct) -> (…keys, box_idx, quad, det_score) in the picture's coordinates, by way of overlapping tiles.
 
-    The picture is scaled so that its long side spans two tiles; tiles go through the model one by one, in any order and task, and
-    only their maps are shuffled, to the picture's task. `limits` are those of pictures.map_boxes.
+    The picture is scaled so that its long side spans two tiles. Its tiles go through the model `most_tiles` at a time and into one map in
+    the task that holds the picture, so neither pictures nor maps are shuffled. `limits` are those of raster.map_boxes.
     """
+    kind = "array<struct<quad:array<struct<x:double,y:double>>,score:double>>"
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for images, sizes, grids in batches:
+            out = []
+            for image, to, grid in zip(images, sizes.to_pylist(), grids.to_pylist(), strict=True):
+                x = raster.resized(pictures.pixels(image.as_py()), to["h"], to["w"])
+                total = np.zeros(x.shape[:2], np.float32)
+                for i in range(0, len(grid), most_tiles):
+                    part = grid[i : i + most_tiles]
+                    cut = [raster.padded(raster.cropped(x, t["left"], t["top"], t["right"], t["bottom"]), size, size) for t in part]
+                    for t, probs in zip(part, _model(factory).maps(cut), strict=True):
+                        total[t["top"] : t["bottom"], t["left"] : t["right"]] += probs[: t["bottom"] - t["top"], : t["right"] - t["left"]] > mask
+                boxes = raster.map_boxes(total, image["height"].as_py(), image["width"].as_py(), mask, **limits)
+                out.append([{"quad": [{"x": x, "y": y} for x, y in q.tolist()], "score": s} for q, s in boxes])
+            yield pa.array(out, pa.list_(pa.struct([("quad", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("score", pa.float64())])))
+
     to = G.two_tile_size(F.col("image.width"), F.col("image.height"), size, overlap)
-    scaled = frames.where("image.height > 0").select(*keys, F.col("image.height").alias("__h"), F.col("image.width").alias("__w"), pictures.resized(F.col("image"), to["h"], to["w"]).alias("image"))
-    maps = probability_maps(pictures.tiled(scaled, "image", size, overlap), factory).withColumnRenamed("width", "tile_width")
-    found = pictures.map_boxes(pictures.stitched_tiles(maps, [*keys, "__h", "__w"]), F.col("__h"), F.col("__w"), **limits)
-    return found.drop("__h", "__w")
+    rows = frames.where("image.height > 0").select(*keys, "image", to.alias("__to"))
+    rows = rows.withColumn("__tiles", apart(G.tiles(F.col("__to.w"), F.col("__to.h"), size, overlap)))
+    rows = rows.select(*keys, run.asNondeterministic()(F.col("image"), F.col("__to"), F.col("__tiles")).alias("__found"))
+    return rows.select(*keys, F.posexplode("__found").alias("box_idx", "__b")).select(*keys, "box_idx", F.col("__b.quad").alias("quad"), F.col("__b.score").alias("det_score"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import text as T
 from ..operators import filters, folds
 from ..sources import sampling
 from . import models
@@ -35,39 +36,46 @@ def texts_to_segments(texts: DataFrame, settings: Settings | None = None) -> Dat
     return folds.track(read_texts(texts, settings), settings.overlap, settings.alike)
 
 
-def boxes_to_lines(boxes: DataFrame, keys: list[str], width, height, settings: Settings) -> DataFrame:
-    """Detected quads -> text lines: filtered by size and region before anything is gathered, then merged."""
-    rows = boxes.withColumn("box", G.bounding_box(F.col("quad"))).select(*keys, "box_idx", "box")
-    rows = filters.by_roi(filters.by_size(rows, width, height, settings.size_least, settings.size_most), settings.roi, width, height)
-    lines = folds.line_merge(rows, keys, "box_idx", settings.line_y, settings.line_gap)
-    return lines.select(*keys, "line_idx", F.struct(*"xywh").alias("box"))
+def lines_read(pictures: DataFrame, width, height, detector: Callable, recognizer: Callable, settings: Settings) -> DataFrame:
+    """(…, image) -> (…, lines array<struct<line_idx, text, score, elapse, box>>), without the picture.
+
+    A picture's boxes are filtered by size and region, merged to lines and read in its own row: each model is called once, and nothing is
+    shuffled, joined or exploded.
+    """
+    keys = [c for c in pictures.columns if c != "image"]
+    roi = None if settings.roi is None else G.parse_roi(F.lit(settings.roi))
+    boxes = F.transform("__found", lambda b: G.bounding_box(b["quad"]))
+    boxes = F.filter(boxes, lambda b: G.size_fits(b, width, height, settings.size_least, settings.size_most) & G.in_roi(b, roi, width, height))
+    rows = pictures.withColumn("__found", models.found(F.col("image"), detector))
+    rows = rows.withColumn("__boxes", models.apart(boxes)).withColumn("__lines", models.lines_of(F.col("__boxes"), settings.line_y, settings.line_gap))
+    rows = rows.withColumn("__quads", models.apart(F.transform("__lines", G.quad_of)))
+    rows = rows.withColumn("__texts", models.texts_of(F.col("image"), F.col("__quads"), recognizer))
+    item = lambda t, i: F.struct(i.alias("line_idx"), t["text"].alias("text"), t["score"].alias("score"), t["elapse"].alias("elapse"), F.get("__lines", i).alias("box"))
+    return rows.select(*keys, F.transform("__texts", item).alias("lines"))
 
 
 def frames_to_segments(frames: DataFrame, width, height, detector: Callable = models.StubModel, recognizer: Callable = models.StubModel, settings: Settings | None = None) -> DataFrame:
-    """(video_id, frame_idx, ts, image) -> segments. Pictures take no part in the shuffle that merges lines: they join its small
-    result by frame."""
+    """(video_id, frame_idx, ts, image) -> segments. The only shuffle is that of texts by video."""
     settings, keys = settings or Settings(), ["video_id", "frame_idx", "ts"]
-    lines = boxes_to_lines(models.detect(frames.select(*keys, "image"), detector).drop("image"), keys, width, height, settings)
-    rows = lines.join(frames.select(*keys, "image"), keys).withColumn("quad", G.quad_of(F.col("box")))
-    return texts_to_segments(models.recognize(rows, recognizer).drop("image", "quad"), settings)
+    rows = lines_read(frames.select(*keys, "image"), width, height, detector, recognizer, settings).select(*keys, F.inline("lines"))
+    return texts_to_segments(rows, settings)
 
 
 def images_to_texts(images: DataFrame, width, height, detector: Callable = models.StubModel, recognizer: Callable = models.StubModel, settings: Settings | None = None) -> DataFrame:
-    """(image_idx, filename, image) -> (image_idx, filename, texts), an empty array for a picture without any."""
-    settings, keys = settings or Settings(roi=None, skip_logos=False), ["image_idx"]
-    lines = boxes_to_lines(models.detect(images.select(*keys, "image"), detector).drop("image"), keys, width, height, settings)
-    rows = lines.join(images.select(*keys, "image"), keys).withColumn("quad", G.quad_of(F.col("box")))
-    return filters.with_all_images(images.drop("image"), read_texts(models.recognize(rows, recognizer), settings))
+    """(image_idx, filename, image) -> (image_idx, filename, texts) from top to bottom, an empty array for a picture without any."""
+    settings = settings or Settings(roi=None, skip_logos=False)
+    rows = lines_read(images, width, height, detector, recognizer, settings)
+    counts = lambda t: (t["score"] >= settings.drop_score) & ~T.is_blank(t["text"]) & (~T.is_logo(t["text"]) if settings.skip_logos else F.lit(True))
+    sortable = F.transform(F.filter("lines", counts), lambda t: F.struct(t["box"]["y"].alias("y"), t["line_idx"].alias("i"), F.struct(*[t[c].alias(c) for c in ("text", "score", "box")]).alias("item")))
+    return rows.withColumn("texts", F.transform(F.array_sort(sortable), lambda t: t["item"])).drop("lines")
 
 
 def end_to_end(images: DataFrame, detector: Callable = models.StubModel, recognizer: Callable = models.StubModel, drop_score: float = 0.5) -> DataFrame:
-    """(file, page, image) -> (file, page, items): quads in reading order, without size, region or line steps."""
-    boxes = models.recognize(models.detect(images, detector), recognizer).where(F.col("score") >= drop_score)
-    first = lambda i, k: F.col("quad")[i][k]
-    ordered = boxes.withColumn("box", G.box(first(0, "x"), first(0, "y"), 0, 0))
-    place = folds.reading_order(ordered, ["file", "page"], "box_idx", swaps=True)
-    rows = boxes.drop("image").join(place.withColumnRenamed("page", "__page").withColumnRenamed("file", "__file").withColumnRenamed("box_idx", "__i"), (F.col("file") == F.col("__file")) & F.col("page").eqNullSafe(F.col("__page")) & (F.col("box_idx") == F.col("__i")))
-    item = F.struct("place", F.struct(F.col("text").alias("transcription"), F.col("quad").alias("points"), "score").alias("item"))
-    lists = rows.groupBy(F.col("file").alias("__f"), F.col("page").alias("__p")).agg(F.array_sort(F.collect_list(item)).alias("l"))
-    out = images.drop("image").join(lists, (F.col("file") == F.col("__f")) & F.col("page").eqNullSafe(F.col("__p")), "left")
-    return out.select("file", "page", F.coalesce(F.transform("l", lambda x: x["item"]), F.array()).alias("items"))
+    """(file, page, image) -> (file, page, items): quads in reading order, without size, region or line steps. A picture stays one row."""
+    rows = images.withColumn("__found", models.found(F.col("image"), detector))
+    rows = rows.withColumn("__texts", models.texts_of(F.col("image"), F.col("__found.quad"), recognizer))
+    item = lambda t, i: F.struct(t["text"].alias("transcription"), F.get("__found", i)["quad"].alias("points"), t["score"].alias("score"))
+    items = F.filter(F.transform("__texts", item), lambda t: t["score"] >= drop_score)
+    rows = rows.select("file", "page", items.alias("items"))
+    rows = rows.withColumn("__first", models.apart(F.transform("items", lambda t: t["points"][0]))).withColumn("__order", models.reading_places(F.col("__first")))
+    return rows.select("file", "page", F.transform("__order", lambda i: F.get("items", i)).alias("items"))

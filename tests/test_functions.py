@@ -112,6 +112,57 @@ def test_pipelines_with_a_stub_model(spark):
     assert models.detect(frames.limit(0)).count() == 0
 
 
+def _slow_lines(image, settings, width=1280, height=720):
+    """(text, score, box) of a picture's lines, step by step."""
+    stub, boxes = models.StubModel(), []
+    for quad, _ in stub.detect([image])[0]:
+        (x, y), (r, d) = quad[0], quad[2]
+        w, h = (r - x) / width, (d - y) / height
+        if settings.size_least[0] <= w <= settings.size_most[0] and settings.size_least[1] <= h <= settings.size_most[1]:
+            boxes.append((x, y, r - x, d - y))
+    out = []
+    for of in folds.merge_lines(boxes):
+        x, y, w, h = folds.box_around([boxes[i] for i in of])
+        out.append((*stub.recognize([image], [[(x, y), (x + w, y), (x + w, y + h), (x, y + h)]])[0], (x, y, w, h)))
+    return [t for t in out if t[1] >= settings.drop_score]
+
+
+def test_pictures_are_read_as_step_by_step(spark):
+    settings = config.Settings(drop_score=0.85, roi=None, size_least=(0.05, 0.01), size_most=(0.2, 0.9), skip_logos=False)
+    rows = [(i, f"{i}.png", bytes([i, 7])) for i in range(60)] + [(60, "none.png", None)]
+    images = spark.createDataFrame(rows, "image_idx int, filename string, image binary").repartition(3)
+    got = {r.image_idx: [(t.text, t.score, tuple(t.box)) for t in r.texts] for r in pipeline.images_to_texts(images, 1280, 720, settings=settings).collect()}
+    assert got == {i: sorted(_slow_lines(image or b"", settings), key=lambda t: t[2][1]) for i, _, image in rows}
+    assert sum(map(len, got.values())) > 20
+    items = {r.file: [(t.transcription, t.score, tuple(map(tuple, t.points))) for t in r.items] for r in pipeline.end_to_end(images.selectExpr("filename file", "cast(null as int) page", "image"), drop_score=0.85).collect()}
+    for _, name, image in rows:
+        quads = [q for q, _ in models.StubModel().detect([image or b""])[0]]
+        read = [(t, s, tuple(q)) for (t, s), q in zip(models.StubModel().recognize([image or b""] * len(quads), quads), quads, strict=True) if s >= 0.85]
+        assert items[name] == [read[i] for i in folds.reading_swaps([q[0] for _, _, q in read])]
+
+
+def test_each_model_is_called_once_and_no_picture_moves(spark):
+    frames = spark.createDataFrame([("v", i, i / 2, bytes([i, 7])) for i in range(8)], "video_id string, frame_idx bigint, ts double, image binary")
+    images = frames.selectExpr("cast(frame_idx as int) image_idx", "video_id filename", "image")
+    plans = {
+        "segments": (pipeline.frames_to_segments(frames, 1280, 720), 3),
+        "texts": (pipeline.images_to_texts(images, 1280, 720), 3),
+        "pages": (pipeline.end_to_end(images.selectExpr("filename file", "image_idx page", "image")), 3),
+    }
+    for name, (df, calls) in plans.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == calls, (name, plan)
+        moved = plan[: plan.index("Exchange")] if "Exchange" in plan else ""
+        assert plan.count("Exchange") == (1 if name == "segments" else 0) and "image" not in moved
+
+
+def test_batches_by_aspect_ratio_are_all_and_in_order():
+    quad = lambda w, h: [(0.0, 0.0), (w, 0.0), (w, h), (0.0, h)]
+    quads = [quad(float(w), 10.0) for w in (90, 10, 50, 30, 70)] + [quad(5.0, 0.0)]
+    batches = models.by_aspect(quads, 2)
+    assert batches == [[1, 3], [2, 4], [0, 5]] and models.by_aspect([], 4) == []
+
+
 @pytest.mark.parametrize("text, want", [("Caf\u00e9 \u2460\u3000x", "Cafe1x"), ("a\tb \n", "ab"), ("\u0448", ""), ("", ""), (None, None)])
 def test_ascii_folding(spark, text, want):
     assert one(spark, T.ascii_folded(F.lit(text).cast("string"))) == want
