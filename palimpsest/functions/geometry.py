@@ -125,12 +125,23 @@ def fixed_size(width, height, to_h: int, to_w: int, keep_ratio: bool = False) ->
     return _with_ratios(F.lit(to_h).cast("long"), w, height, width)
 
 
+def strided_size(width, height, side: int, kind: str = "max", stride: int = 128) -> Column:
+    """Sides scaled by one ratio and truncated, then raised to multiples of `stride`. The longer side (`max`) or the shorter one (`min`) meets
+    `side`; or (`enlarge`) both grow by a quarter, unless that takes the height beyond `side`, when the height meets it."""
+    w, h, to = _c(width).cast("double"), _c(height).cast("double"), F.lit(float(side))
+    if kind == "enlarge":
+        ratio = F.when(h * 1.25 > to, to / h).otherwise(1.25)
+    elif kind in ("max", "min"):
+        ratio = to / (F.greatest(w, h) if kind == "max" else F.least(w, h))
+    else:
+        raise ValueError(f"unknown kind {kind}")
+    up = lambda s: F.floor((whole(s * ratio) + (stride - 1)) / float(stride)) * stride
+    return _with_ratios(up(h), up(w), height, width)
+
+
 def long_size(width, height, long_side: int) -> Column:
     """Long side scaled to the given length, both sides then raised to multiples of 128."""
-    w, h = _c(width).cast("double"), _c(height).cast("double")
-    ratio = F.lit(float(long_side)) / F.greatest(w, h)
-    up = lambda s: F.floor((whole(s * ratio) + 127) / 128.0) * 128
-    return _with_ratios(up(h), up(w), height, width)
+    return strided_size(width, height, long_side)
 
 
 def least_padded(width, height) -> Column:

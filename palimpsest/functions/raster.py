@@ -283,3 +283,19 @@ def map_boxes(prob: np.ndarray, to_h: int, to_w: int, mask: float = 0.3, least_s
         quad = clockwise(widened(corners, by))
         out.append((np.clip(np.rint(quad * (to_w / w, to_h / h)), 0, (to_w, to_h)), score))
     return out
+
+
+def outlined(x: np.ndarray, polygons: list[np.ndarray], colour=(0, 0, 255), thick: int = 2) -> np.ndarray:
+    """The picture with closed polygons drawn over it; what lies outside is cut off."""
+    out = x.copy()
+    h, w, channels = x.shape
+    reach = np.arange(thick) - (thick - 1) // 2
+    for polygon in polygons:
+        for a, b in zip(polygon, np.roll(polygon, -1, axis=0), strict=True):
+            n = int(np.abs(b - a).max()) + 1
+            at = np.rint(a + (b - a) * np.linspace(0, 1, n + 1)[:, None]).astype(int)
+            cols, rows = (at[:, None, None, 0] + reach[:, None]), (at[:, None, None, 1] + reach)
+            cols, rows = (v.ravel() for v in np.broadcast_arrays(cols, rows))
+            inside = (cols >= 0) & (cols < w) & (rows >= 0) & (rows < h)
+            out[rows[inside], cols[inside]] = np.resize(colour, channels)
+    return out

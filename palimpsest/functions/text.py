@@ -117,3 +117,8 @@ def _ascii(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def ascii_folded(text: Column) -> Column:
     """ASCII characters of the compatibility decomposition, without white space. Texts that are ASCII already stay in the JVM."""
     return F.when(text.rlike(r"\A\p{ASCII}*\z"), F.regexp_replace(text, r"[\s\x{1c}-\x{1f}]", "")).otherwise(_ascii(text))
+
+
+def clock(at: Column | None = None) -> Column:
+    """A moment, or that of the query, as `2024-05-01 13:45:30.123456`."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd HH:mm:ss.SSSSSS")

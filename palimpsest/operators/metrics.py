@@ -61,6 +61,14 @@ def long_accuracies(rows: DataFrame) -> DataFrame:
     return rows.agg(*[_share(c, n).alias(k) for k, c in named.items()], (F.lit(1.0) - F.sum(T.edit_distance(p, t)) / (n + F.lit(SMOOTH))).alias("norm_edit_dis"))
 
 
+def long_by_length(spark: SparkSession, rows: DataFrame, size: int = 201) -> DataFrame:
+    """(bucket, num, acc, norm_edit_dis) for each length of the target from 0 to size - 1; longer targets are an error of the data and left out."""
+    p, t = T.without_spaces(F.col("pred")), T.without_spaces(F.col("target"))
+    got = by_bucket(spark, rows.select(F.length(t).alias("len"), (p == t).alias("final"), T.edit_distance(p, t).alias("dist")), F.col("len"), size)
+    n = F.col("num") + F.lit(SMOOTH)
+    return got.select("bucket", "num", (F.col("correct") / n).alias("acc"), (F.lit(1.0) - F.col("dist") / n).alias("norm_edit_dis"))
+
+
 def by_head(rows: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     """One row with acc and norm_edit_dis of each head under its prefix, from compared() rows with a column head."""
     n = lambda h: F.count_if(F.col("head") == h)

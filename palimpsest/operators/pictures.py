@@ -84,6 +84,16 @@ def least_rectangle_crop(picture: Column, points: Column) -> Column:
     return mapped(crop, picture, points)
 
 
+def outlined(picture: Column, quads: Column, colour=(0, 0, 255), thick: int = 2) -> Column:
+    """The picture with its quads drawn over it, for a look at detections, lines or regions."""
+    return mapped(lambda x, q: raster.outlined(x, [np.array([(p["x"], p["y"]) for p in one], float) for one in q], colour, thick), picture, quads)
+
+
+def crops(boxes: DataFrame, image: str = "image") -> DataFrame:
+    """(…, image, quad) -> the same with the upright crop of each quad as its picture."""
+    return boxes.withColumn(image, rectified(F.col(image), F.col("quad")))
+
+
 def normalised(picture: Column, scale: float = 1 / 255, mean=raster.MEAN, deviation=raster.DEVIATION) -> Column:
     """array<float> of channels, rows, columns: a model's input; null for an unreadable picture."""
 

@@ -261,6 +261,39 @@ def det_resize_stride128(spark, sf):
     return videos(spark, sf).select("video_id", G.long_size(F.col("width"), F.col("height"), 960).alias("s")).select("video_id", "s.h", "s.w")
 
 
+_STRIDED = lambda side: f"(CAST(trunc({side} * k) AS BIGINT) + 127) // 128 * 128"
+
+
+@query(f"WITH {V_VIDEOS}, r AS (SELECT video_id, width, height, 512.0 / least(width, height) AS k FROM v) SELECT video_id, {_STRIDED('height')} AS h, {_STRIDED('width')} AS w FROM r")
+def det_resize_shorter(spark, sf):
+    return videos(spark, sf).select("video_id", G.strided_size(F.col("width"), F.col("height"), 512, "min").alias("s")).select("video_id", "s.h", "s.w")
+
+
+@query(f"WITH {V_VIDEOS}, r AS (SELECT video_id, width, height, CASE WHEN height * 1.25 > 768 THEN CAST(768.0 AS DOUBLE) / height ELSE CAST(1.25 AS DOUBLE) END AS k FROM v) SELECT video_id, {_STRIDED('height')} AS h, {_STRIDED('width')} AS w FROM r")
+def det_resize_enlarged(spark, sf):
+    return videos(spark, sf).select("video_id", G.strided_size(F.col("width"), F.col("height"), 768, "enlarge").alias("s")).select("video_id", "s.h", "s.w")
+
+
+@query(f"WITH {V_VIDEOS} SELECT video_id, CAST(CASE WHEN total_frames / fps < 60 THEN least(64, height % 50 * 2) ELSE height % 50 END AS BIGINT) AS frames FROM v")
+def batch_of_short_videos(spark, sf):
+    duration = F.col("total_frames") / F.col("fps")
+    return videos(spark, sf).select("video_id", sampling.frames_at_once(duration, F.col("height") % 50, short=60).cast("long").alias("frames"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS clock FROM events")
+def clock_text(spark, sf):
+    return read(spark, sf, "events").select("event_id", T.clock(F.col("ts")).alias("clock"))
+
+
+@query(
+    f"""WITH {V_PAIRS}, c AS (SELECT replace(pred, ' ', '') AS a, replace(target, ' ', '') AS b FROM p),
+ g AS (SELECT length(b) AS bucket, count(*) AS num, count(*) FILTER (a = b) AS correct, sum(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0.0 ELSE CAST(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b)) END) AS dist FROM c GROUP BY 1)
+SELECT CAST(i AS INTEGER) AS bucket, coalesce(num, 0) AS num, round(coalesce(correct, 0) / (coalesce(num, 0) + 1e-5), 9) AS acc, round(1.0 - coalesce(dist, 0) / (coalesce(num, 0) + 1e-5), 6) AS norm_edit_dis FROM range(201) AS r(i) LEFT JOIN g ON g.bucket = i"""
+)
+def rec_long_by_length(spark, sf):
+    return metrics.long_by_length(spark, pairs(spark, sf)).select("bucket", "num", F.round("acc", 9).alias("acc"), F.round("norm_edit_dis", 6).alias("norm_edit_dis"))
+
+
 @query("SELECT p_partkey, CASE WHEN w + h < 64 THEN greatest(32, h) ELSE h END AS h, CASE WHEN w + h < 64 THEN greatest(32, w) ELSE w END AS w FROM (SELECT p_partkey, p_size AS w, p_size * 2 % 50 AS h FROM part)")
 def small_image_pad(spark, sf):
     return read(spark, sf, "part").select("p_partkey", G.least_padded(F.col("p_size"), F.col("p_size") * 2 % 50).alias("s")).select("p_partkey", "s.h", "s.w")
@@ -529,6 +562,19 @@ def srt_cues(spark, sf):
     return sinks.srt_blocks(sinks.cues(_conversation_segments(spark, sf)))
 
 
+@query(f"WITH {_CUES.replace('turn * 1.75', 'CAST(turn AS DOUBLE) * 1.75').replace('z - a < 1.0 THEN a + 1.0', 'z - a < 2.0 THEN a + 2.0').replace('ELSE z END + 1.0', 'ELSE z END + 0.25')} SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY a, segment_id) AS INTEGER) AS idx, a AS start, z AS end, text FROM c")
+def cues_of_two_seconds(spark, sf):
+    return sinks.cues(_conversation_segments(spark, sf), least=2.0, extension=0.25)
+
+
+@query("SELECT line, keep FROM (SELECT page_id || '_' || page_id % 3 || chr(9) || '[]' AS line, true AS keep FROM pages UNION ALL SELECT 'p' || page_id || chr(9) || '[]', true FROM pages)")
+def e2e_tsv_keeps_empty(spark, sf):
+    name = F.when(F.col("n") == 0, F.concat(F.lit("p"), F.col("page_id").cast("string"))).otherwise(F.col("page_id").cast("string"))
+    rows = read(spark, sf, "pages").select("page_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+    rows = rows.select(F.concat(name, F.lit(".png")).alias("file"), F.when(F.col("n") == 1, F.col("page_id") % 3).alias("page"), F.expr("cast(array() as array<struct<transcription:string>>)").alias("items"))
+    return sinks.end_to_end_tsv(rows, keep_empty=True).withColumn("keep", F.lit(True))
+
+
 @query(f"WITH {V_TEXTS}, f AS (SELECT video_id, floor(ts / 21600) AS b, count(*) AS n FROM t GROUP BY ALL) SELECT count(*) AS segments, CAST(sum(n) AS BIGINT) AS texts FROM f")
 def ocr_summary(spark, sf):
     return sinks.segment_summary(filters.frame_texts(bucketed(spark, sf)))

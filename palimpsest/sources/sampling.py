@@ -68,3 +68,9 @@ def batch_size(height: Column, width: Column, max_gb: Column, used_gb: Column, m
     """Frames of a batch that fit in four fifths of free memory, five copies of four bytes a value, from 1 to `most`."""
     free = (max_gb - used_gb) * 0.8 * 1073741824.0
     return F.greatest(F.lit(1), F.least(whole(free / (height * width * 3 * 4 * 5)), F.lit(most)))
+
+
+def frames_at_once(duration: Column, wanted: Column | int = 16, dynamic: bool = True, short: float = 300, most: int = 64) -> Column:
+    """Frames of a batch as wanted; of a video under `short` seconds twice as many, up to `most`."""
+    wanted = wanted if isinstance(wanted, Column) else F.lit(wanted)
+    return F.when(duration < short, F.least(F.lit(most), wanted * 2)).otherwise(wanted) if dynamic else wanted

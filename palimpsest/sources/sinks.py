@@ -17,10 +17,10 @@ def _sorted_lines(texts: Column) -> Column:
 
 
 def cues(segments: DataFrame, least: float = 1.0, extension: float = 1.0) -> DataFrame:
-    """segments -> (video_id, idx, start, end, text): each one second at least, then longer by `extension`; lines joined by ` | `.
+    """segments -> (video_id, idx, start, end, text): each `least` seconds at least, then longer by `extension`; lines joined by ` | `.
     Numbered per video, which is one subtitle file."""
-    end = F.when(F.col("end_time") - F.col("start_time") < least, F.col("start_time") + 1.0).otherwise(F.col("end_time"))
-    rows = segments.select("video_id", "segment_id", F.col("start_time").alias("start"), (F.coalesce(end, F.col("start_time") + 1.0) + extension).alias("end"), F.array_join(_sorted_lines(F.col("texts")), " | ").alias("text"))
+    end = F.when(F.col("end_time") - F.col("start_time") < least, F.col("start_time") + least).otherwise(F.col("end_time"))
+    rows = segments.select("video_id", "segment_id", F.col("start_time").alias("start"), (F.coalesce(end, F.col("start_time") + least) + extension).alias("end"), F.array_join(_sorted_lines(F.col("texts")), " | ").alias("text"))
     idx = F.row_number().over(Window.partitionBy("video_id").orderBy("start", "segment_id"))
     return rows.select("video_id", idx.alias("idx"), "start", "end", "text")
 

@@ -1,15 +1,20 @@
 """Edge cases of column functions, sinks, configuration and model stages."""
 
 import json
+import logging
+import struct
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import containers, raster
 from palimpsest.functions import geometry as G
 from palimpsest.functions import sequence as S
 from palimpsest.functions import text as T
 from palimpsest.operators import folds
-from palimpsest.plans import config, models, pipeline
+from palimpsest.plans import config, logs, models, pipeline
 from palimpsest.sources import files, sampling, sinks
 
 
@@ -94,7 +99,14 @@ def test_configuration(tmp_path):
 def test_files(spark, tmp_path):
     for n in ("b.PNG", "a.jpg", "c.txt"):
         (tmp_path / n).write_bytes(b"x")
-    assert {r.filename for r in files.images(spark, str(tmp_path)).collect()} == {"a.jpg", "b.PNG"}
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "z.png").write_bytes(b"xy")
+    for most in (100, 0):
+        assert sorted((r.image_idx, r.filename, bytes(r.content)) for r in files.images(spark, str(tmp_path), most=most).collect()) == [(0, "a.jpg", b"x"), (1, "b.PNG", b"x"), (2, "z.png", b"xy")]
+    assert [(r.image_idx, r.path[-5:]) for r in files.image_list(spark, str(tmp_path)).orderBy("image_idx").collect()] == [(0, "a.jpg"), (1, "b.PNG")]
+    assert files.image_list(spark, f"{tmp_path}/a.jpg").count() == 1
+    with pytest.raises(FileNotFoundError):
+        files.image_list(spark, f"{tmp_path}/c.txt")
     (tmp_path / "chars").write_text("b\na\n \n", encoding="utf-8")
     assert files.charset(spark, f"{tmp_path}/chars", space=True) == ["b", "a", " ", " "]
 
@@ -191,3 +203,102 @@ def test_points_along_their_direction(spark):
 def test_decoding_along_a_path_with_the_blank_last(spark):
     path = F.expr("cast(array(struct(0, 0.5D), struct(0, 0.5D), struct(2, 0.9D), struct(0, 0.9D), struct(1, 0.7D)) as array<struct<id:int,p:double>>)")
     assert one(spark, S.decoded(path, ["a", "b"], S.LAYOUTS["pg"]))["text"] == "aab"
+
+
+def _atom(kind, *bodies):
+    body = b"".join(bodies)
+    return struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def _track(handler, runs, scale=600, size=(1280, 720), version=0):
+    head = struct.pack(">B3x", version) + bytes(20 if version == 0 else 32) + bytes(52) + struct.pack(">II", *(x << 16 for x in size))
+    media = struct.pack(">B3x", version) + bytes(8 if version == 0 else 16) + struct.pack(">I", scale) + bytes(8)
+    times = bytes(4) + struct.pack(">I", len(runs)) + b"".join(struct.pack(">II", *r) for r in runs)
+    kind = bytes(8) + handler + bytes(12)
+    return _atom(b"trak", _atom(b"tkhd", head), _atom(b"mdia", _atom(b"mdhd", media), _atom(b"hdlr", kind), _atom(b"minf", _atom(b"stbl", _atom(b"stts", times)))))
+
+
+def test_headers_of_videos(spark, tmp_path):
+    whole = _atom(b"ftyp", b"isom") + _atom(b"moov", _track(b"soun", [(10, 1)]), _track(b"vide", [(100, 20), (50, 40)])) + _atom(b"mdat", b"x" * 50)
+    assert containers.video_header(whole) == {"fps": 150 * 600 / 4000, "total_frames": 150, "width": 1280, "height": 720}
+    wide = struct.pack(">I4sQ", 1, b"free", 16 + 5) + b"12345" + _atom(b"moov", _track(b"vide", [(25, 24)], version=1, size=(64, 48)))
+    assert containers.video_header(wide) == {"fps": 25.0, "total_frames": 25, "width": 64, "height": 48}
+    avi = b"RIFF" + bytes(20) + b"avih" + struct.pack("<11I", 56, 40_000, 0, 0, 0, 250, 0, 1, 0, 320, 240)
+    assert containers.video_header(avi) == {"fps": 25.0, "total_frames": 250, "width": 320, "height": 240}
+    for bad in (b"", b"RIFF", b"noise" * 9, whole[:60], _atom(b"moov", _track(b"soun", [(1, 1)])), _atom(b"moov", _track(b"vide", []))[:-8]):
+        assert containers.video_header(bad) is None
+    for name, data in (("a.mp4", whole), ("b.AVI", avi), ("bad.mov", b"noise"), ("c.txt", whole)):
+        (tmp_path / name).write_bytes(data)
+    rows = {r.video_id: (r.fps, r.total_frames, r.width, r.height) for r in files.videos(spark, str(tmp_path)).collect()}
+    assert rows == {"a.mp4": (22.5, 150, 1280, 720), "b.AVI": (25.0, 250, 320, 240)}
+    assert sampling.modulo(files.videos(spark, str(tmp_path)), 1.0).count() > 10
+
+
+def _element(kind, body, order="<"):
+    if len(body) <= 4:
+        return struct.pack(f"{order}I", len(body) << 16 | kind) + body.ljust(4, b"\0")
+    return struct.pack(f"{order}II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
+
+
+def _mat(name, values, code=9, order="<"):
+    kinds = {9: "f8", 2: "u1", 3: "i2"}
+    parts = struct.pack(f"{order}II", 6, 0), struct.pack(f"{order}ii", *values.shape), name.encode(), values.astype(order + kinds[code]).tobytes(order="F")
+    return struct.pack(f"{order}II", 14, 0)[:4] + b"".join([struct.pack(f"{order}I", sum(map(len, p := [_element(6, parts[0], order), _element(5, parts[1], order), _element(1, parts[2], order), _element(code, parts[3], order)]))), *p])
+
+
+def test_matrices_of_files(spark, tmp_path):
+    a, b = np.arange(6).reshape(2, 3) * 1.5, np.array([[1, 2, 3, 4, 5]])
+    head = lambda mark: b"MATLAB 5.0".ljust(124) + b"\0\1" + mark
+    packed = zlib.compress(_mat("polygt", a))
+    body = _mat("x", b, 2) + struct.pack("<II", 15, len(packed)) + packed + _mat("y", b, 3)
+    got = containers.matrices(head(b"IM") + body)
+    assert [n for n, _ in got] == ["x", "polygt", "y"] and all((v == w).all() for (_, v), w in zip(got, (b, a, b), strict=True))
+    cells = _element(6, struct.pack("<II", 1, 0)) + _element(5, struct.pack("<ii", 1, 2)) + _element(1, b"cells") + _mat("", a) + _mat("", b)
+    assert [(n, v.tolist()) for n, v in containers.matrices(head(b"IM") + struct.pack("<II", 14, len(cells)) + cells)] == [("cells", a.tolist()), ("cells", b.tolist())]
+    big = containers.matrices(head(b"MI") + _mat("z", a, order=">"))
+    assert len(big) == 1 and big[0][0] == "z" and (big[0][1] == a).all()
+    assert containers.matrices(b"") == containers.matrices(b"x" * 300) == containers.matrices(head(b"IM") + b"\x0f\0\0\0\x09\0\0\0notpacked") == []
+    (tmp_path / "poly_gt_img1.mat").write_bytes(head(b"IM") + body)
+    assert {(r.name, str(r["values"])) for r in files.matrices(spark, str(tmp_path)).collect()} == {("x", str(b.astype(float).tolist())), ("polygt", str(a.tolist())), ("y", str(b.astype(float).tolist()))}
+
+
+def test_variants_of_windows(spark):
+    """Variants against lists that are changed in place."""
+    charset, k = list("abcdef"), 3
+    for word in ("abcabcab", "ab", "ffffff", "abcdefabcdef", "a"):
+        dice = [(i % 3, 1 + i * 5 % 6, (i + 1) % 3, 1 + i * 7 % 6) for i in range(13)]
+        column = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("at", "id", "then_at", "then_id"), d)]) for d in dice])
+        got = one(spark, S.window_label(F.lit(word), charset, 12, k, dice=column))
+        ids = ["abcdef".index(c) + 1 for c in word]
+        filled = [8] * k + ids + [9] * k
+        n = len(ids)
+        for name, subs, told in (
+            ("", [filled[i : i + k] for i in range(n + 1)], ids + [0]),
+            ("_back", [filled[n + k - i : n + 2 * k - i] for i in range(n + 1)], ids[::-1] + [0]),
+        ):
+            for i, (window, x) in enumerate(list(zip(subs, told))[k:]):
+                new = list(window)
+                new[dice[i][0]] = dice[i][1]
+                if new not in subs:
+                    subs.append(new)
+                    told.append(x)
+                window[dice[i][2]] = dice[i][3]
+            assert got[f"n_subs{name}"] == len(subs) and got[f"subs{name}"] == subs + [[10] * k] * (26 - len(subs))
+            assert got[f"next{name}"] == told + [10] * (26 - len(told))
+    assert one(spark, S.window_label(F.lit("xyz"), charset)) is None
+
+
+def test_outlines():
+    x = np.zeros((20, 30, 3), np.uint8)
+    got = raster.outlined(x, [np.array([(5.0, 4.0), (25.0, 4.0), (25.0, 15.0), (5.0, 15.0)])], (1, 2, 3), 1)
+    assert (got[4, 5:26] == (1, 2, 3)).all() and (got[4:16, 25] == (1, 2, 3)).all() and got.any(axis=2).sum() == 2 * 21 + 2 * 10
+    assert raster.outlined(x, [np.array([(-9.0, -9.0), (90.0, 90.0)])], thick=3).any() and not x.any() and not raster.outlined(x, []).any()
+
+
+def test_logger_and_observed_figures(spark, tmp_path):
+    log = logs.logger("test", f"{tmp_path}/log.txt")
+    assert logs.logger("test") is log and log.level == logging.DEBUG
+    log.info("read")
+    assert "test INFO: read" in (tmp_path / "log.txt").read_text()
+    df, seen = logs.observed(spark.range(10), rows=F.count(F.lit(1)), most=F.max("id"))
+    assert df.count() == 10 and seen.get == {"rows": 10, "most": 9}
