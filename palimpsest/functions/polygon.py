@@ -18,8 +18,29 @@ def area(p: np.ndarray) -> float:
     return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2)
 
 
+def is_convex(p: np.ndarray) -> bool:
+    """Whether all corners turn one way, once around."""
+    edge = np.roll(p, -1, axis=0) - p
+    after = np.roll(edge, -1, axis=0)
+    turn = edge[:, 0] * after[:, 1] - edge[:, 1] * after[:, 0]
+    around = np.arctan2(turn, (edge * after).sum(axis=1)).sum()
+    return bool(((turn >= 0).all() or (turn <= 0).all()) and abs(around) < 6.5)
+
+
 def intersection(a: np.ndarray, b: np.ndarray) -> float:
-    """Area that two convex polygons share; corners in either direction."""
+    """Area that two simple polygons share; corners in either direction.
+
+    A polygon is the signed sum of the triangles from its first corner, so two share the signed sum of what their triangles share.
+    """
+    if len(a) < 3 or len(b) < 3:
+        return 0.0
+    if is_convex(a) and is_convex(b):
+        return _convex(a, b)
+    fans = [[np.stack([p[0], p[i], p[i + 1]]) for i in range(1, len(p) - 1)] for p in (a, b)]
+    return abs(sum(np.sign(area(t)) * np.sign(area(u)) * _convex(t, u) for t in fans[0] for u in fans[1]))
+
+
+def _convex(a: np.ndarray, b: np.ndarray) -> float:
     a, b = (p if area(p) >= 0 else p[::-1] for p in (a, b))
     if len(a) < 3 or len(b) < 3 or area(a) == 0 or area(b) == 0:
         return 0.0
@@ -51,12 +72,13 @@ def _corners(value) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in value or []], float).reshape(-1, 2)
 
 
-@F.arrow_udf(DoubleType())
-def _intersections(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for left, right in pairs:
-        yield pa.array([intersection(_corners(a), _corners(b)) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
+def polygon_intersection(a, b, whole: bool = False):
+    """Column of the area that two simple polygons share, of their corners truncated to whole numbers if `whole`; null polygons share none."""
 
+    @F.arrow_udf(DoubleType())
+    def shared(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        cut = np.trunc if whole else np.asarray
+        for left, right in pairs:
+            yield pa.array([intersection(cut(_corners(a)), cut(_corners(b))) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
 
-def polygon_intersection(a, b):
-    """Column of the area that two convex polygons share; null polygons share none."""
-    return _intersections(a, b)
+    return shared.asNondeterministic()(a, b)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import polygon
 
 RECALL, PRECISION, SPLIT = 0.7, 0.6, 0.8
 
@@ -15,17 +16,40 @@ RECALL, PRECISION, SPLIT = 0.7, 0.6, 0.8
 def overlaps(gt: DataFrame, det: DataFrame) -> DataFrame:
     """(image_id, gt_id, det_id, sigma, tau): shared area over the truth's and over the detection's, to two places, where any.
 
-    An equi-join on the image with the bounding boxes' overlap as its residual condition.
+    Both sides have upright boxes in `box`, or both have simple polygons in `points`, whose corners are truncated. An equi-join on the image
+    with the bounding boxes' overlap as its residual condition; polygons are clipped after it.
     """
+    if "points" in gt.columns:
+        return _polygon_overlaps(gt, det)
     g, d = gt.alias("g"), det.alias("d")
     a, b = F.col("g.box"), F.col("d.box")
-    touch = (a["x"] < b["x"] + b["w"]) & (b["x"] < a["x"] + a["w"]) & (a["y"] < b["y"] + b["h"]) & (b["y"] < a["y"] + a["h"])
-    pairs = g.join(d, (F.col("g.image_id") == F.col("d.image_id")) & touch)
+    pairs = g.join(d, (F.col("g.image_id") == F.col("d.image_id")) & _touch(a, b))
     inter = G.overlap_area(a, b)
     share = lambda x: F.coalesce(F.bround(F.try_divide(inter, x["w"] * x["h"]), 2), F.lit(0.0))
     return pairs.select("g.image_id", "g.gt_id", "d.det_id", share(a).alias("sigma"), share(b).alias("tau"))
 
 
+def _touch(a: Column, b: Column) -> Column:
+    return (a["x"] < b["x"] + b["w"]) & (b["x"] < a["x"] + a["w"]) & (a["y"] < b["y"] + b["h"]) & (b["y"] < a["y"] + a["h"])
+
+
+def _outlines(rows: DataFrame, key: str, side: str) -> DataFrame:
+    """(image_id, key, points) -> the same under names of a side, with the polygon's area and the box around it, all of truncated corners."""
+    corners = F.transform("points", lambda p: F.struct(G.whole(p["x"]).cast("double").alias("x"), G.whole(p["y"]).cast("double").alias("y")))
+    return rows.select(F.col("image_id").alias(f"{side}_image"), F.col(key).alias(f"{side}_id"), F.col("points").alias(f"{side}_points"), G.polygon_area(corners).alias(f"{side}_area"), G.bounding_box(corners).alias(f"{side}_box"))
+
+
+def _shared(g: DataFrame, d: DataFrame) -> DataFrame:
+    pairs = g.join(d, (F.col("g_image") == F.col("d_image")) & _touch(F.col("g_box"), F.col("d_box")))
+    return pairs.withColumn("inter", polygon.polygon_intersection(F.col("g_points"), F.col("d_points"), whole=True))
+
+
+def _polygon_overlaps(gt: DataFrame, det: DataFrame) -> DataFrame:
+    pairs = _shared(_outlines(gt, "gt_id", "g"), _outlines(det, "det_id", "d")).where("inter > 0")
+    share = lambda x: F.coalesce(F.bround(F.try_divide("inter", x), 2), F.lit(0.0))
+    return pairs.select(F.col("g_image").alias("image_id"), F.col("g_id").alias("gt_id"), F.col("d_id").alias("det_id"), share("g_area").alias("sigma"), share("d_area").alias("tau"))
+
+
 def one_to_one(pairs: DataFrame, recall: float = RECALL, precision: float = PRECISION) -> DataFrame:
     """Pairs that are each other's only overlaps above both limits."""
     hit = lambda c, least: F.when(F.col(c) > least, 1)
@@ -38,6 +62,10 @@ def one_to_one(pairs: DataFrame, recall: float = RECALL, precision: float = PREC
 
 def without_ignored(det: DataFrame, gt: DataFrame, share: float = 0.5) -> DataFrame:
     """Detections of which no don't-care truth covers more than `share`: an anti-join on the image."""
+    if "points" in gt.columns:
+        pairs = _shared(_outlines(gt.where("dont_care"), "gt_id", "g"), _outlines(det, "det_id", "d"))
+        covered = pairs.where(F.col("inter") / (F.col("d_area") + F.lit(1.0)) > share).select(F.col("d_image").alias("image_id"), F.col("d_id").alias("det_id"))
+        return det.join(covered, ["image_id", "det_id"], "left_anti")
     d, g = det.alias("d"), gt.where("dont_care").alias("g")
     a, b = F.col("d.box"), F.col("g.box")
     covered = G.overlap_area(a, b) / (a["w"] * a["h"] + F.lit(1.0)) > share

@@ -78,15 +78,15 @@ def ids(spark, sf) -> DataFrame:
     return read(spark, sf, "part").select("p_partkey", path.alias("path"))
 
 
-def truths(spark, sf) -> DataFrame:
+def truths(spark, sf, lines: DataFrame | None = None) -> DataFrame:
     a, n = F.col("l_orderkey"), F.col("l_linenumber")
-    return read(spark, sf, "lineitem").select(a.alias("image_id"), n.alias("gt_id"), G.box(n * 150, a * 7 % 400, 100 + a % 40, 30 + n).alias("box"), F.col("l_returnflag").alias("text"), (n % 7 == 5).alias("dont_care"))
+    return (read(spark, sf, "lineitem") if lines is None else lines).select(a.alias("image_id"), n.alias("gt_id"), G.box(n * 150, a * 7 % 400, 100 + a % 40, 30 + n).alias("box"), F.col("l_returnflag").alias("text"), (n % 7 == 5).alias("dont_care"))
 
 
-def detections(spark, sf) -> DataFrame:
+def detections(spark, sf, lines: DataFrame | None = None) -> DataFrame:
     a, n = F.col("l_orderkey"), F.col("l_linenumber")
     b = G.box(n * 150 + a % 13, a * 7 % 400 + n % 3, 100 + a % 40 - a % 5 * 8, 30 + n)
-    return read(spark, sf, "lineitem").where("l_partkey % 10 <> 0").select(a.alias("image_id"), n.alias("det_id"), b.alias("box"), F.col("l_returnflag").alias("text"))
+    return (read(spark, sf, "lineitem") if lines is None else lines).where("l_partkey % 10 <> 0").select(a.alias("image_id"), n.alias("det_id"), b.alias("box"), F.col("l_returnflag").alias("text"))
 
 
 V_TEXTS = """t AS (SELECT CAST(user_id AS VARCHAR) AS video_id, event_id, epoch_us(ts) / 1e6 AS ts, event_type AS text, value / 500 AS score,
@@ -651,14 +651,13 @@ def norm_edit_distance(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE p AS (SELECT p_partkey AS id, lower(replace(p_name, ' ', '')) AS a, lower(replace(p_type, ' ', '')) AS b FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_name, p_type)),
+    """WITH RECURSIVE p AS (SELECT p_partkey AS id, lower(replace(p_name, ' ', '')) AS a, lower(replace(p_type, ' ', '')) AS b FROM part),
  l AS (SELECT id, a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS r FROM p
   UNION ALL SELECT id, a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]), lambda acc, y: list_append(acc, CASE WHEN substr(a, i + 1, 1) = substr(b, y[1], 1) THEN r[y[1]] + 1 ELSE greatest(r[y[1] + 1], acc[-1]) END), [0]) FROM l WHERE i < length(a))
 SELECT id AS sample_id, round(2.0 * r[-1] / (length(a) + length(b)), 9) AS ratio FROM l WHERE i = length(a)"""
 )
 def text_ratio(spark, sf):
-    rows = read(spark, sf, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("sample_id"))
-    return rows.select("sample_id", F.round(T.ratio(F.col("p_name"), F.col("p_type")), 9).alias("ratio"))
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("sample_id"), F.round(T.ratio(F.col("p_name"), F.col("p_type")), 9).alias("ratio"))
 
 
 @query(
@@ -1226,10 +1225,85 @@ def dont_care_anti_join(spark, sf):
     return matching.without_ignored(detections(spark, sf), truths(spark, sf)).select("image_id", "det_id")
 
 
-@query()
+#: Single matches as sets; then, image by image, truths split among detections and detections that merge truths, one at a time.
+_PRF = f"""WITH RECURSIVE one AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, max(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL), {V_GT.replace("FROM lineitem", "FROM one")},
+ tx AS (SELECT l_orderkey AS image_id, l_linenumber AS id, lower(l_returnflag) AS text FROM one),
+ dd AS (SELECT image_id, det_id FROM d WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.image_id = d.image_id AND o.det_id = d.det_id AND o.dont_care AND o.inter / (o.da + 1.0) > 0.5)),
+ e AS (SELECT s.image_id, s.gt_id, s.det_id, sigma, tau, a.text = b.text AS same FROM s JOIN g USING (image_id, gt_id) JOIN dd USING (image_id, det_id)
+   JOIN tx AS a ON a.image_id = s.image_id AND a.id = gt_id JOIN tx AS b ON b.image_id = s.image_id AND b.id = det_id WHERE NOT g.dont_care),
+ gg AS (SELECT image_id, gt_id, list(det_id) FILTER (sigma > 0.7) AS sj, list(det_id) FILTER (tau > 0.6) AS tj, list({{'o': det_id, 'sigma': sigma, 'tau': tau, 'same': same}} ORDER BY det_id) AS links FROM e GROUP BY ALL),
+ jj AS (SELECT image_id, det_id, count(*) FILTER (sigma > 0.7) AS ns, count(*) FILTER (tau > 0.6) AS nt, list({{'o': gt_id, 'sigma': sigma, 'tau': tau, 'same': same}} ORDER BY gt_id) AS links FROM e GROUP BY ALL),
+ m AS (SELECT gg.image_id, gg.gt_id, sj[1] AS det_id, e.same FROM gg JOIN jj AS a ON a.image_id = gg.image_id AND a.det_id = sj[1] AND a.ns = 1 JOIN jj AS b ON b.image_id = gg.image_id AND b.det_id = tj[1] AND b.nt = 1
+   JOIN e ON e.image_id = gg.image_id AND e.gt_id = gg.gt_id AND e.det_id = sj[1] WHERE len(sj) = 1 AND len(tj) = 1),
+ st AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY kind, id) AS n, kind, id, links FROM (SELECT image_id, 2 AS kind, gt_id AS id, links FROM gg UNION ALL SELECT image_id, 3, det_id, links FROM jj)),
+ f AS (SELECT i.image_id, CAST(0 AS BIGINT) AS n, coalesce(ug, []) AS ug, coalesce(ud, []) AS ud, coalesce(k, 0.0) AS r, coalesce(k, 0.0) AS p, coalesce(h, 0.0) AS hits
+   FROM (SELECT DISTINCT image_id FROM e) AS i LEFT JOIN (SELECT image_id, list(gt_id) AS ug, list(det_id) AS ud, CAST(count(*) AS DOUBLE) AS k, CAST(count(*) FILTER (same) AS DOUBLE) AS h FROM m GROUP BY 1) USING (image_id)
+  UNION ALL SELECT image_id, n, CASE WHEN kind = 2 AND (one OR many) THEN ug || [id] WHEN kind = 3 AND (one OR many) THEN ug || others ELSE ug END,
+    CASE WHEN kind = 3 AND (one OR many) THEN ud || [id] WHEN kind = 2 AND (one OR many) THEN ud || others ELSE ud END,
+    r + CASE WHEN one THEN 1.0 WHEN many AND kind = 2 THEN 0.8 WHEN many THEN 0.8 * len(q) ELSE 0.0 END, p + CASE WHEN one THEN 1.0 WHEN many AND kind = 3 THEN 0.8 WHEN many THEN 0.8 * len(q) ELSE 0.0 END,
+    hits + CASE WHEN one OR many THEN CAST(len(list_filter(q, lambda x: x.same)) AS DOUBLE) ELSE 0.0 END
+  FROM (SELECT *, list_transform(q, lambda x: x.o) AS others, free AND len(q) = 1 AND q[1].sigma >= 0.7 AND (kind = 2 OR q[1].tau >= 0.6) AS one,
+     free AND len(q) > 1 AND (CASE WHEN kind = 2 THEN list_sum(list_transform(q, lambda x: x.sigma)) >= 0.7 ELSE list_sum(list_transform(q, lambda x: x.tau)) >= 0.6 END) AS many
+   FROM (SELECT f.*, st.n AS nn, st.kind, st.id, CASE WHEN kind = 2 THEN NOT list_contains(ug, id) AND len(list_filter(links, lambda x: x.sigma > 0)) >= 2 ELSE NOT list_contains(ud, id) AND len(list_filter(links, lambda x: x.tau > 0)) >= 2 END AS free,
+     CASE WHEN kind = 2 THEN list_filter(links, lambda x: NOT list_contains(ud, x.o) AND x.tau >= 0.6) ELSE list_filter(links, lambda x: NOT list_contains(ug, x.o) AND x.sigma >= 0.6) END AS q
+     FROM f JOIN st ON st.image_id = f.image_id AND st.n = f.n + 1) AS z (image_id, n0, ug, ud, r, p, hits, n, kind, id, free, q))),
+ w AS (SELECT sum(r) AS r, sum(p) AS p, sum(hits) AS hits FROM (SELECT image_id, arg_max(r, n) AS r, arg_max(p, n) AS p, arg_max(hits, n) AS hits FROM f GROUP BY 1)),
+ t AS (SELECT (SELECT count(*) FROM g WHERE NOT dont_care) AS n_gt, (SELECT count(*) FROM dd) AS n_det, r, p, hits FROM w),
+ v AS (SELECT *, r / n_gt AS recall, p / n_det AS precision, hits / n_gt AS e2e_recall, hits / n_det AS e2e_precision FROM t)"""
+_PRF += " SELECT " + ", ".join(f"round({x}, 9) AS {n}" for n, x in (("recall", "recall"), ("precision", "precision"), ("f_score", "2 * recall * precision / (recall + precision)"), ("seqerr", "1.0 - hits / r"), ("e2e_recall", "e2e_recall"), ("e2e_precision", "e2e_precision"), ("e2e_f_score", "2 * e2e_recall * e2e_precision / (e2e_recall + e2e_precision)"))) + ", n_gt, n_det FROM v"
+
+
+def _numbered_once(spark, sf) -> DataFrame:
+    """lineitem with each number of an order once."""
+    return read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.max("l_partkey").alias("l_partkey"))
+
+
+def _prf(gt: DataFrame, det: DataFrame) -> DataFrame:
+    out = matching.detection_scores(gt.where("not dont_care"), matching.without_ignored(det, gt))
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns if not c.startswith("n_")], "n_gt", "n_det")
+
+
+def _with_points(rows: DataFrame) -> DataFrame:
+    """Boxes as polygons of five corners, a little beyond whole numbers."""
+    b = F.col("box")
+    at = lambda x, y: F.struct((x + 0.25).alias("x"), (y + 0.5).alias("y"))
+    r, d = b["x"] + b["w"], b["y"] + b["h"]
+    return rows.withColumn("points", F.array(at(b["x"], b["y"]), at(b["x"] + 20, b["y"]), at(r, b["y"]), at(r, d), at(b["x"], d))).drop("box")
+
+
+@query(_PRF)
 def det_prf(spark, sf):
-    gt = truths(spark, sf)
-    return matching.detection_scores(gt.where("not dont_care"), matching.without_ignored(detections(spark, sf), gt))
+    lines = _numbered_once(spark, sf)
+    return _prf(truths(spark, sf, lines), detections(spark, sf, lines))
+
+
+@query(_PRF)
+def det_prf_polygons(spark, sf):
+    lines = _numbered_once(spark, sf)
+    return _prf(_with_points(truths(spark, sf, lines)), _with_points(detections(spark, sf, lines)))
+
+
+@query(f"WITH {V_GT} SELECT image_id, gt_id, det_id, sigma, tau FROM s")
+def det_overlaps_polygons(spark, sf):
+    return matching.overlaps(_with_points(truths(spark, sf)), _with_points(detections(spark, sf)))
+
+
+#: Angles of two bars each: what two angles share is what their bars share.
+_BARS = "SELECT event_id, image_id, [{'x': x, 'y': y, 'w': w, 'h': 8.0}, {'x': x, 'y': y + 8, 'w': 30.0, 'h': h}] AS bars FROM b"
+
+
+@query(
+    f"""WITH {V_BOXES}, l AS ({_BARS}), p AS (SELECT a.event_id AS left_id, b.event_id AS right_id, a.bars AS m, b.bars AS n FROM l AS a JOIN l AS b ON a.image_id = b.image_id AND a.event_id < b.event_id),
+ u AS (SELECT left_id, right_id, unnest(m) AS a, n FROM p), v AS (SELECT left_id, right_id, a, unnest(n) AS b FROM u), z AS (SELECT left_id, right_id, sum({_IN_LISTS}) AS shared FROM v GROUP BY ALL)
+SELECT left_id, right_id, round(shared, 4) AS shared FROM z WHERE shared > 0"""
+)
+def polygon_angles_shared(spark, sf):
+    x, y, w, h = (F.col("box")[k] for k in "xywh")
+    corners = [(x, y), (x + w, y), (x + w, y + 8), (x + 30, y + 8), (x + 30, y + 8 + h), (x, y + 8 + h)]
+    rows = boxes(spark, sf).select("event_id", "image_id", F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in corners]).alias("shape"))
+    other = rows.select(F.col("event_id").alias("right_id"), F.col("image_id").alias("i"), F.col("shape").alias("other"))
+    pairs = rows.join(other, (F.col("image_id") == F.col("i")) & (F.col("event_id") < F.col("right_id")))
+    return pairs.select(F.col("event_id").alias("left_id"), "right_id", F.round(polygon.polygon_intersection(F.col("shape"), F.col("other")), 4).alias("shared")).where("shared > 0")
 
 
 @query(f"WITH {V_BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY event_id) AS n FROM b) SELECT event_id FROM r WHERE n <= 10")
