@@ -3,7 +3,8 @@ a DataFrame operator that runs it per video or per frame."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -89,10 +90,10 @@ class Tracker:
         return [s | {"end": s["end"] + self.least if s["start"] == s["end"] else s["end"]} for s in out]
 
 
-def _frames(pdf: pd.DataFrame) -> Iterator[tuple[float, list[tuple]]]:
-    pdf = pdf.sort_values(["ts", "line_idx"], kind="stable")
-    rows = zip(pdf["ts"], pdf["text"], pdf["score"], pdf["x"], pdf["y"], pdf["w"], pdf["h"], strict=True)
-    held, now = [], None
+def _frames(rows: Iterable[tuple]) -> Iterator[tuple[float, list[tuple]]]:
+    """(ts, text, score, x, y, w, h) rows in order of time -> (ts, texts of the frame)."""
+    held: list[tuple] = []
+    now = None
     for t, text, score, *b in rows:
         if held and t != now:
             yield now, held
@@ -103,6 +104,11 @@ def _frames(pdf: pd.DataFrame) -> Iterator[tuple[float, list[tuple]]]:
         yield now, held
 
 
+def _in_time(pdf: pd.DataFrame) -> Iterator[tuple]:
+    pdf = pdf.sort_values(["ts", "line_idx"], kind="stable")
+    return zip(*(pdf[c] for c in ("ts", "text", "score", "x", "y", "w", "h")), strict=True)
+
+
 def segment_rows(video_id, segments: list[dict]) -> pd.DataFrame:
     texts = [[{"text": x, "score": s, "box": dict(zip("xywh", b, strict=True))} for x, s, b in g["texts"]] for g in segments]
     return pd.DataFrame(
@@ -115,15 +121,36 @@ def flat_texts(texts: DataFrame) -> DataFrame:
 
 
 def track(texts: DataFrame, overlap: float = 0.5, alike: float = 0.8, least: float = 0.5, max_gap: float | None = None) -> DataFrame:
-    """(video_id, ts, line_idx, text, score, box) -> segments. One exchange by video; within it rows are a frame's few texts."""
+    """(video_id, ts, line_idx, text, score, box) -> segments, numbered by start.
+
+    One exchange by video, in which rows are sorted by time; a task folds its videos one after the other as rows come in, and gives out
+    segments as they close. It holds one frame, the live segments and a batch, whatever the length of a video.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = chain.from_iterable(pdf.itertuples(index=False, name=None) for pdf in batches)
+        for video, own in groupby(rows, key=lambda r: (r[0] is None, r[0])):
+            tracker, n = Tracker(overlap, alike, least, max_gap), 0
+            closed = chain.from_iterable(tracker.push(t, frame) for t, frame in _frames((r[1], *r[3:]) for r in own))
+            for some in _several(chain(closed, _late(tracker)), 1000):
+                out = segment_rows(video[1], some)
+                out["segment_id"] += n
+                n += len(some)
+                yield out
+
+    flat = flat_texts(texts).repartition("video_id").sortWithinPartitions("video_id", "ts", "line_idx")
+    return flat.mapInPandas(fold, SEGMENTS)
+
+
+def _late(tracker: Tracker) -> Iterator[dict]:
+    """What is live when all before has been taken."""
+    yield from tracker.finish()
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, done = Tracker(overlap, alike, least, max_gap), []
-        for t, frame in _frames(pdf):
-            done += tracker.push(t, frame)
-        return segment_rows(key[0], sorted(done + tracker.finish(), key=lambda s: s["start"]))
 
-    return flat_texts(texts).groupBy("video_id").applyInPandas(fold, SEGMENTS)
+def _several(items: Iterable, most: int) -> Iterator[list]:
+    items = iter(items)
+    while some := list(islice(items, most)):
+        yield some
 
 
 def exact_runs(texts: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """State machines against plain restatements of their rules, and batch against stream."""
 
 import random
+from datetime import datetime, timedelta
 from functools import lru_cache
 
 import numpy as np
@@ -121,3 +122,35 @@ def test_stream_equals_batch(spark, tmp_path):
     want = folds.track(spark.createDataFrame(rows, schema).drop("last")).select("video_id", "segment_id", "start_time", "end_time").toPandas()
     key = ["video_id", "segment_id"]
     pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True))
+
+
+def test_a_silent_video_ends_by_the_watermark(spark, tmp_path):
+    schema = "video_id string, ts double, line_idx int, text string, score double, box struct<x:double,y:double,w:double,h:double>, last boolean, arrived timestamp"
+    at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=minute)
+    parts = [[("v", 0.0, 0, "a", 0.9, B, False, at(0)), ("w", 0.0, 0, "b", 0.9, B, False, at(0))], [("w", 1.0, 0, "c", 0.9, B, False, at(30))], [("w", 2.0, 0, "d", 0.9, B, False, at(60))], [("w", 3.0, 0, "e", 0.9, B, False, at(61))]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        next((tmp_path / "in" / str(k)).glob("*.parquet")).rename(tmp_path / f"{k}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/*.parquet").withWatermark("arrived", "1 minute")
+    q = track_stream(stream, idle=600).writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.video_id, r.segment_id): (r.start_time, r.end_time) for r in spark.table("silent").collect()}
+    assert got[("v", 0)] == (0.0, 0.5)  # ended by silence: nothing marks its last row
+    assert {k: v for k, v in got.items() if k[0] == "w"}.keys() >= {("w", 0)}
+
+
+def test_long_videos_are_folded_as_rows_come(spark):
+    rows = [("v", float(t), 0, f"text number {t % 7} {t}", 0.9, B) for t in range(3000)] + [(None, float(t), 0, "x", 0.9, B) for t in range(5)]
+    schema = "video_id string, ts double, line_idx int, text string, score double, box struct<x:double,y:double,w:double,h:double>"
+    got = folds.track(spark.createDataFrame(rows, schema).repartition(5), alike=0.999).orderBy("video_id", "segment_id").collect()
+    assert [(r.segment_id, r.start_time) for r in got if r.video_id] == [(i, float(i)) for i in range(3000)]
+    assert [(r.segment_id, r.start_time, r.end_time) for r in got if r.video_id is None] == [(0, 0.0, 4.0)]
+
+
+def test_polygons_that_are_not_convex():
+    bars = lambda x, y: np.array([(x, y), (x + 10, y), (x + 10, y + 2), (x + 3, y + 2), (x + 3, y + 9), (x, y + 9)], float)
+    a = bars(0, 0)
+    assert not polygon.is_convex(a) and polygon.is_convex(a[:3]) and polygon.intersection(a, a) == pytest.approx(20 + 21)
+    assert polygon.intersection(a, bars(5, 0)[::-1]) == pytest.approx(10) and polygon.intersection(a, bars(4, 3)) == 0
+    star = np.array([(0, 0), (4, 4), (4, 0), (0, 4)], float)  # crosses itself: no single way around
+    assert not polygon.is_convex(star)
