@@ -590,6 +590,22 @@ def test_the_mix_decides_rows_of_the_pipeline(spark, monkeypatch):
     assert len({str(table_of(x[["doc_id", "piece", "start", "length", "ids_crc32"]])) for x in out}) == 1
 
 
+def test_the_pipeline_on_empty_and_awkward_tables(spark, awkward, empty, tmp_path):
+    for name, df in (("empty", empty), ("awkward", awkward)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        left = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage in ("quality_rules", "simhash_near_dedup", "secret_scan", "source_mix"):
+            dict(corpus_pipeline.STAGES)[stage](spark, left, "").write.parquet(f"{tmp_path}/{name}/{stage}")
+            left = spark.read.parquet(f"{tmp_path}/{name}/{stage}")
+            assert left.columns == df.columns
+        check_packing(left, got.toPandas(), 4096)
+        assert sorted({r.doc_id for r in got.collect()}, key=repr) == sorted({r.doc_id for r in left.collect()}, key=repr)
+    kept = {r.doc_id for r in left.collect()}
+    assert kept and not kept & {1, 2, 6, 10} and len(left.where("text like '%AKIAABCDEFGH%'").collect()) == 0
+
+
 def test_packing_plans_are_valid_and_no_worse_than_best_fit():
     rng = random.Random(8)
     for size in (10, 37, 100):
