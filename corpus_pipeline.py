@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import mixing, packing, quality, secrets, simhash, tokens
-from palimpsest.llm.shared import shared_dir, table
+from palimpsest.llm.shared import Written, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over the table documents. A stage's table is deleted once the next one's is written, the last when the application ends."""
+    docs, held = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        done = Written(stage(spark, docs, sf_dir))
+        if held is not None:
+            held.drop()
+        docs, held = done.df, done
     return docs
