@@ -1158,7 +1158,15 @@ def picture_crop_pad(spark, sf):
     return small_pictures(spark, sf).select("vec_id", pictures.padded(cut, F.lit(6), F.lit(4)).alias("p")).select("vec_id", F.hex("p.data").alias("pixels"))
 
 
-@query()
+_ALONG = lambda k, n, m: f"(SELECT {k}, low AS {k}a, least(low + 1, {n} - 1) AS {k}b, spot - low AS {k}s FROM (SELECT {k}, spot, least(CAST(floor(spot) AS BIGINT), {n} - 2) AS low FROM (SELECT {k}, greatest(0, least((CAST({k} AS DOUBLE) + CAST(0.5 AS DOUBLE)) * {n} / {m} - CAST(0.5 AS DOUBLE), {n} - 1)) AS spot FROM range({m}) AS r({k}))))"
+
+
+@query(
+    f"""WITH {V_PIXELS}, w AS (SELECT * FROM {_ALONG("y", 4, 9)}, {_ALONG("x", 5, 7)}),
+ f AS (SELECT w.y, w.x, p.vec_id, p.c, w.xs, CAST(p.v AS DOUBLE) + (q.v - p.v) * ys AS l, CAST(s.v AS DOUBLE) + (t.v - s.v) * ys AS r FROM w JOIN px AS p ON p.y = ya AND p.x = xa JOIN px AS q ON q.vec_id = p.vec_id AND q.c = p.c AND q.y = yb AND q.x = xa
+   JOIN px AS s ON s.vec_id = p.vec_id AND s.c = p.c AND s.y = ya AND s.x = xb JOIN px AS t ON t.vec_id = p.vec_id AND t.c = p.c AND t.y = yb AND t.x = xb)
+SELECT vec_id, string_agg(printf('%02X', CAST(round_even(l + (r - l) * xs, 0) AS BIGINT)), '' ORDER BY y, x, c) AS pixels FROM f GROUP BY vec_id"""
+)
 def picture_resize(spark, sf):
     return small_pictures(spark, sf).select("vec_id", pictures.resized(F.col("image"), F.lit(9), F.lit(7)).alias("p")).select("vec_id", F.hex("p.data").alias("pixels"))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.functions import containers, raster
+from palimpsest.functions import containers, raster, subwords
 from palimpsest.functions import geometry as G
 from palimpsest.functions import sequence as S
 from palimpsest.functions import text as T
@@ -302,3 +302,19 @@ def test_logger_and_observed_figures(spark, tmp_path):
     assert "test INFO: read" in (tmp_path / "log.txt").read_text()
     df, seen = logs.observed(spark.range(10), rows=F.count(F.lit(1)), most=F.max("id"))
     assert df.count() == 10 and seen.get == {"rows": 10, "most": 9}
+
+
+def test_heads_of_word_parts(spark):
+    table = ["[GO]", "hel", "lo", "#", "[SEP]", "##ing", "read", ".", "it", "'s", "#x"]
+    steps = lambda *ids: [(i, 0.5 + i / 100) for i in ids]
+    near = lambda text, conf: (text, pytest.approx(conf))
+    assert subwords.pairs_text(steps(1, 2, 3, 6), table) == near("hello", 0.51 * 0.52)
+    assert subwords.pairs_text(steps(3, 1), table) == ("", 1) and subwords.pairs_text(steps(10, 1), table)[0] == "#xhel"
+    assert subwords.pieces_text(steps(6, 5, 7, 4, 1), table) == near("reading. ", 0.56 * 0.55 * 0.57 * 0.54)
+    assert subwords.pieces_text(steps(8, 9), table) == near("it'", 0.58) and subwords.pieces_text([], table) == ("", 0.0)
+    path = lambda ids: F.array(*[F.struct(F.lit(i).alias("id"), F.lit(p).alias("p")) for i, p in steps(*ids)])
+    both = {k: one(spark, subwords.decoded(path([0, 1, 99, 2, 3]), table, k)) for k in ("pairs", "pieces")}
+    assert both["pairs"]["text"] == "hello" and both["pairs"]["conf"] == pytest.approx(0.51 * 0.52)
+    assert both["pieces"]["text"] == "hel lo " and both["pieces"]["conf"] == pytest.approx(0.51 * 0.52)
+    heads = {"char": F.struct(F.lit("helo").alias("text"), F.lit(0.2).alias("conf")), "bpe": subwords.decoded(path([0, 1, 2, 3]), table, "pairs")}
+    assert one(spark, S.best_head(heads))["text"] == "hello"
