@@ -252,6 +252,39 @@ def recognition_size(width, height, most: int = 12, base: int = 32, shapes=((64,
     return F.struct(pick(0).otherwise(r * base).cast("long").alias("w"), pick(1).otherwise(F.lit(base)).cast("long").alias("h"))
 
 
+def line_size(width, height, kind: str, shape: tuple[int, int] = (32, 128), most: int = 12, base: int = 32, shapes=((64, 64), (96, 48), (112, 40), (128, 32)), widths: tuple[int, int] = (48, 160), step: int = 4, factor=1.0) -> Column:
+    """struct<h, w, resized_w, valid_ratio>: the input of a model of lines, and the width that a line is resized to within it.
+
+    `stretch`: the shape (height, width), filled. `pad`: the shape; the line keeps its ratio where it fits. `ratio`: a listed shape (width,
+    height) by the ratio rounded, 1 to `most`, else base-high and ratio times as wide; the line as in `pad`, its width times `factor`.
+    `dynamic`: as `pad`, but as wide as the line needs. `steps`: widths in multiples of `step` between `widths`, in the widest. `thirds`:
+    one, two or three squares by the ratio, else the shape's width.
+    """
+    w, h = _c(width).cast("double"), _c(height).cast("double")
+    to_h, to_w = F.lit(shape[0]), F.lit(shape[1]).cast("long")
+    if kind == "ratio":
+        r = F.least(F.greatest(F.lit(1), half_even(w / h)), F.lit(most))
+        pick = lambda i, other: reduce(lambda acc, k: acc.when(r == k + 1, F.lit(shapes[k][i])), range(1, len(shapes)), F.when(r == 1, F.lit(shapes[0][i]))).otherwise(other)
+        to_w, to_h = pick(0, r * base).cast("long"), pick(1, F.lit(base))
+    if kind == "dynamic":
+        to_w = whole(to_h * F.greatest(w / h, F.lit(shape[1] * 1.0 / shape[0])))
+    exact = F.ceil(to_h * (w / h))
+    valid = None
+    if kind == "stretch":
+        resized = to_w
+    elif kind in ("pad", "dynamic", "ratio"):
+        resized = F.when(exact > to_w, to_w).otherwise(F.least(to_w, F.ceil(to_h * (w / h) * _c(factor))))
+    elif kind == "steps":
+        near = F.greatest(F.lit(widths[0]), F.when(exact % step != 0, half_even(exact / float(step)) * step).otherwise(exact))
+        to_w, resized, valid = F.lit(widths[1]).cast("long"), F.least(F.lit(widths[1]), near), valid_ratio(near, widths[1])
+    elif kind == "thirds":
+        resized = F.when(w <= h, to_h).when(w <= h * 2, to_h * 2).when(w <= h * 3, to_h * 3).otherwise(to_w)
+    else:
+        raise ValueError(f"no kind of line {kind}")
+    valid = valid_ratio(resized, to_w) if valid is None else valid
+    return F.struct(to_h.cast("long").alias("h"), to_w.alias("w"), resized.cast("long").alias("resized_w"), valid.alias("valid_ratio"))
+
+
 def valid_ratio(resized_w, image_w) -> Column:
     return F.least(F.lit(1.0), _c(resized_w).cast("double") / _c(image_w))
 

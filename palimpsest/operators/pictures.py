@@ -84,6 +84,11 @@ def least_rectangle_crop(picture: Column, points: Column) -> Column:
     return mapped(crop, picture, points)
 
 
+def fitted(picture: Column, size: Column) -> Column:
+    """A line resized and padded to a geometry.line_size."""
+    return padded(resized(picture, size["h"], size["resized_w"]), size["h"], size["w"])
+
+
 def outlined(picture: Column, quads: Column, colour=(0, 0, 255), thick: int = 2) -> Column:
     """The picture with its quads drawn over it, for a look at detections, lines or regions."""
     return mapped(lambda x, q: raster.outlined(x, [np.array([(p["x"], p["y"]) for p in one], float) for one in q], colour, thick), picture, quads)

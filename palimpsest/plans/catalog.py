@@ -370,6 +370,29 @@ def rec_target_size(spark, sf):
     return rows.select("event_id", "s.w", F.col("s.h").cast("int").alias("h"), "bucket", "valid")
 
 
+_LINE_KINDS = ("stretch", "pad", "ratio", "dynamic", "steps", "thirds")
+
+
+@query(
+    f"""WITH {V_BOXES}, r AS (SELECT event_id, w / 3 AS w, h, least(greatest(1, CAST(round_even(w / 3 / h, 0) AS BIGINT)), 12) AS k FROM b),
+ s AS (SELECT *, CASE k WHEN 1 THEN 64 WHEN 2 THEN 96 WHEN 3 THEN 112 WHEN 4 THEN 128 ELSE 32 * k END AS rw, CASE k WHEN 1 THEN 64 WHEN 2 THEN 48 WHEN 3 THEN 40 ELSE 32 END AS rh, CAST(ceil(32 * (w / h)) AS BIGINT) AS fit,
+   CAST(trunc(32 * greatest(w / h, CAST(4.0 AS DOUBLE))) AS BIGINT) AS dw FROM r),
+ t AS (SELECT *, greatest(48, CASE WHEN fit % 4 <> 0 THEN CAST(round_even(fit / 4, 0) AS BIGINT) * 4 ELSE fit END) AS near FROM s),
+ u AS (SELECT event_id, 'stretch' AS kind, 32 AS h, 128 AS w, 128 AS resized_w, 1.0 AS valid_ratio FROM t
+  UNION ALL SELECT event_id, 'pad', 32, 128, least(fit, 128), least(1.0, CAST(least(fit, 128) AS DOUBLE) / 128) FROM t
+  UNION ALL SELECT event_id, 'ratio', rh, rw, least(CAST(ceil(rh * (w / h)) AS BIGINT), rw), least(1.0, CAST(least(CAST(ceil(rh * (w / h)) AS BIGINT), rw) AS DOUBLE) / rw) FROM t
+  UNION ALL SELECT event_id, 'dynamic', 32, dw, least(fit, dw), least(1.0, CAST(least(fit, dw) AS DOUBLE) / dw) FROM t
+  UNION ALL SELECT event_id, 'steps', 32, 160, least(160, near), least(1.0, CAST(near AS DOUBLE) / 160) FROM t
+  UNION ALL SELECT event_id, 'thirds', 32, 128, z, CAST(z AS DOUBLE) / 128 FROM (SELECT event_id, CASE WHEN w <= h THEN 32 WHEN w <= h * 2 THEN 64 WHEN w <= h * 3 THEN 96 ELSE 128 END AS z FROM t))
+SELECT event_id, kind, CAST(h AS BIGINT) AS h, CAST(w AS BIGINT) AS w, CAST(resized_w AS BIGINT) AS resized_w, round(CAST(valid_ratio AS DOUBLE), 9) AS valid_ratio FROM u"""
+)
+def line_sizes(spark, sf):
+    w, h = F.col("box.w") / 3, F.col("box.h")
+    sizes = F.array(*[F.struct(F.lit(k).alias("kind"), G.line_size(w, h, k).alias("s")) for k in _LINE_KINDS])
+    rows = boxes(spark, sf).select("event_id", F.inline(sizes))
+    return rows.select("event_id", "kind", "s.h", "s.w", "s.resized_w", F.round("s.valid_ratio", 9).alias("valid_ratio"))
+
+
 @query(f"WITH {V_BOXES} SELECT image_id, event_id // 64 AS batch, round(max(w / h), 9) AS max_wh FROM b GROUP BY ALL")
 def batch_max_ratio(spark, sf):
     return boxes(spark, sf).groupBy("image_id", F.floor(F.col("event_id") / 64).alias("batch")).agg(F.round(F.max(F.col("box.w") / F.col("box.h")), 9).alias("max_wh"))

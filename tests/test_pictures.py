@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from palimpsest.functions import geometry as G
 from palimpsest.functions import raster
 from palimpsest.operators import pictures
 from palimpsest.plans import models
@@ -165,6 +166,14 @@ def test_windows_and_tiles_cut_the_picture(shots):
         assert (pictures.pixels(t.image.asDict())[: t.bottom - t.top, : t.right - t.left] == x[t.top : t.bottom, t.left : t.right]).all()
 
 
+def test_lines_fitted_to_an_input(shots):
+    df, x = shots
+    size = G.line_size(F.col("image.width"), F.col("image.height"), "pad", (32, 128))
+    got = pictures.pixels(df.where("filename = 'a.png'").select(pictures.fitted(F.col("image"), size).alias("p")).first().p.asDict())
+    wide = -(-32 * x.shape[1] // x.shape[0])
+    assert got.shape == (32, 128, 3) and (got[:, :wide] == raster.resized(x, 32, wide)).all() and not got[:, wide:].any()
+
+
 def test_rectangles_of_points(shots):
     df, x = shots
     at = lambda a, b: F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y"))
