@@ -166,6 +166,35 @@ def spread_points(points: Column, n: int) -> Column:
     return F.when(F.size(points) >= n, F.concat(inner, F.slice(points, -1, 1)))
 
 
+def dense_points(points: Column) -> Column:
+    """array<struct<y, x>> of whole points -> the same with those between each two, one for each step of the longer side, truncated."""
+
+    def between(p: Column, i: Column) -> Column:
+        q = F.get(points, i + 1)
+        m = F.greatest(F.abs(p["y"] - q["y"]), F.abs(p["x"] - q["x"])).cast("int")
+        on = lambda k, a: F.when(m > 0, p[a] - k * ((p[a] - q[a]).cast("double") / m)).otherwise(p[a]).cast("int")
+        return F.when(q.isNull(), F.array(F.struct(p["y"].cast("int").alias("y"), p["x"].cast("int").alias("x")))).otherwise(
+            F.transform(F.sequence(F.lit(0), F.greatest(m, F.lit(1)) - 1), lambda k: F.struct(on(k, "y").alias("y"), on(k, "x").alias("x")))
+        )
+
+    return F.flatten(F.transform(points, between))
+
+
+def read_along(probs: Column, paths: Column, charset: list[str], n: int = 6, dense: bool = False, least: int = 2) -> Column:
+    """Texts along paths over a map of class probabilities (rows of columns of classes, the last class blank): array<struct<text, points>>.
+
+    A path of fewer than `n` points, or a text of fewer than `least` characters, is left out. With `dense`, the points between a path's are
+    read too. The points that are kept are `n` spread along what was read.
+    """
+
+    def read(path: Column) -> Column:
+        path = dense_points(path) if dense else path
+        found = steps(F.transform(path, lambda p: F.get(F.get(probs, p["y"].cast("int")), p["x"].cast("int"))))
+        return F.struct(decoded(found, charset, LAYOUTS["pg"])["text"].alias("text"), spread_points(path, n).alias("points"))
+
+    return F.filter(F.transform(F.filter(paths, lambda p: F.size(p) >= n), read), lambda r: F.length(r["text"]) >= least)
+
+
 def best_head(heads: dict[str, Column]) -> Column:
     """Of struct<text, conf> heads the one with the greatest confidence; the earlier of equals."""
     top = F.greatest(*[h["conf"] for h in heads.values()]) if len(heads) > 1 else next(iter(heads.values()))["conf"]

@@ -8,6 +8,7 @@ detections from lineitem.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -881,6 +882,30 @@ def min_decoded_length(spark, sf):
     return filters.long_enough(rows)
 
 
+_PATHS = [[(0, 0), (0, 3), (3, 3)], [(3, 0), (1, 1), (1, 3)], [(0, 0)], [(2, 2), (2, 2), (0, 1)]]
+#: What the paths come to with the points between.
+_DENSE = [[(0, 0), (0, 1), (0, 2), (0, 3), (1, 3), (2, 3), (3, 3)], [(3, 0), (2, 0), (1, 1), (1, 2), (1, 3)], None, [(2, 2), (2, 2), (1, 1), (0, 1)]]
+
+
+@query(
+    "WITH d AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({k}, {i}, {y}, {x})" for k, path in enumerate(_DENSE) for i, (y, x) in enumerate(path or []))
+    + """) AS v (k, i, y, x)),
+ l AS (SELECT vec_id, k, i, y, x, embedding[(y * 4 + x) * 4 + 1:(y * 4 + x) * 4 + 4] AS row FROM embeddings, d), m AS (SELECT *, list_position(row, list_max(row)) AS id FROM l),
+ r AS (SELECT *, lag(id) OVER (PARTITION BY vec_id, k ORDER BY i) AS prev, count(*) OVER (PARTITION BY vec_id, k) AS n FROM m)
+SELECT vec_id, CAST(k AS INTEGER) AS path, string_agg(substr('abc', CAST(id AS INTEGER), 1), '' ORDER BY i) FILTER (id < 4 AND (prev IS NULL OR id <> prev)) AS text,
+  string_agg(y || ' ' || x, ',' ORDER BY i) FILTER (i = 0 OR i = n // 2 OR i = n - 1) AS points FROM r GROUP BY vec_id, k HAVING length(text) >= 2"""
+)
+def pg_strings(spark, sf):
+    cell = lambda y: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda x: F.slice("embedding", (y * 4 + x) * 4 + 1, F.lit(4)))
+    probs = F.transform(F.sequence(F.lit(0), F.lit(3)), cell)
+    path = lambda k: F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in _PATHS[k]])
+    rows = read(spark, sf, "embeddings").select("vec_id", probs.alias("probs"))
+    each = [rows.select("vec_id", F.lit(k).alias("path"), F.inline(S.read_along(F.col("probs"), F.array(path(k)), list("abc"), 3, dense=True))) for k in range(len(_PATHS))]
+    out = reduce(DataFrame.unionByName, each)
+    return out.select("vec_id", "path", "text", F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["y"], p["x"])), ",").alias("points"))
+
+
 @query(
     f"""WITH {_MARKED}, h AS (SELECT p_partkey, max(CASE WHEN i = 0 AND id = 2 THEN 1 ELSE 0 END) AS lead FROM x GROUP BY 1),
  b AS (SELECT x.p_partkey, x.i - lead AS i, x.id, x.p FROM x JOIN h USING (p_partkey) WHERE x.i >= lead),
