@@ -318,3 +318,30 @@ def test_heads_of_word_parts(spark):
     assert both["pieces"]["text"] == "hel lo " and both["pieces"]["conf"] == pytest.approx(0.51 * 0.52)
     heads = {"char": F.struct(F.lit("helo").alias("text"), F.lit(0.2).alias("conf")), "bpe": subwords.decoded(path([0, 1, 2, 3]), table, "pairs")}
     assert one(spark, S.best_head(heads))["text"] == "hello"
+
+
+def test_reading_along_paths(spark):
+    rng = np.random.default_rng(5)
+    probs = rng.random((9, 11, 4)).tolist()
+    paths = [[(int(rng.integers(9)), int(rng.integers(11))) for _ in range(k)] for k in (1, 2, 5, 6, 7, 12, 30)] + [[(0, 0), (8, 10)], [(4, 4)] * 6, []]
+
+    def dense(path):
+        out = []
+        for (y, x), (v, u) in zip(path, path[1:]):
+            m = max(abs(y - v), abs(x - u))
+            out += [(int(y - k * ((y - v) / m)), int(x - k * ((x - u) / m))) for k in range(m)] if m else [(y, x)]
+        return out + path[-1:]
+
+    for n, full in ((6, False), (2, False), (3, True)):
+        want = []
+        for path in paths:
+            if len(path) >= n:
+                points = dense(path) if full else path
+                ids = [int(np.argmax(probs[y][x])) for y, x in points]
+                text = "".join("abc"[i] for k, i in enumerate(ids) if i < 3 and (k == 0 or i != ids[k - 1]))
+                step = len(points) // (n - 1)
+                if len(text) >= 2:
+                    want.append((text, [points[k * step] for k in range(n - 1)] + [points[-1]]))
+        df = spark.createDataFrame([(probs, paths)], "probs array<array<array<double>>>, paths array<array<struct<y:int,x:int>>>")
+        got = df.select(S.read_along(F.col("probs"), F.col("paths"), list("abc"), n, dense=full).alias("r")).first()["r"]
+        assert [(r.text, [tuple(p) for p in r.points]) for r in got] == want and want
