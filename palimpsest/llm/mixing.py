@@ -108,7 +108,8 @@ def schedule(sources: DataFrame, stretch: int = STRETCH) -> DataFrame:
     rows = rows.withColumn("down", F.expr(f"transform(x, o -> {_DOWN.format(t='at', s='fluid')})")).withColumn("upto", F.expr(f"transform(x, o -> {_UP.format(t='(at + m)', s='after')})"))
     rows = rows.withColumn("midst", F.expr(_MIDST))
     rows = rows.withColumn("frees", F.expr("array_sort(array_distinct(transform(midst, p -> p.free)))")).withColumn("room", F.expr(_ROOM)).withColumn("taken", F.expr(_TAKEN))
-    rows = rows.withColumn("first", F.expr("transform(down, (k, i) -> if(array_contains(taken, i), k + 1, k))")).withColumn("windows", F.expr(_WINDOWS))
+    # the planner puts `taken` where it is used, which must not be within the inner function, once a source
+    rows = rows.withColumn("first", F.expr("transform(array(taken), done -> transform(down, (k, i) -> if(array_contains(done, i), k + 1, k)))[0]")).withColumn("windows", F.expr(_WINDOWS))
     rows = rows.select("x", "base", "at", "first", F.posexplode(F.expr(_EDF)).alias("slot", "e"))
     return rows.select(F.expr("x[e.s].s").alias("s"), F.expr("first[e.s] + e.j").alias("block"), F.expr("base + at + slot").alias("slot"))
 
