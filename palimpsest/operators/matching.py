@@ -33,21 +33,28 @@ def _touch(a: Column, b: Column) -> Column:
     return (a["x"] < b["x"] + b["w"]) & (b["x"] < a["x"] + a["w"]) & (a["y"] < b["y"] + b["h"]) & (b["y"] < a["y"] + a["h"])
 
 
-def _outlines(rows: DataFrame, key: str, side: str) -> DataFrame:
-    """(image_id, key, points) -> the same under names of a side, with the polygon's area and the box around it, all of truncated corners."""
-    corners = F.transform("points", lambda p: F.struct(G.whole(p["x"]).cast("double").alias("x"), G.whole(p["y"]).cast("double").alias("y")))
-    return rows.select(F.col("image_id").alias(f"{side}_image"), F.col(key).alias(f"{side}_id"), F.col("points").alias(f"{side}_points"), G.polygon_area(corners).alias(f"{side}_area"), G.bounding_box(corners).alias(f"{side}_box"))
+def _outlines(rows: DataFrame, key: str, side: str, *more: str) -> DataFrame:
+    """(image_id, key, points, more) -> the same under names of a side, corners as arrays of x and y, with the box around the truncated ones."""
+    x, y = F.col("points")["x"], F.col("points")["y"]
+    named = {"image": F.col("image_id"), "id": F.col(key), "x": x, "y": y, "box": polygon.box_of(x, y, whole=True)} | {c: F.col(c) for c in more}
+    return rows.select(*[c.alias(f"{side}_{k}") for k, c in named.items()])
 
 
 def _shared(g: DataFrame, d: DataFrame) -> DataFrame:
-    pairs = g.join(d, (F.col("g_image") == F.col("d_image")) & _touch(F.col("g_box"), F.col("d_box")))
-    return pairs.withColumn("inter", polygon.polygon_intersection(F.col("g_points"), F.col("d_points"), whole=True))
+    """Pairs of outlines whose boxes touch, with `s`: the area they share and each one's own.
+
+    Coalesced, the condition asks of neither side that its box isn't null, which would work out all boxes in the scan's filter, in a method too long to be compiled.
+    """
+    near = F.coalesce(_touch(F.col("g_box"), F.col("d_box")), F.lit(False))
+    pairs = g.join(d, (F.col("g_image") == F.col("d_image")) & near).drop("g_box", "d_box")
+    return pairs.withColumn("s", polygon.polygon_shares(*[F.col(c) for c in ("g_x", "g_y", "d_x", "d_y")], whole=True))
 
 
-def _polygon_overlaps(gt: DataFrame, det: DataFrame) -> DataFrame:
-    pairs = _shared(_outlines(gt, "gt_id", "g"), _outlines(det, "det_id", "d")).where("inter > 0")
-    share = lambda x: F.coalesce(F.bround(F.try_divide("inter", x), 2), F.lit(0.0))
-    return pairs.select(F.col("g_image").alias("image_id"), F.col("g_id").alias("gt_id"), F.col("d_id").alias("det_id"), share("g_area").alias("sigma"), share("d_area").alias("tau"))
+def _polygon_overlaps(gt: DataFrame, det: DataFrame, *more: str) -> DataFrame:
+    pairs = _shared(_outlines(gt, "gt_id", "g", *more), _outlines(det, "det_id", "d", *more)).where("s.inter > 0")
+    share = lambda x: F.coalesce(F.bround(F.try_divide("s.inter", x), 2), F.lit(0.0))
+    kept = [F.col(f"{side}_{c}").alias(f"{name}_{c}") for c in more for side, name in (("g", "gt"), ("d", "det"))]
+    return pairs.select(F.col("g_image").alias("image_id"), F.col("g_id").alias("gt_id"), F.col("d_id").alias("det_id"), share("s.a").alias("sigma"), share("s.b").alias("tau"), *kept)
 
 
 def one_to_one(pairs: DataFrame, recall: float = RECALL, precision: float = PRECISION) -> DataFrame:
@@ -64,7 +71,7 @@ def without_ignored(det: DataFrame, gt: DataFrame, share: float = 0.5) -> DataFr
     """Detections of which no don't-care truth covers more than `share`: an anti-join on the image."""
     if "points" in gt.columns:
         pairs = _shared(_outlines(gt.where("dont_care"), "gt_id", "g"), _outlines(det, "det_id", "d"))
-        covered = pairs.where(F.col("inter") / (F.col("d_area") + F.lit(1.0)) > share).select(F.col("d_image").alias("image_id"), F.col("d_id").alias("det_id"))
+        covered = pairs.where(F.col("s.inter") / (F.col("s.b") + F.lit(1.0)) > share).select(F.col("d_image").alias("image_id"), F.col("d_id").alias("det_id"))
         return det.join(covered, ["image_id", "det_id"], "left_anti")
     d, g = det.alias("d"), gt.where("dont_care").alias("g")
     a, b = F.col("d.box"), F.col("g.box")
