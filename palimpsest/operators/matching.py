@@ -23,13 +23,14 @@ def overlaps(gt: DataFrame, det: DataFrame) -> DataFrame:
         return _polygon_overlaps(gt, det)
     g, d = gt.alias("g"), det.alias("d")
     a, b = F.col("g.box"), F.col("d.box")
-    pairs = g.join(d, (F.col("g.image_id") == F.col("d.image_id")) & _touch(a, b))
+    pairs = g.join(d, (F.col("g.image_id") == F.col("d.image_id")) & touch(a, b))
     inter = G.overlap_area(a, b)
     share = lambda x: F.coalesce(F.bround(F.try_divide(inter, x["w"] * x["h"]), 2), F.lit(0.0))
     return pairs.select("g.image_id", "g.gt_id", "d.det_id", share(a).alias("sigma"), share(b).alias("tau"))
 
 
-def _touch(a: Column, b: Column) -> Column:
+def touch(a: Column, b: Column) -> Column:
+    """Whether two boxes share more than a border."""
     return (a["x"] < b["x"] + b["w"]) & (b["x"] < a["x"] + a["w"]) & (a["y"] < b["y"] + b["h"]) & (b["y"] < a["y"] + a["h"])
 
 
@@ -45,7 +46,7 @@ def _shared(g: DataFrame, d: DataFrame) -> DataFrame:
 
     Coalesced, the condition asks of neither side that its box isn't null, which would work out all boxes in the scan's filter, in a method too long to be compiled.
     """
-    near = F.coalesce(_touch(F.col("g_box"), F.col("d_box")), F.lit(False))
+    near = F.coalesce(touch(F.col("g_box"), F.col("d_box")), F.lit(False))
     pairs = g.join(d, (F.col("g_image") == F.col("d_image")) & near).drop("g_box", "d_box")
     return pairs.withColumn("s", polygon.polygon_shares(*[F.col(c) for c in ("g_x", "g_y", "d_x", "d_y")], whole=True))
 
@@ -128,8 +129,9 @@ def detection_scores(gt: DataFrame, det: DataFrame) -> DataFrame:
     Where no truth and no detection has two overlaps, only single matches can be, and sums say it all. Other images are folded one
     by one from their overlaps (an image's boxes are few); then all are summed.
     """
-    pairs = overlaps(gt, det)
-    pairs = pairs.join(gt.select("image_id", "gt_id", F.col("text").alias("gt_text")), ["image_id", "gt_id"]).join(det.select("image_id", "det_id", F.col("text").alias("det_text")), ["image_id", "det_id"])
+    pairs = _polygon_overlaps(gt, det, "text") if "points" in gt.columns else overlaps(gt, det)
+    if "points" not in gt.columns:
+        pairs = pairs.join(gt.select("image_id", "gt_id", F.col("text").alias("gt_text")), ["image_id", "gt_id"]).join(det.select("image_id", "det_id", F.col("text").alias("det_text")), ["image_id", "det_id"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         g, d = {v: i for i, v in enumerate(sorted(set(pdf["gt_id"])))}, {v: i for i, v in enumerate(sorted(set(pdf["det_id"])))}
